@@ -124,3 +124,48 @@ def dim_lookup(spark, sf):
 @query("derive_pay")
 def derive_pay(spark, sf):
     return pay.derive_pay(tm.staff(spark, sf), tm.plant_dim(spark, sf))
+
+
+# ----------------------------------------------------------------- market and sources
+from ..operators import market as mk  # noqa: E402
+from ..sources.delimited import split_fields  # noqa: E402
+
+CI_PLANT = "g7"        # plant argument typed in lower case
+URL_FIELDS = ("part1", "part2", "part3", "part4")
+
+
+def _market(spark, sf):
+    return mk.parse_market(tm.market_lines(spark, sf)).drop("line")
+
+
+def _own_practice(spark, sf):
+    p = pay.practice(tm.employees(spark, sf))
+    return p.withColumn("plant", F.concat(F.lit("G"), F.col("planta").cast("string")))
+
+
+@query("market_parse")
+def market_parse(spark, sf):
+    return _market(spark, sf)
+
+
+@query("filter_ci")
+def filter_ci(spark, sf):
+    return mk.market_for(_market(spark, sf), CI_PLANT)
+
+
+@query("benchmark_status")
+def benchmark_status(spark, sf):
+    plants = tm.read(spark, sf, "supplier").select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("plant"))
+    out = mk.benchmark_status(plants, _market(spark, sf))
+    return out.select("plant", "status", "Empresa_Referencia", "VA_Valor")
+
+
+@query("benchmark_gap")
+def benchmark_gap(spark, sf):
+    return mk.benchmark_gap(_own_practice(spark, sf), _market(spark, sf))
+
+
+@query("csv_bad_lines")
+def csv_bad_lines(spark, sf):
+    lines = tm.read(spark, sf, "pages").select("page_id", F.col("url").alias("value"))
+    return split_fields(lines, ".", URL_FIELDS)

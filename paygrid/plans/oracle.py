@@ -147,3 +147,38 @@ SELECT st.id_funcionario, st.planta, st.subgrupo_cargos,
   st.subgrupo_cargos IN ('Operação', 'Analista') AS plr_eligible,
   CASE WHEN st.subgrupo_cargos IN ('Operação', 'Analista') THEN d1.plr_alvo_planta ELSE 0.0 END::DOUBLE AS plr_target
 FROM st LEFT JOIN d1 ON st.planta = d1.planta"""
+
+# ----------------------------------------------------------------- market and sources
+_MARKET = """market AS (
+  SELECT 'G' || CAST(s_suppkey AS VARCHAR) AS Filial, s_name AS Empresa_Referencia, n_name AS Regiao,
+    CAST(50 + s_nationkey % 10 AS DOUBLE) / 10 AS Reajuste_Praticado,
+    round(s_acctbal, 2) AS VA_Valor, round(s_acctbal * 10, 2) AS PLR_Referencia,
+    make_date(CAST(2024 + s_suppkey % 2 AS INTEGER), CAST(1 + s_suppkey % 12 AS INTEGER), 1) AS Data_Acordo,
+    'clause ' || n_name AS Principais_Clausulas
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0)"""
+ORACLE["market_parse"] = f"WITH {_MARKET} SELECT * FROM market"
+ORACLE["filter_ci"] = f"WITH {_MARKET} SELECT * FROM market WHERE upper(Filial) = upper('g7')"
+ORACLE["benchmark_status"] = f"""
+WITH {_MARKET}
+SELECT 'G' || CAST(s_suppkey AS VARCHAR) AS plant,
+       CASE WHEN m.Filial IS NULL THEN 'no_data' ELSE 'ok' END AS status, m.Empresa_Referencia, m.VA_Valor
+FROM supplier s LEFT JOIN market m ON upper('G' || CAST(s.s_suppkey AS VARCHAR)) = upper(m.Filial)"""
+ORACLE["benchmark_gap"] = f"""
+WITH {_ctes()}, {_MARKET},
+pr AS (SELECT 'G' || CAST(planta AS VARCHAR) AS plant, avg(valor_va_atual) AS avg_va, avg(plr_alvo_atual) AS avg_plr,
+              count(*) AS n_employees FROM h GROUP BY planta),
+j AS (SELECT pr.*, m.VA_Valor AS market_va, m.PLR_Referencia AS market_plr
+      FROM pr LEFT JOIN market m ON upper(pr.plant) = upper(m.Filial))
+SELECT plant, n_employees,
+  round(avg_va, 4) AS own_va, market_va, round(avg_va - market_va, 4) AS gap_va,
+  CASE WHEN market_va IS NULL OR avg_va IS NULL THEN 'no_data'
+       WHEN abs(avg_va - market_va) <= abs(market_va) * 0.01 THEN 'at'
+       WHEN avg_va - market_va > 0 THEN 'above' ELSE 'below' END AS verdict_va,
+  round(avg_plr, 4) AS own_plr, market_plr, round(avg_plr - market_plr, 4) AS gap_plr,
+  CASE WHEN market_plr IS NULL OR avg_plr IS NULL THEN 'no_data'
+       WHEN abs(avg_plr - market_plr) <= abs(market_plr) * 0.01 THEN 'at'
+       WHEN avg_plr - market_plr > 0 THEN 'above' ELSE 'below' END AS verdict_plr
+FROM j"""
+ORACLE["csv_bad_lines"] = """
+SELECT page_id, nullif(p[1], '') AS part1, nullif(p[2], '') AS part2, nullif(p[3], '') AS part3, nullif(p[4], '') AS part4
+FROM (SELECT page_id, string_split(url, '.') AS p FROM pages) WHERE len(p) <= 4"""
