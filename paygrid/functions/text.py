@@ -35,6 +35,13 @@ STRATEGIC_KEYWORDS = (
 NON_BLANK_PATTERN = f"[^{PY_WHITESPACE_CLASS}]"
 
 
+def py_strip(col: Column | str) -> Column:
+    """Python's ``str.strip()``: drop leading and trailing Unicode whitespace
+    (Spark's ``trim`` removes only blanks)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.regexp_replace(c, f"^[{PY_WHITESPACE_CLASS}]+|[{PY_WHITESPACE_CLASS}]+$", "")
+
+
 def has_content(col: Column | str) -> Column:
     """True when the text has a character that Python's ``strip`` would keep."""
     c = F.col(col) if isinstance(col, str) else col
@@ -67,7 +74,7 @@ def contains_any(col: Column | str, words: Iterable[str]) -> Column:
 
 def normalise_label(col: Column | str, allowed: Sequence[str] = INTENT_LABELS) -> Column:
     """``upper(trim(x))`` if it is one of ``allowed``, else null."""
-    c = F.upper(F.trim(F.col(col) if isinstance(col, str) else col))
+    c = F.upper(py_strip(col))
     return F.when(c.isin(*allowed), c)
 
 

@@ -169,3 +169,114 @@ def benchmark_gap(spark, sf):
 def csv_bad_lines(spark, sf):
     lines = tm.read(spark, sf, "pages").select("page_id", F.col("url").alias("value"))
     return split_fields(lines, ".", URL_FIELDS)
+
+
+# ----------------------------------------------------------------- text rules
+from ..functions import numbers as nu  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+from ..operators import tagging as tg  # noqa: E402
+
+# fixed values: dictionaries used on the driver's invented text (its words never
+# include the reference's Portuguese keywords, so frequent words stand in).
+TEST_KEYWORDS = ("the", "und", "que", "les")
+TEST_RISK_WORDS = tx.RISK_WORDS + ("nicht",)
+
+
+def _smap(spark, sf):
+    return tg.synonym_map(tg.explode_synonyms(tm.synonym_lines(spark, sf)))
+
+
+def _context(spark, sf):
+    msgs = tm.messages(spark, sf)
+    tags = tg.tag_messages(msgs, _smap(spark, sf), ["conv_id", "turn"])
+    j = msgs.join(tags, ["conv_id", "turn"], "left")
+    return j.withColumn("plant", F.coalesce(F.col("tagged_plant"), F.col("selected_plant")))
+
+
+def _routed(spark, sf):
+    return tg.route_intents(_context(spark, sf), tm.doc_refs(spark, sf), keywords=TEST_KEYWORDS)
+
+
+@query("synonym_explode")
+def synonym_explode(spark, sf):
+    return tg.explode_synonyms(tm.synonym_lines(spark, sf))
+
+
+@query("synonym_map")
+def synonym_map(spark, sf):
+    return _smap(spark, sf)
+
+
+@query("tag_group")
+def tag_group(spark, sf):
+    return tg.tag_messages(tm.messages(spark, sf), _smap(spark, sf), ["conv_id", "turn"])
+
+
+@query("message_context")
+def message_context(spark, sf):
+    return _context(spark, sf).select("conv_id", "turn", "selected_plant", "tagged_plant", "plant")
+
+
+@query("keyword_flag")
+def keyword_flag(spark, sf):
+    c = tm.read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", tg.keyword_flag(F.col("text"), TEST_KEYWORDS).alias("has_keyword"))
+
+
+@query("intent_normalise")
+def intent_normalise(spark, sf):
+    m = tm.messages(spark, sf)
+    return m.select("conv_id", "turn", "label", tx.normalise_label("label").alias("intent_label"))
+
+
+@query("intent_route")
+def intent_route(spark, sf):
+    return _routed(spark, sf).select("conv_id", "turn", "plant", "intent")
+
+
+@query("risk_flag")
+def risk_flag(spark, sf):
+    r = _routed(spark, sf).select("conv_id", F.col("turn").alias("q_turn"), "intent")
+    replies = tm.read(spark, sf, "conversations").filter(F.col("role") == "assistant") \
+        .select("conv_id", (F.col("turn") - 1).alias("q_turn"), F.col("text").alias("answer"))
+    j = r.join(replies, ["conv_id", "q_turn"], "left")
+    return j.select("conv_id", F.col("q_turn").alias("turn"), "intent",
+                    tx.risk_level(F.col("answer"), F.col("intent"), TEST_RISK_WORDS).alias("risk"))
+
+
+@query("history_view")
+def history_view(spark, sf):
+    r = _routed(spark, sf).select("conv_id", (F.col("turn") + 1).alias("turn"),
+                                  F.col("intent").alias("reply_type"), F.col("plant").alias("reply_context"))
+    c = tm.read(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    j = c.join(r, ["conv_id", "turn"], "left")
+    is_reply = F.col("role") == "assistant"
+    return j.select("conv_id", "turn", "role", "n_chars",
+                    F.when(is_reply, F.col("reply_type")).alias("reply_type"),
+                    F.when(is_reply, F.col("reply_context")).alias("reply_context"))
+
+
+@query("json_params")
+def json_params(spark, sf):
+    p = tm.params_texts(spark, sf)
+    return p.select("event_id", nu.json_params(F.col("params_text")).alias("v")).select("event_id", "v.*")
+
+
+@query("scenario_inputs")
+def scenario_inputs(spark, sf):
+    """Typed value overrides the slider unless it is 0: typed from the
+    supplier's balance (0 when negative), slider from its nation."""
+    s = tm.read(spark, sf, "supplier")
+    typed = F.when(F.col("s_acctbal") < 0, F.lit(0.0)).otherwise(F.round(F.col("s_acctbal") / 1000, 1))
+    slider = (F.col("s_nationkey") % 41).cast("double") * 0.5
+    return s.select(F.col("s_suppkey").alias("planta"), typed.alias("typed"), slider.alias("slider"),
+                    nu.override(typed, slider).alias("pct_salary"))
+
+
+@query("format_money")
+def format_money(spark, sf):
+    c = pay.scenario_costs(tm.employees(spark, sf), tm.rates(spark, sf), [TEST_SCENARIO])
+    pct = F.when(F.col("current_cost") > 0, F.col("impact") / F.col("current_cost") * 100).otherwise(0.0)
+    return c.select("planta", nu.format_money("current_cost").alias("current_fmt"),
+                    nu.format_money("projected_cost").alias("projected_fmt"),
+                    nu.format_money("impact").alias("impact_fmt"), nu.format_pct(pct).alias("increase_fmt"))

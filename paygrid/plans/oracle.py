@@ -182,3 +182,119 @@ FROM j"""
 ORACLE["csv_bad_lines"] = """
 SELECT page_id, nullif(p[1], '') AS part1, nullif(p[2], '') AS part2, nullif(p[3], '') AS part3, nullif(p[4], '') AS part4
 FROM (SELECT page_id, string_split(url, '.') AS p FROM pages) WHERE len(p) <= 4"""
+
+# ----------------------------------------------------------------- text rules
+WS = "\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+_SYN = f"""syn_rows AS (
+  SELECT s_suppkey AS line, 'G' || CAST(s_suppkey AS VARCHAR) AS Planta,
+    CASE WHEN s_acctbal >= 0 THEN concat_ws(', ', s_name, n_name, '',
+      ['the', 'and', 'que', 'der', 'die', 'for', 'les'][s_suppkey % 7 + 1]) END AS Sinonimos
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+syn_items AS (
+  SELECT line, Planta, unnest(string_split(coalesce(Sinonimos, ''), ',')) AS raw,
+         unnest(range(len(string_split(coalesce(Sinonimos, ''), ',')))) AS idx FROM syn_rows),
+syn_ex AS (
+  SELECT line, CAST(idx AS INTEGER) AS idx, {_strip('Planta')} AS plant, lower({_strip('raw')}) AS synonym
+  FROM syn_items WHERE lower({_strip('raw')}) <> ''),
+smap AS (
+  SELECT synonym, min(line * 1000000 + idx) AS p, arg_max(plant, line * 1000000 + idx) AS plant
+  FROM syn_ex GROUP BY synonym),
+msgs AS (
+  SELECT conv_id, turn, text, 'G' || CAST(conv_id % 10 AS VARCHAR) AS selected_plant,
+    (['  cálculo ', 'POLÍTICA', 'benchmark' || chr(10), 'Consulta_Estrategica', 'unknown', 'CÁLCULO_FINANCEIRO ', NULL])
+      [(conv_id + turn) % 7 + 1] AS label
+  FROM conversations WHERE role = 'user'),
+hits AS (
+  SELECT m.conv_id, m.turn, s.plant, s.p FROM msgs m JOIN smap s
+    ON regexp_matches(lower(m.text),
+         '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(s.synonym, '([^\\p{{L}}\\p{{N}}_ ])', '\\\\\\1', 'g') || '([^\\p{{L}}\\p{{N}}_]|$)')),
+tags AS (
+  SELECT m.conv_id, m.turn, (SELECT arg_min(h.plant, h.p) FROM hits h WHERE h.conv_id = m.conv_id AND h.turn = m.turn) AS tagged_plant
+  FROM msgs m),
+ctx AS (
+  SELECT m.*, t.tagged_plant, coalesce(t.tagged_plant, m.selected_plant) AS plant
+  FROM msgs m JOIN tags t ON m.conv_id = t.conv_id AND m.turn = t.turn),
+refs AS (
+  SELECT DISTINCT plant FROM (
+    SELECT 'G' || CAST(s_suppkey AS VARCHAR) AS plant FROM supplier WHERE s_acctbal >= 0)),
+routed AS (
+  SELECT ctx.*,
+    CASE WHEN r.plant IS NULL THEN 'ERRO'
+         WHEN upper({_strip('label')}) IN ('CÁLCULO', 'POLÍTICA', 'CÁLCULO_FINANCEIRO', 'BENCHMARK', 'CONSULTA_ESTRATEGICA')
+           THEN upper({_strip('label')})
+         WHEN contains(lower(text), 'the') OR contains(lower(text), 'und') OR contains(lower(text), 'que')
+           OR contains(lower(text), 'les') THEN 'CONSULTA_ESTRATEGICA'
+         ELSE 'POLÍTICA' END AS intent
+  FROM ctx LEFT JOIN refs r ON ctx.plant = r.plant)"""
+
+ORACLE["synonym_explode"] = f"WITH {_SYN} SELECT line, idx, plant, synonym FROM syn_ex"
+ORACLE["synonym_map"] = f"""WITH {_SYN}
+SELECT synonym, p // 1000000 AS pos_line, CAST(p % 1000000 AS INTEGER) AS pos_idx, plant FROM smap"""
+ORACLE["tag_group"] = f"WITH {_SYN} SELECT conv_id, turn, tagged_plant FROM tags"
+ORACLE["message_context"] = f"WITH {_SYN} SELECT conv_id, turn, selected_plant, tagged_plant, plant FROM ctx"
+ORACLE["keyword_flag"] = """
+SELECT conv_id, turn, coalesce(contains(lower(text), 'the') OR contains(lower(text), 'und')
+  OR contains(lower(text), 'que') OR contains(lower(text), 'les'), false) AS has_keyword FROM conversations"""
+ORACLE["intent_normalise"] = f"""WITH {_SYN}
+SELECT conv_id, turn, label, CASE WHEN upper({_strip('label')}) IN
+  ('CÁLCULO', 'POLÍTICA', 'CÁLCULO_FINANCEIRO', 'BENCHMARK', 'CONSULTA_ESTRATEGICA') THEN upper({_strip('label')}) END AS intent_label
+FROM msgs"""
+ORACLE["intent_route"] = f"WITH {_SYN} SELECT conv_id, turn, plant, intent FROM routed"
+ORACLE["risk_flag"] = f"""WITH {_SYN},
+rep AS (SELECT conv_id, turn - 1 AS q_turn, text AS answer FROM conversations WHERE role = 'assistant')
+SELECT r.conv_id, r.turn, r.intent,
+  CASE WHEN regexp_matches(lower(coalesce(answer, '')), '([6-9]|[1-9][0-9]|100)%')
+         OR contains(lower(coalesce(answer, '')), 'greve') OR contains(lower(coalesce(answer, '')), 'paralisação')
+         OR contains(lower(coalesce(answer, '')), 'nicht') THEN 'high'
+       WHEN contains(lower(coalesce(r.intent, '')), 'erro') THEN 'attention' ELSE 'low' END AS risk
+FROM routed r LEFT JOIN rep ON r.conv_id = rep.conv_id AND r.turn = rep.q_turn"""
+ORACLE["history_view"] = f"""WITH {_SYN}
+SELECT c.conv_id, c.turn, c.role, length(c.text) AS n_chars,
+  CASE WHEN c.role = 'assistant' THEN r.intent END AS reply_type,
+  CASE WHEN c.role = 'assistant' THEN r.plant END AS reply_context
+FROM conversations c LEFT JOIN routed r ON c.conv_id = r.conv_id AND c.turn = r.turn + 1"""
+
+_JSON_KEYS = [("reajuste_salarial", "pct_salary"), ("reajuste_va", "pct_va"), ("reajuste_plr", "pct_plr"),
+              ("aumento_he", "pct_overtime")]
+
+
+def _json_oracle() -> str:
+    from .testmap import PARAMS_TEXT_EXPR
+    vals = ",\n    ".join(
+        f"json_extract(CASE WHEN obj THEN params_text END, '$.\"{k}\"') AS v_{n}" for k, n in _JSON_KEYS)
+    nums = ",\n    ".join(
+        f"CASE WHEN v_{n} IS NULL THEN NULL "
+        f"WHEN json_type(v_{n}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(v_{n}, '$') AS DOUBLE) "
+        f"WHEN json_type(v_{n}) = 'VARCHAR' THEN TRY_CAST(trim(json_extract_string(v_{n}, '$')) AS DOUBLE) "
+        f"WHEN json_type(v_{n}) = 'BOOLEAN' THEN CASE WHEN json_extract_string(v_{n}, '$') = 'true' THEN 1.0 ELSE 0.0 END "
+        f"END AS x_{n}" for _, n in _JSON_KEYS)
+    ok = " AND ".join(f"(v_{n} IS NULL OR x_{n} IS NOT NULL)" for _, n in _JSON_KEYS)
+    outs = ", ".join(f"CASE WHEN ok AND v_{n} IS NOT NULL THEN x_{n} ELSE 0.0 END AS {n}" for _, n in _JSON_KEYS)
+    return f"""
+WITH t AS (SELECT event_id, {PARAMS_TEXT_EXPR} FROM events),
+o AS (SELECT *, CASE WHEN coalesce(json_valid(params_text), false) THEN json_type(params_text) = 'OBJECT' ELSE false END AS obj FROM t),
+v AS (SELECT event_id, obj, {vals} FROM o),
+x AS (SELECT *, {nums} FROM v),
+y AS (SELECT *, obj AND {ok} AS ok FROM x)
+SELECT event_id, {outs} FROM y"""
+
+
+ORACLE["json_params"] = _json_oracle()
+ORACLE["scenario_inputs"] = """
+SELECT s_suppkey AS planta, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE round(s_acctbal / 1000, 1) END AS typed,
+  CAST(s_nationkey % 41 AS DOUBLE) * 0.5 AS slider,
+  coalesce(nullif(CASE WHEN s_acctbal < 0 THEN 0.0 ELSE round(s_acctbal / 1000, 1) END, 0.0),
+           CAST(s_nationkey % 41 AS DOUBLE) * 0.5) AS pct_salary
+FROM supplier"""
+ORACLE["format_money"] = f"""
+WITH d AS ({_details("h", "p", SCEN_TEST)})
+SELECT planta, 'R$ ' || format('{{:,.2f}}', current_cost) AS current_fmt,
+  'R$ ' || format('{{:,.2f}}', projected_cost) AS projected_fmt, 'R$ ' || format('{{:,.2f}}', impact) AS impact_fmt,
+  format('{{:.2f}}', CASE WHEN current_cost > 0 THEN impact / current_cost * 100 ELSE 0 END) || '%' AS increase_fmt
+FROM d"""

@@ -151,3 +151,37 @@ def synonym_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("Planta"),
         F.when(F.col("s_acctbal") >= 0, cell).alias("Sinonimos"),
     )
+
+
+# Labels a classifier might return (valid, padded, lower-case, unknown, none).
+LABEL_CHOICES = ("  cálculo ", "POLÍTICA", "benchmark\n", "Consulta_Estrategica", "unknown", "CÁLCULO_FINANCEIRO ", None)
+N_SELECTABLE = 10      # plants G0..G9 can be selected in the interface
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as questions: selected plant from the conversation, and the
+    label a classifier returned for it."""
+    c = read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    labels = F.array(*[F.lit(x).cast("string") for x in LABEL_CHOICES])
+    idx = ((F.col("conv_id") + F.col("turn")) % len(LABEL_CHOICES) + 1).cast("int")
+    return c.select(
+        "conv_id", "turn", "text",
+        F.concat(F.lit("G"), (F.col("conv_id") % N_SELECTABLE).cast("string")).alias("selected_plant"),
+        F.element_at(labels, idx).alias("label"),
+    )
+
+
+PARAMS_TEXT_EXPR = (
+    "CASE event_type "
+    "WHEN 'purchase' THEN replace(props, '\"k\"', '\"reajuste_salarial\"') "
+    "WHEN 'signup' THEN '{\"reajuste_va\": \"' || replace(replace(props, '{\"k\": ', ''), '}', '') || '\", \"reajuste_plr\": 2}' "
+    "WHEN 'view' THEN '[' || props || ']' "
+    "WHEN 'error' THEN 'not json' "
+    "ELSE '{\"aumento_he\": null, \"reajuste_va\": 3}' END AS params_text"
+)
+
+
+def params_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON texts a model might return: valid, numbers as strings, arrays, not
+    JSON, null values."""
+    return read(spark, sf_dir, "events").selectExpr("event_id", PARAMS_TEXT_EXPR)
