@@ -280,3 +280,106 @@ def format_money(spark, sf):
     return c.select("planta", nu.format_money("current_cost").alias("current_fmt"),
                     nu.format_money("projected_cost").alias("projected_fmt"),
                     nu.format_money("impact").alias("impact_fmt"), nu.format_pct(pct).alias("increase_fmt"))
+
+
+# ----------------------------------------------------------------- retrieval
+from ..operators import retrieval as rt  # noqa: E402
+
+
+def _chunks(spark, sf):
+    return rt.chunk_text(tm.doc_texts(spark, sf), ["doc_id", "file"])
+
+
+def _vector_queries(spark, sf):
+    """One query per label: the label's mean vector, asked for plant G<label>."""
+    c = rt.centroids(tm.vectors(spark, sf), "label")
+    return c.select(F.col("label").cast("long").alias("query_id"),
+                    F.concat(F.lit("G"), F.col("label").cast("string")).alias("plant"), "qvec")
+
+
+def _top10(spark, sf):
+    q = _vector_queries(spark, sf)
+    scored = rt.score_vectors(tm.vectors(spark, sf), q)
+    top = rt.top_k(scored, rt.SEARCH_LIMIT, ["vec_id"])
+    return top.join(q.select("query_id", "plant"), "query_id", "inner")
+
+
+def _hits(df):
+    return df.select("query_id", "rank", "vec_id", "file", F.round("score", 6).alias("score"))
+
+
+@query("doc_chunk")
+def doc_chunk(spark, sf):
+    return _chunks(spark, sf)
+
+
+@query("chunk_preview")
+def chunk_preview(spark, sf):
+    return _chunks(spark, sf).select("doc_id", "pos", tx.preview("text").alias("preview"))
+
+
+@query("corpus_stats")
+def corpus_stats(spark, sf):
+    return rt.corpus_stats(_chunks(spark, sf))
+
+
+@query("doc_assemble")
+def doc_assemble(spark, sf):
+    return rt.chunk_pages(tm.conversation_pages(spark, sf))
+
+
+@query("docs_by_group")
+def docs_by_group(spark, sf):
+    return rt.docs_by_group(tm.doc_refs(spark, sf))
+
+
+@query("allowed_chunks")
+def allowed_chunks(spark, sf):
+    return rt.allowed(_chunks(spark, sf), tm.doc_refs(spark, sf)).select("plant", "doc_id", "pos", "file")
+
+
+@query("search_top10")
+def search_top10(spark, sf):
+    return _hits(_top10(spark, sf))
+
+
+@query("search_postfilter")
+def search_postfilter(spark, sf):
+    return _hits(rt.post_filter(_top10(spark, sf), tm.doc_refs(spark, sf)))
+
+
+@query("search_prefilter")
+def search_prefilter(spark, sf):
+    q = _vector_queries(spark, sf)
+    refs = tm.doc_refs(spark, sf)
+    scored = rt.score_vectors(tm.vectors(spark, sf), q).join(q.select("query_id", "plant"), "query_id", "inner")
+    allowed_only = scored.join(refs, ["plant", "file"], "left_semi")
+    return _hits(rt.top_k(allowed_only, rt.RETURNED, ["vec_id"]))
+
+
+@query("search_status")
+def search_status(spark, sf):
+    q = _vector_queries(spark, sf)
+    refs = tm.doc_refs(spark, sf)
+    top = _top10(spark, sf)
+    kept = rt.post_filter(top, refs)
+    n = tm.vectors(spark, sf).limit(1).count()
+    return rt.search_status(q, refs, top, kept, n)
+
+
+def _text_hits(spark, sf):
+    chunks = _chunks(spark, sf)
+    qs = tm.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    top = rt.top_k(rt.text_scores(qs, chunks, ["doc_id", "pos"]), rt.RETURNED, ["doc_id", "pos"])
+    return top.join(chunks, ["doc_id", "pos"], "inner")
+
+
+@query("text_search")
+def text_search(spark, sf):
+    h = _text_hits(spark, sf)
+    return h.select("query_id", "rank", "doc_id", "pos", "file", F.round("score", 6).alias("score"))
+
+
+@query("context_block")
+def context_block(spark, sf):
+    return rt.context_block(_text_hits(spark, sf))

@@ -298,3 +298,97 @@ SELECT planta, 'R$ ' || format('{{:,.2f}}', current_cost) AS current_fmt,
   'R$ ' || format('{{:,.2f}}', projected_cost) AS projected_fmt, 'R$ ' || format('{{:,.2f}}', impact) AS impact_fmt,
   format('{{:.2f}}', CASE WHEN current_cost > 0 THEN impact / current_cost * 100 ELSE 0 END) || '%' AS increase_fmt
 FROM d"""
+
+# ----------------------------------------------------------------- retrieval
+
+
+def _chunk_sql(src: str, key: str) -> str:
+    """Fixed 1000-character chunks of ``src`` (columns: key, file, text)."""
+    return f"""(
+  SELECT {key}, file, pos, text FROM (
+    SELECT {key}, file, CAST(p AS INTEGER) AS pos, substring(text, CAST(p * 1000 + 1 AS BIGINT), 1000) AS text FROM (
+      SELECT {key}, file, text, unnest(range(CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS p
+      FROM {src} WHERE length(text) > 0))
+  WHERE regexp_matches(text, '[^{WS}]'))"""
+
+
+_REFS = f"refs AS (SELECT DISTINCT plant, file FROM ({' UNION ALL '.join(tm.DOC_REFS_SQL_PARTS)}))"
+_CHUNKS = f"chunks AS {_chunk_sql('(SELECT doc_id, source AS file, text FROM documents)', 'doc_id')}"
+ORACLE["doc_chunk"] = f"WITH {_CHUNKS} SELECT * FROM chunks"
+ORACLE["chunk_preview"] = f"WITH {_CHUNKS} SELECT doc_id, pos, replace(substring(text, 1, 300), chr(10), ' ') AS preview FROM chunks"
+ORACLE["corpus_stats"] = f"WITH {_CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT file) AS n_files FROM chunks"
+ORACLE["doc_assemble"] = f"""
+WITH docs AS (SELECT conv_id AS file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text
+              FROM conversations GROUP BY conv_id)
+SELECT file, pos, text FROM {_chunk_sql('(SELECT file AS k, file, text FROM docs)', 'k')}"""
+ORACLE["docs_by_group"] = f"""WITH {_REFS}
+SELECT plant, count(*) AS n_files, string_agg(file, ', ' ORDER BY file) AS files FROM refs GROUP BY plant"""
+ORACLE["allowed_chunks"] = f"""WITH {_CHUNKS}, {_REFS}
+SELECT r.plant, c.doc_id, c.pos, c.file FROM chunks c JOIN refs r ON c.file = r.file"""
+
+_VEC = f"""{_REFS},
+vecs AS (SELECT vec_id, 'src' || CAST(label AS VARCHAR) AS file, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+dims AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS d FROM vecs),
+cen AS (SELECT label, list(x ORDER BY d) AS q FROM (SELECT label, d, avg(x) AS x FROM dims GROUP BY label, d) GROUP BY label),
+qs AS (SELECT CAST(label AS BIGINT) AS query_id, 'G' || CAST(label AS VARCHAR) AS plant, q FROM cen),
+sc AS (
+  SELECT qs.query_id, qs.plant, vecs.vec_id, vecs.file,
+    CASE WHEN list_dot_product(v, v) > 0 AND list_dot_product(q, q) > 0
+         THEN list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) END AS score
+  FROM vecs CROSS JOIN qs),
+top10 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC NULLS LAST, vec_id) AS rank
+                 FROM sc) WHERE rank <= 10),
+post AS (
+  SELECT * FROM (
+    SELECT t.query_id, t.vec_id, t.file, t.score, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS rank
+    FROM top10 t WHERE EXISTS (SELECT 1 FROM refs r WHERE r.plant = t.plant AND r.file = t.file)) WHERE rank <= 3)"""
+ORACLE["search_top10"] = f"WITH {_VEC} SELECT query_id, rank, vec_id, file, round(score, 6) AS score FROM top10"
+ORACLE["search_postfilter"] = f"WITH {_VEC} SELECT query_id, rank, vec_id, file, round(score, 6) AS score FROM post"
+ORACLE["search_prefilter"] = f"""WITH {_VEC},
+pre AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC NULLS LAST, vec_id) AS rank
+    FROM sc s WHERE EXISTS (SELECT 1 FROM refs r WHERE r.plant = s.plant AND r.file = s.file)) WHERE rank <= 3)
+SELECT query_id, rank, vec_id, file, round(score, 6) AS score FROM pre"""
+ORACLE["search_status"] = f"""WITH {_VEC},
+na AS (SELECT plant, count(*) AS n FROM refs GROUP BY plant),
+nt AS (SELECT query_id, count(*) AS n FROM top10 GROUP BY query_id),
+nk AS (SELECT query_id, count(*) AS n FROM post GROUP BY query_id)
+SELECT qs.query_id, qs.plant,
+  CASE WHEN coalesce(na.n, 0) = 0 THEN 'no_allowed_files' WHEN (SELECT count(*) FROM vecs) = 0 THEN 'empty_index'
+       WHEN coalesce(nt.n, 0) = 0 THEN 'no_hit' WHEN coalesce(nk.n, 0) = 0 THEN 'no_allowed_hit' ELSE 'ok' END AS status,
+  coalesce(nk.n, 0) AS n_returned
+FROM qs LEFT JOIN na ON qs.plant = na.plant LEFT JOIN nt ON qs.query_id = nt.query_id LEFT JOIN nk ON qs.query_id = nk.query_id"""
+
+_TOK = "'[\\p{L}\\p{N}]+'"
+
+
+def _tfidf(queries: str) -> str:
+    """TF-IDF cosine of ``queries(query_id, text)`` against the document
+    chunks; top 3 per query."""
+    return f"""{_CHUNKS},
+qsrc AS ({queries}),
+ct AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(text), {_TOK})) AS term FROM chunks),
+tf AS (SELECT doc_id, pos, term, count(*) AS tf FROM ct GROUP BY doc_id, pos, term),
+idf AS (SELECT term, ln(CAST((SELECT count(*) FROM chunks) AS DOUBLE) / count(*)) AS idf FROM tf GROUP BY term),
+w AS (SELECT tf.doc_id, tf.pos, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term WHERE idf.idf > 0),
+nd AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS nd FROM w GROUP BY doc_id, pos),
+qt AS (SELECT query_id, unnest(regexp_extract_all(lower(text), {_TOK})) AS term FROM qsrc),
+qtf AS (SELECT query_id, term, count(*) AS tf FROM qt GROUP BY query_id, term),
+qw AS (SELECT qtf.query_id, qtf.term, qtf.tf * idf.idf AS wq FROM qtf JOIN idf ON qtf.term = idf.term WHERE idf.idf > 0),
+qn AS (SELECT query_id, sqrt(sum(wq * wq)) AS nq FROM qw GROUP BY query_id),
+dots AS (SELECT qw.query_id, w.doc_id, w.pos, sum(w.w * qw.wq) AS dot FROM w JOIN qw ON w.term = qw.term
+         GROUP BY qw.query_id, w.doc_id, w.pos),
+tsc AS (SELECT d.query_id, d.doc_id, d.pos, d.dot / (nd.nd * qn.nq) AS score FROM dots d
+        JOIN nd ON d.doc_id = nd.doc_id AND d.pos = nd.pos JOIN qn ON d.query_id = qn.query_id),
+trk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC NULLS LAST, doc_id, pos)
+        AS rank FROM tsc) WHERE rank <= 3),
+thits AS (SELECT trk.*, c.file, c.text FROM trk JOIN chunks c ON trk.doc_id = c.doc_id AND trk.pos = c.pos)"""
+
+
+_BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
+ORACLE["text_search"] = f"WITH {_tfidf(_BENCH_Q)} SELECT query_id, rank, doc_id, pos, file, round(score, 6) AS score FROM thits"
+ORACLE["context_block"] = f"""WITH {_tfidf(_BENCH_Q)}
+SELECT query_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS context,
+  string_agg(file, ', ' ORDER BY rank) AS files, count(*) AS n_hits FROM thits GROUP BY query_id"""

@@ -185,3 +185,20 @@ def params_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON texts a model might return: valid, numbers as strings, arrays, not
     JSON, null values."""
     return read(spark, sf_dir, "events").selectExpr("event_id", PARAMS_TEXT_EXPR)
+
+
+def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their file name (the ``source`` column)."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), "text")
+
+
+def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as paged documents: file = conversation, page = turn."""
+    return read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("file"), F.col("turn").alias("page_no"), "text")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk vectors with the file each came from (``'src' || label``)."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.concat(F.lit("src"), F.col("label").cast("string")).alias("file"), "embedding", "label")
