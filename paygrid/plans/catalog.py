@@ -383,3 +383,59 @@ def text_search(spark, sf):
 @query("context_block")
 def context_block(spark, sf):
     return rt.context_block(_text_hits(spark, sf))
+
+
+# ----------------------------------------------------------------- SQL, records, streaming, answers
+from ..operators.sql import run_sql  # noqa: E402
+from ..streaming.tagging import tag_stream  # noqa: E402
+
+PASSTHROUGH_SQL = """
+SELECT h.planta, COUNT(*) AS total_colaboradores, ROUND(AVG(h.salario_atual), 4) AS media_salarial
+FROM headcount h JOIN premissas p ON h.planta = p.planta
+GROUP BY h.planta HAVING COUNT(*) > :min_rows"""
+
+
+@query("sql_passthrough")
+def sql_passthrough(spark, sf):
+    return run_sql(spark, PASSTHROUGH_SQL, {"headcount": tm.employees(spark, sf), "premissas": tm.rates(spark, sf)},
+                   {"min_rows": 0})
+
+
+@query("to_records")
+def to_records(spark, sf):
+    m = _market(spark, sf)
+    rec = F.to_json(F.struct("Filial", "Empresa_Referencia", "Regiao", "Reajuste_Praticado", "VA_Valor", "Data_Acordo"))
+    return m.select("Filial", rec.alias("record"))
+
+
+@query("stream_tag")
+def stream_tag(spark, sf):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    return tag_stream(spark, sf, schema, _smap(spark, sf), glob="conversations.parquet")
+
+
+@query("answer_context")
+def answer_context(spark, sf):
+    """Everything a model needs to answer each question: resolved plant and
+    intent, the plant's top-3 allowed document chunks (top 10 of the whole
+    index, then the allow-list), its market row status and its cost under the
+    test scenario."""
+    routed = _routed(spark, sf)
+    refs = tm.doc_refs(spark, sf)
+    chunks = _chunks(spark, sf)
+    qs = routed.select(F.struct("conv_id", "turn").alias("query_id"), "text")
+    top = rt.top_k(rt.text_scores(qs, chunks, ["doc_id", "pos"]), rt.SEARCH_LIMIT, ["doc_id", "pos"])
+    top = top.join(chunks.select("doc_id", "pos", "file", "text"), ["doc_id", "pos"], "inner") \
+        .join(routed.select(F.struct("conv_id", "turn").alias("query_id"), "plant"), "query_id", "inner")
+    ctx = rt.context_block(rt.post_filter(top, refs))
+    ctx = ctx.select(F.col("query_id.conv_id").alias("conv_id"), F.col("query_id.turn").alias("turn"),
+                     "files", "n_hits")
+    market = mk.benchmark_status(routed.select("plant").distinct(), _market(spark, sf)) \
+        .select("plant", F.col("status").alias("market_status"))
+    cost = pay.scenario_costs(tm.employees(spark, sf), tm.rates(spark, sf), [TEST_SCENARIO]) \
+        .select(F.concat(F.lit("G"), F.col("planta").cast("string")).alias("plant"), "current_cost", "projected_cost")
+    j = routed.select("conv_id", "turn", "plant", "intent") \
+        .join(ctx, ["conv_id", "turn"], "left").join(market, "plant", "left").join(cost, "plant", "left")
+    return j.select("conv_id", "turn", "plant", "intent", F.col("files").alias("context_files"),
+                    F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_context"), "market_status",
+                    "current_cost", "projected_cost")

@@ -392,3 +392,33 @@ ORACLE["text_search"] = f"WITH {_tfidf(_BENCH_Q)} SELECT query_id, rank, doc_id,
 ORACLE["context_block"] = f"""WITH {_tfidf(_BENCH_Q)}
 SELECT query_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS context,
   string_agg(file, ', ' ORDER BY rank) AS files, count(*) AS n_hits FROM thits GROUP BY query_id"""
+
+# ----------------------------------------------------------------- SQL, records, streaming, answers
+ORACLE["sql_passthrough"] = f"""WITH {_ctes()}, headcount AS (SELECT * FROM h), premissas AS (SELECT * FROM p)
+SELECT h.planta, COUNT(*) AS total_colaboradores, ROUND(AVG(h.salario_atual), 4) AS media_salarial
+FROM headcount h JOIN premissas p ON h.planta = p.planta
+GROUP BY h.planta HAVING COUNT(*) > 0"""
+ORACLE["to_records"] = f"""WITH {_MARKET}
+SELECT Filial, CAST(to_json({{'Filial': Filial, 'Empresa_Referencia': Empresa_Referencia, 'Regiao': Regiao,
+  'Reajuste_Praticado': Reajuste_Praticado, 'VA_Valor': VA_Valor, 'Data_Acordo': Data_Acordo}}) AS VARCHAR) AS record
+FROM market"""
+ORACLE["stream_tag"] = ORACLE["tag_group"]
+_MSGQ = "SELECT {'c': conv_id, 't': turn} AS query_id, text FROM routed"
+
+
+def _answer() -> str:
+    t = _tfidf(_MSGQ).replace("WHERE rank <= 3)", "WHERE rank <= 10)")
+    return f"""WITH {_SYN}, {_REFS.replace('refs AS', 'drefs AS')}, {_MARKET}, {t},
+hp AS (SELECT thits.*, r.plant FROM thits JOIN routed r ON thits.query_id.c = r.conv_id AND thits.query_id.t = r.turn),
+post AS (SELECT * FROM (SELECT hp.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r2 FROM hp
+         WHERE EXISTS (SELECT 1 FROM drefs d WHERE d.plant = hp.plant AND d.file = hp.file)) WHERE r2 <= 3),
+actx AS (SELECT query_id.c AS conv_id, query_id.t AS turn, string_agg(file, ', ' ORDER BY r2) AS files, count(*) AS n_hits
+        FROM post GROUP BY query_id),
+cost AS (SELECT 'G' || CAST(planta AS VARCHAR) AS plant, current_cost, projected_cost FROM ({_details("h", "p", SCEN_TEST)}))
+SELECT r.conv_id, r.turn, r.plant, r.intent, actx.files AS context_files, coalesce(actx.n_hits, 0) AS n_context,
+  CASE WHEN m.Filial IS NULL THEN 'no_data' ELSE 'ok' END AS market_status, cost.current_cost, cost.projected_cost
+FROM routed r LEFT JOIN actx ON r.conv_id = actx.conv_id AND r.turn = actx.turn
+LEFT JOIN market m ON upper(r.plant) = upper(m.Filial) LEFT JOIN cost ON r.plant = cost.plant"""
+
+
+ORACLE["answer_context"] = _answer()
