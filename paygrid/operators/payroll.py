@@ -16,6 +16,7 @@ would, because the post-join sums run over the joined rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -45,18 +46,20 @@ class Scenario:
     pct_overtime: float = 0.0
 
 
+SCENARIO_TYPE = ("array<struct<scenario_id:string,pct_salary:double,pct_va:double,"
+                 "pct_plr:double,pct_overtime:double>>")
+
+
 def scenarios_column(scenarios: Sequence[Scenario]) -> Column:
-    """A literal array of scenario structs; its size is the caller's list."""
-    return F.array(*[
-        F.struct(
-            F.lit(s.scenario_id).alias("scenario_id"),
-            F.lit(float(s.pct_salary)).alias("pct_salary"),
-            F.lit(float(s.pct_va)).alias("pct_va"),
-            F.lit(float(s.pct_plr)).alias("pct_plr"),
-            F.lit(float(s.pct_overtime)).alias("pct_overtime"),
-        )
+    """The scenario list as one array column: a single JSON string literal
+    parsed by ``from_json``, which the optimizer folds into a constant once
+    (thousands of scenarios cost one literal, not thousands of expressions)."""
+    payload = json.dumps([
+        {"scenario_id": s.scenario_id, "pct_salary": float(s.pct_salary), "pct_va": float(s.pct_va),
+         "pct_plr": float(s.pct_plr), "pct_overtime": float(s.pct_overtime)}
         for s in scenarios
     ])
+    return F.from_json(F.lit(payload), SCENARIO_TYPE)
 
 
 def rule_scenarios(n: int) -> list[Scenario]:

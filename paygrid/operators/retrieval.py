@@ -35,17 +35,12 @@ MAX_BROADCAST_QUERIES = 100_000   # query batch broadcast only up to this many r
 def chunk_text(docs: DataFrame, key_cols: list[str], text_col: str = "text", size: int = CHUNK_SIZE) -> DataFrame:
     """One row per non-blank ``size``-character piece: ``key_cols + [pos, text]``.
 
-    The pieces are cut inside the row (one array of substrings) and then
-    exploded, so the document text is not copied into every chunk row."""
-    t = F.col(text_col)
-    n = F.char_length(t)
-    k = F.ceil(n / F.lit(size)).cast("int")
-    pieces = F.when(n > 0, F.transform(
-        F.sequence(F.lit(0), k - 1),
-        lambda p: F.struct(p.alias("pos"), F.substring(t, p * size + 1, size).alias("text"))
-    )).otherwise(F.array().cast("array<struct<pos:int,text:string>>"))
-    x = docs.select(*key_cols, F.explode(pieces).alias("c"))
-    x = x.select(*key_cols, F.col("c.pos").alias("pos"), F.col("c.text").alias("text"))
+    The pieces are cut in one left-to-right regex pass (``.{1,size}`` counts
+    code points, like Python slicing) — per-chunk ``substring`` calls would
+    rescan the text from its start for every chunk.  Only the piece array is
+    exploded; the document text is not copied into every chunk row."""
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), 0)
+    x = docs.select(*key_cols, F.posexplode(pieces).alias("pos", "text"))
     return x.filter(tx.has_content("text"))
 
 
@@ -190,35 +185,57 @@ def search_status(queries: DataFrame, refs: DataFrame, top: DataFrame, kept: Dat
 # ----------------------------------------------------------------- text search
 def term_counts(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols, term, tf`` from lower-cased letter/digit runs."""
-    x = df.select(*id_cols, F.explode(tx.word_tokens(text_col)).alias("term"))
+    toks = F.filter(F.split(F.lower(F.col(text_col)), "[^\\p{L}\\p{N}]+", -1), lambda t: t != "")
+    x = df.select(*id_cols, F.explode(toks).alias("term"))
     return x.groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_index(chunks: DataFrame, id_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Chunk term weights ``tf·ln(N/df)`` with the chunk norm, and the idf
-    table.  Terms present in every chunk weigh 0 and are dropped (exactly
-    nothing to add)."""
+    """Chunk term weights ``tf·ln(N/df) / |chunk|`` (already divided by the
+    chunk norm) and the idf table.  Terms present in every chunk weigh 0 and
+    are dropped (exactly nothing to add).
+
+    The index comes out hash-partitioned by chunk: a chunk's terms share one
+    partition, which later lets the per-(chunk, query) sums run without a
+    shuffle."""
     n = chunks.count()
     tf = term_counts(chunks, id_cols)
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
         .select("term", F.log(F.lit(float(n)) / F.col("df")).alias("idf")).filter(F.col("idf") > 0)
     w = tf.join(idf, "term", "inner").select(*id_cols, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = w.groupBy(*id_cols).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
-    return w.join(norms, id_cols, "inner"), idf
+    index = w.join(norms, id_cols, "inner").select(*id_cols, "term", (F.col("w") / F.col("nd")).alias("wn"))
+    return index, idf
 
 
-def text_scores(queries: DataFrame, chunks: DataFrame, id_cols: list[str]) -> DataFrame:
-    """TF-IDF cosine of each query text against each chunk sharing a term:
-    ``query_id, id_cols, score``."""
-    index, idf = tfidf_index(chunks, id_cols)
+def query_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
+    """Query term weights divided by the query norm: ``query_id, term, wq``."""
     qt = term_counts(queries, ["query_id"]).join(idf, "term", "inner") \
-        .select("query_id", "term", (F.col("tf") * F.col("idf")).alias("wq"))
-    qn = qt.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    qt = qt.join(qn, "query_id", "inner")
-    j = index.join(_query_side(qt), "term", "inner")
-    dots = j.groupBy("query_id", *id_cols).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"),
-                                               F.first("nd").alias("nd"), F.first("nq").alias("nq"))
-    return dots.select("query_id", *id_cols, (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("score"))
+        .select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    qn = qt.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nq"))
+    return qt.join(qn, "query_id", "inner").select("query_id", "term", (F.col("w") / F.col("nq")).alias("wq"))
+
+
+def join_scores(index: DataFrame, qw: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Join form of the TF-IDF cosine: ``query_id, id_cols, score`` for every
+    (query, chunk) sharing a term.  Exact for any query batch size."""
+    j = index.join(_query_side(qw), "term", "inner")
+    return j.groupBy(*id_cols, "query_id").agg(F.sum(F.col("wn") * F.col("wq")).alias("score"))
+
+
+def text_top_k(queries: DataFrame, chunks: DataFrame, id_cols: list[str], k: int) -> DataFrame:
+    """Top ``k`` chunks per query by TF-IDF cosine, ranked (``rank`` column).
+
+    The query batch, when within the shipping bound, is scored block-wise in
+    the chunk partitions (see :mod:`paygrid.operators.scoring`); a larger
+    batch goes through the join form.  Both give the same hits."""
+    from . import scoring
+    index, idf = tfidf_index(chunks, id_cols)
+    qw = query_weights(queries, idf)
+    scored = scoring.blocked_text_scores(index, qw, id_cols, k)
+    if scored is None:
+        scored = join_scores(index, qw, id_cols)
+    return top_k(scored, k, id_cols)
 
 
 def context_block(hits: DataFrame, text_col: str = "text", file_col: str = "file") -> DataFrame:

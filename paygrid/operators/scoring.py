@@ -1,0 +1,162 @@
+"""Block scoring of sparse term weights (TF-IDF cosine) inside Spark tasks.
+
+Spark hash-partitions the chunk index by chunk, so every partition holds whole
+chunks; the query batch (its size checked) is broadcast.  Inside a task the
+chunks are scored against all queries block by block:
+
+* the ``DENSE_TERMS`` query terms with the most postings form a dense
+  ``terms × queries`` matrix, and a block of chunks meets it in one matrix
+  product (this is where a join on the term would emit one row per chunk,
+  query and common term);
+* the remaining (rare) terms are expanded through their short posting lists
+  and summed with ``bincount``.
+
+Each block emits only its candidates for the top ``k`` of every query (ties
+at the cut included); Spark ranks them globally afterwards.  Scores are the
+same sums as the join form, in a different order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DENSE_TERMS = 1024          # most-posted query terms handled as a dense matrix
+BLOCK_CELLS = 4_000_000     # chunks × queries per block (bounds task memory)
+MAX_QUERY_WEIGHTS = 5_000_000   # query (term, weight) rows shipped to tasks at most
+CANDIDATE_DIGITS = 9        # ranking precision shared with the final window
+
+
+class QueryBatch:
+    """Query weights in posting-list form, built once on the driver from a
+    size-checked batch and shipped to the tasks with a broadcast."""
+
+    def __init__(self, qw: pd.DataFrame):
+        q_codes, q_ids = pd.factorize(qw["q"], sort=True)
+        t_codes, terms = pd.factorize(qw["term"])
+        self.n_queries = len(q_ids)
+        self.terms = pd.Index(terms)
+        postings = np.bincount(t_codes, minlength=len(terms))
+        order = np.argsort(-postings, kind="stable")
+        n_dense = min(DENSE_TERMS, len(terms))
+        dense_terms = order[:n_dense]
+        # term code -> dense column (or -1)
+        self.dense_col = np.full(len(terms), -1, dtype=np.int64)
+        self.dense_col[dense_terms] = np.arange(n_dense)
+        self.dense = np.zeros((n_dense, self.n_queries))
+        w = qw["wq"].to_numpy(dtype=np.float64)
+        is_dense = self.dense_col[t_codes] >= 0
+        self.dense[self.dense_col[t_codes[is_dense]], q_codes[is_dense]] = w[is_dense]
+        # rare terms: CSR posting lists sorted by term code
+        rt, rq, rw = t_codes[~is_dense], q_codes[~is_dense], w[~is_dense]
+        srt = np.argsort(rt, kind="stable")
+        rt, self.post_q, self.post_w = rt[srt], rq[srt], rw[srt]
+        counts = np.bincount(rt, minlength=len(terms))
+        self.post_start = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        self.post_len = counts.astype(np.int64)
+
+
+def _block_scores(batch: QueryBatch, c_local: np.ndarray, t_code: np.ndarray, wn: np.ndarray, n_chunks: int) -> np.ndarray:
+    q = batch.n_queries
+    scores = np.zeros((n_chunks, q))
+    dcol = batch.dense_col[t_code]
+    d = dcol >= 0
+    if d.any():
+        m = np.zeros((n_chunks, batch.dense.shape[0]))
+        m[c_local[d], dcol[d]] = wn[d]
+        scores += m @ batch.dense
+    r = ~d
+    if r.any():
+        rc, rt, rw = c_local[r], t_code[r], wn[r]
+        lens = batch.post_len[rt]
+        total = int(lens.sum())
+        if total:
+            rep = np.repeat(np.arange(len(rt)), lens)
+            offs = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
+            pos = batch.post_start[rt][rep] + offs
+            flat = rc[rep] * q + batch.post_q[pos]
+            scores += np.bincount(flat, weights=rw[rep] * batch.post_w[pos], minlength=n_chunks * q).reshape(n_chunks, q)
+    return scores
+
+
+def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk, query) cells among each query's top k of the block, ties at the
+    cut kept; only positive scores (a chunk sharing no term has no score)."""
+    n = scores.shape[0]
+    rounded = np.round(scores, CANDIDATE_DIGITS)
+    if n > k:
+        kth = -np.partition(-rounded, k - 1, axis=0)[k - 1]
+        keep = rounded >= kth[None, :]
+    else:
+        keep = np.ones_like(rounded, dtype=bool)
+    keep &= scores > 0
+    return np.nonzero(keep)
+
+
+def score_partitions(index: DataFrame, id_cols: list[str], batch_bc, k: int) -> DataFrame:
+    """``index(id_cols, term, wn)`` partitioned by chunk -> candidate rows
+    ``q, id_cols, score`` per block of chunks."""
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields if f.name in id_cols])
+    schema = f"q long, {schema}, score double"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [p for p in parts if len(p)]
+        if not frames:
+            return
+        part = pd.concat(frames, ignore_index=True)
+        batch: QueryBatch = batch_bc.value
+        t_code = batch.terms.get_indexer(part["term"])
+        part = part[t_code >= 0]
+        t_code = t_code[t_code >= 0]
+        if part.empty:
+            return
+        c_codes, chunks = pd.factorize(pd.MultiIndex.from_frame(part[id_cols]))
+        wn = part["wn"].to_numpy(dtype=np.float64)
+        block = max(1, BLOCK_CELLS // max(1, batch.n_queries, batch.dense.shape[0]))
+        order = np.argsort(c_codes, kind="stable")
+        c_sorted, t_sorted, w_sorted = c_codes[order], t_code[order], wn[order]
+        bounds = np.searchsorted(c_sorted, np.arange(0, len(chunks) + block, block))
+        for b in range(len(bounds) - 1):
+            lo, hi = bounds[b], bounds[b + 1]
+            if lo == hi:
+                continue
+            first = b * block
+            n_chunks = min(block, len(chunks) - first)
+            sc = _block_scores(batch, c_sorted[lo:hi] - first, t_sorted[lo:hi], w_sorted[lo:hi], n_chunks)
+            ci, qi = _candidates(sc, k)
+            keys = chunks[first + ci]
+            out = pd.DataFrame({"q": qi.astype(np.int64)})
+            for j, c in enumerate(id_cols):
+                out[c] = keys.get_level_values(j)
+            out["score"] = sc[ci, qi]
+            yield out
+
+    return index.mapInPandas(run, schema)
+
+
+def blocked_text_scores(index: DataFrame, qw: DataFrame, id_cols: list[str], k: int,
+                        partitions: int | None = None) -> DataFrame | None:
+    """Top-``k`` candidates per query (``query_id, id_cols, score``) by block
+    scoring, or ``None`` when the query batch exceeds the shipping bound (the
+    caller then uses the join form)."""
+    spark = index.sparkSession
+    rows = qw.select("query_id", "term", "wq").limit(MAX_QUERY_WEIGHTS + 1).collect()
+    if len(rows) > MAX_QUERY_WEIGHTS:
+        return None
+    qids = list(dict.fromkeys(r[0] for r in rows))
+    qpos = {q: i for i, q in enumerate(qids)}
+    local = pd.DataFrame({"q": np.fromiter((qpos[r[0]] for r in rows), dtype=np.int64, count=len(rows)),
+                          "term": [r[1] for r in rows],
+                          "wq": np.fromiter((r[2] for r in rows), dtype=np.float64, count=len(rows))})
+    bc = spark.sparkContext.broadcast(QueryBatch(local))
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cands = score_partitions(index.repartition(parts, *id_cols), id_cols, bc, k)
+    qmap = spark.createDataFrame(
+        [(i, q) for i, q in enumerate(qids)],
+        T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", qw.schema["query_id"].dataType)]))
+    return cands.join(F.broadcast(qmap), "q", "inner").drop("q")

@@ -370,7 +370,7 @@ def search_status(spark, sf):
 def _text_hits(spark, sf):
     chunks = _chunks(spark, sf)
     qs = tm.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    top = rt.top_k(rt.text_scores(qs, chunks, ["doc_id", "pos"]), rt.RETURNED, ["doc_id", "pos"])
+    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.RETURNED)
     return top.join(chunks, ["doc_id", "pos"], "inner")
 
 
@@ -424,7 +424,7 @@ def answer_context(spark, sf):
     refs = tm.doc_refs(spark, sf)
     chunks = _chunks(spark, sf)
     qs = routed.select(F.struct("conv_id", "turn").alias("query_id"), "text")
-    top = rt.top_k(rt.text_scores(qs, chunks, ["doc_id", "pos"]), rt.SEARCH_LIMIT, ["doc_id", "pos"])
+    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.SEARCH_LIMIT)
     top = top.join(chunks.select("doc_id", "pos", "file", "text"), ["doc_id", "pos"], "inner") \
         .join(routed.select(F.struct("conv_id", "turn").alias("query_id"), "plant"), "query_id", "inner")
     ctx = rt.context_block(rt.post_filter(top, refs))
