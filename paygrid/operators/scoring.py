@@ -1,8 +1,9 @@
 """Block scoring of sparse term weights (TF-IDF cosine) inside Spark tasks.
 
-Spark hash-partitions the chunk index by chunk, so every partition holds whole
-chunks; the query batch (its size checked) is broadcast.  Inside a task the
-chunks are scored against all queries block by block:
+Spark groups the chunk index into hash buckets of whole chunks (a bucket's
+rows arrive together in one ``applyInPandas`` call); the query batch (its size
+checked) is broadcast.  Inside a task the chunks are scored against all
+queries block by block:
 
 * the ``DENSE_TERMS`` query terms with the most postings form a dense
   ``terms × queries`` matrix, and a block of chunks meets it in one matrix
@@ -98,45 +99,54 @@ def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep)
 
 
-def score_partitions(index: DataFrame, id_cols: list[str], batch_bc, k: int) -> DataFrame:
-    """``index(id_cols, term, wn)`` partitioned by chunk -> candidate rows
-    ``q, id_cols, score`` per block of chunks."""
+def score_buckets(index: DataFrame, id_cols: list[str], batch_bc, k: int, buckets: int) -> DataFrame:
+    """``index(id_cols, term, wn)`` -> candidate rows ``q, id_cols, score``.
+
+    Chunks are spread over ``buckets`` groups by a hash of their id; a group
+    (all rows of its chunks, delivered together) is scored block by block."""
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields if f.name in id_cols])
     schema = f"q long, {schema}, score double"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [p for p in parts if len(p)]
-        if not frames:
-            return
-        part = pd.concat(frames, ignore_index=True)
-        batch: QueryBatch = batch_bc.value
-        t_code = batch.terms.get_indexer(part["term"])
-        part = part[t_code >= 0]
-        t_code = t_code[t_code >= 0]
-        if part.empty:
-            return
-        c_codes, chunks = pd.factorize(pd.MultiIndex.from_frame(part[id_cols]))
-        wn = part["wn"].to_numpy(dtype=np.float64)
-        block = max(1, BLOCK_CELLS // max(1, batch.n_queries, batch.dense.shape[0]))
-        order = np.argsort(c_codes, kind="stable")
-        c_sorted, t_sorted, w_sorted = c_codes[order], t_code[order], wn[order]
-        bounds = np.searchsorted(c_sorted, np.arange(0, len(chunks) + block, block))
-        for b in range(len(bounds) - 1):
-            lo, hi = bounds[b], bounds[b + 1]
-            if lo == hi:
-                continue
-            first = b * block
-            n_chunks = min(block, len(chunks) - first)
-            sc = _block_scores(batch, c_sorted[lo:hi] - first, t_sorted[lo:hi], w_sorted[lo:hi], n_chunks)
-            ci, qi = _candidates(sc, k)
-            keys = chunks[first + ci]
-            out = pd.DataFrame({"q": qi.astype(np.int64)})
-            for j, c in enumerate(id_cols):
-                out[c] = keys.get_level_values(j)
-            out["score"] = sc[ci, qi]
-            yield out
-
-    return index.mapInPandas(run, schema)
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        outs = list(_score_group(part, id_cols, batch_bc.value, k))
+        if not outs:
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), **{c: pd.Series(dtype="int64") for c in id_cols},
+                                 "score": pd.Series(dtype="float64")})
+        return pd.concat(outs, ignore_index=True)
+
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), F.lit(buckets))
+    return index.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(
+        lambda pdf: run(pdf.drop(columns=["_bucket"])), schema)
+
+
+def _score_group(part: pd.DataFrame, id_cols: list[str], batch: QueryBatch, k: int) -> Iterator[pd.DataFrame]:
+    if part.empty:
+        return
+    t_code = batch.terms.get_indexer(part["term"])
+    part = part[t_code >= 0]
+    t_code = t_code[t_code >= 0]
+    if part.empty:
+        return
+    c_codes, chunks = pd.factorize(pd.MultiIndex.from_frame(part[id_cols]))
+    wn = part["wn"].to_numpy(dtype=np.float64)
+    block = max(1, BLOCK_CELLS // max(1, batch.n_queries, batch.dense.shape[0]))
+    order = np.argsort(c_codes, kind="stable")
+    c_sorted, t_sorted, w_sorted = c_codes[order], t_code[order], wn[order]
+    bounds = np.searchsorted(c_sorted, np.arange(0, len(chunks) + block, block))
+    for b in range(len(bounds) - 1):
+        lo, hi = bounds[b], bounds[b + 1]
+        if lo == hi:
+            continue
+        first = b * block
+        n_chunks = min(block, len(chunks) - first)
+        sc = _block_scores(batch, c_sorted[lo:hi] - first, t_sorted[lo:hi], w_sorted[lo:hi], n_chunks)
+        ci, qi = _candidates(sc, k)
+        keys = chunks[first + ci]
+        out = pd.DataFrame({"q": qi.astype(np.int64)})
+        for j, c in enumerate(id_cols):
+            out[c] = keys.get_level_values(j)
+        out["score"] = sc[ci, qi]
+        yield out
 
 
 def blocked_text_scores(index: DataFrame, qw: DataFrame, id_cols: list[str], k: int,
@@ -154,8 +164,8 @@ def blocked_text_scores(index: DataFrame, qw: DataFrame, id_cols: list[str], k:
                           "term": [r[1] for r in rows],
                           "wq": np.fromiter((r[2] for r in rows), dtype=np.float64, count=len(rows))})
     bc = spark.sparkContext.broadcast(QueryBatch(local))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cands = score_partitions(index.repartition(parts, *id_cols), id_cols, bc, k)
+    buckets = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cands = score_buckets(index, id_cols, bc, k, buckets)
     qmap = spark.createDataFrame(
         [(i, q) for i, q in enumerate(qids)],
         T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", qw.schema["query_id"].dataType)]))
