@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..session import scratch_path
 
 CHUNK_SIZE = 1000     # characters per chunk (fixed value)
 SEARCH_LIMIT = 10     # hits taken from the whole index (fixed value)
@@ -198,8 +199,14 @@ def tfidf_index(chunks: DataFrame, id_cols: list[str]) -> tuple[DataFrame, DataF
     The index comes out hash-partitioned by chunk: a chunk's terms share one
     partition, which later lets the per-(chunk, query) sums run without a
     shuffle."""
+    spark = chunks.sparkSession
     n = chunks.count()
-    tf = term_counts(chunks, id_cols)
+    # The term counts feed the idf, the query weights (collected) and the
+    # index: written once as a table in the shared checkpoint folder and read
+    # back, instead of being recomputed by each of those jobs.
+    path = scratch_path(spark, "term-counts")
+    term_counts(chunks, id_cols).write.parquet(path)
+    tf = spark.read.parquet(path)
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
         .select("term", F.log(F.lit(float(n)) / F.col("df")).alias("idf")).filter(F.col("idf") > 0)
     w = tf.join(idf, "term", "inner").select(*id_cols, "term", (F.col("tf") * F.col("idf")).alias("w"))
