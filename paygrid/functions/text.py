@@ -99,3 +99,19 @@ def word_tokens(col: Column | str) -> Column:
     """Lower-cased runs of letters and digits (array<string>)."""
     c = F.lower(F.col(col) if isinstance(col, str) else col)
     return F.regexp_extract_all(c, F.lit("[\\p{L}\\p{N}]+"), 0)
+
+
+def render_rows(cols: list[str], sep: str = " | ") -> Column:
+    """One text line per row (the text-table form handed to a prompt);
+    nulls render as empty strings."""
+    return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+
+
+def render_table(df, cols: list[str], order_col: str, group_cols: list[str] | None = None, sep: str = " | "):
+    """Rows rendered as lines under a header line, in ``order_col`` order, one
+    text per group (a bounded group: a plant's market rows, a query's hits)."""
+    groups = list(group_cols or [])
+    line = render_rows(cols, sep)
+    g = df.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), line.alias("l")))).alias("ls"))
+    header = sep.join(cols)
+    return g.select(*groups, F.concat_ws("\n", F.lit(header), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("table"))

@@ -1,0 +1,52 @@
+"""Document folder scan, rejects, history sink, text tables, quoted-record files."""
+
+import os
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from paygrid.functions.text import render_table
+from paygrid.sources import delimited as dl
+from paygrid.sources import documents as ds
+
+
+def test_scan_documents(spark):
+    d = tempfile.mkdtemp(prefix="paygrid-docs-")
+    for name, body in [("a.txt", "alpha"), ("b.txt", "beta"), ("c.md", "skip")]:
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    got = {r.file: r.text for r in ds.scan_documents(spark, d, ".txt", text=True).collect()}
+    assert got == {"a.txt": "alpha", "b.txt": "beta"}
+    assert ds.scan_documents(spark, d, ".txt").count() == 2
+    with pytest.raises(ds.NoDocuments):
+        ds.scan_documents(spark, d, ".pdf")
+    with pytest.raises(ds.NoDocuments):
+        ds.scan_documents(spark, os.path.join(d, "missing"), ".pdf")
+
+
+def test_rejects_and_history(spark):
+    docs = spark.createDataFrame([(1, "text"), (2, None), (3, " \t ")], "doc_id int, text string")
+    ok, rej = ds.split_rejects(docs)
+    assert [r.doc_id for r in ok.collect()] == [1]
+    assert {r.doc_id: r.reason for r in rej.collect()} == {2: "no_text", 3: "blank"}
+    path = os.path.join(tempfile.mkdtemp(prefix="paygrid-hist-"), "history")
+    rows = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    ds.append_history(rows, path)
+    ds.append_history(rows.withColumn("turn", F.lit(1).cast("long")).withColumn("role", F.lit("assistant")), path)
+    assert [r.role for r in spark.read.parquet(path).orderBy("conv_id", "turn").collect()] == ["user", "assistant"]
+
+
+def test_text_table(spark):
+    df = spark.createDataFrame([("G1", 2, "b", 2.5), ("G1", 1, "a", None)], "plant string, o int, x string, y double")
+    t = render_table(df, ["x", "y"], "o", ["plant"]).first().table
+    assert t == "x | y\na | \nb | 2.5"
+
+
+def test_read_record_quoted_file(spark):
+    d = tempfile.mkdtemp(prefix="paygrid-mkt-")
+    p = os.path.join(d, "m.csv")
+    with open(p, "w", encoding="utf-8-sig") as f:
+        f.write('"Filial;Empresa;Valor"\n"G1 ;Renault;R$ 1.200,00"\n"G2;GM"\n"G3;a;b;c"\n')
+    rows = {r.Filial.strip(): r for r in dl.read_record_quoted(spark, p).collect()}
+    assert set(rows) == {"G1", "G2"} and rows["G2"].Valor is None and rows["G1"].Empresa == "Renault"
