@@ -24,7 +24,7 @@ def tag_stream(spark: SparkSession, source_dir: str, schema: str, smap: DataFram
     and return the tagged rows read back from the sink."""
     out_dir = out_dir or scratch_path(spark, "stream-tag-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-tag-ckpt")
-    k = tg.max_words(smap)
+    profile = tg.dictionary_profile(smap)     # once per stream, not per batch
     smap_static = smap.cache()
 
     src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
@@ -32,7 +32,7 @@ def tag_stream(spark: SparkSession, source_dir: str, schema: str, smap: DataFram
         src = src.filter(F.col("role") == role)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        tagged = tg.tag_messages(batch, smap_static, list(id_cols), k_max=k)
+        tagged = tg.tag_messages(batch, smap_static, list(id_cols), profile=profile)
         tagged.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     q = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint) \
