@@ -52,7 +52,7 @@ rf AS (
     1 + coalesce(rat_fap, 0) + coalesce(fgts, 0) + coalesce(inss_patronal, 0) + coalesce(terceiros, 0) AS e,
     coalesce(perc_he_medio, 0) AS he FROM {rates}),
 b AS (
-  SELECT emp.planta, sum(n_rows) AS n_employees, sum(s_sum) AS S, sum(s_sum * he * 1.2) AS HE,
+  SELECT emp.planta, CAST(sum(n_rows) AS BIGINT) AS n_employees, sum(s_sum) AS S, sum(s_sum * he * 1.2) AS HE,
     sum(s_sum * f * e) AS A, sum(s_sum * he * f * e) AS B, sum(va_sum) AS V, sum(plr_sum) AS P
   FROM emp JOIN rf ON emp.planta = rf.planta GROUP BY emp.planta),
 k AS (
@@ -255,7 +255,7 @@ SELECT r.conv_id, r.turn, r.intent,
        WHEN contains(lower(coalesce(r.intent, '')), 'erro') THEN 'attention' ELSE 'low' END AS risk
 FROM routed r LEFT JOIN rep ON r.conv_id = rep.conv_id AND r.turn = rep.q_turn"""
 ORACLE["history_view"] = f"""WITH {_SYN}
-SELECT c.conv_id, c.turn, c.role, length(c.text) AS n_chars,
+SELECT c.conv_id, c.turn, c.role, CAST(length(c.text) AS INTEGER) AS n_chars,
   CASE WHEN c.role = 'assistant' THEN r.intent END AS reply_type,
   CASE WHEN c.role = 'assistant' THEN r.plant END AS reply_context
 FROM conversations c LEFT JOIN routed r ON c.conv_id = r.conv_id AND c.turn = r.turn + 1"""
@@ -343,14 +343,14 @@ post AS (
   SELECT * FROM (
     SELECT t.query_id, t.vec_id, t.file, t.score, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS rank
     FROM top10 t WHERE EXISTS (SELECT 1 FROM refs r WHERE r.plant = t.plant AND r.file = t.file)) WHERE rank <= 3)"""
-ORACLE["search_top10"] = f"WITH {_VEC} SELECT query_id, rank, vec_id, file, round(score, 6) AS score FROM top10"
-ORACLE["search_postfilter"] = f"WITH {_VEC} SELECT query_id, rank, vec_id, file, round(score, 6) AS score FROM post"
+ORACLE["search_top10"] = f"WITH {_VEC} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, file, round(score, 6) AS score FROM top10"
+ORACLE["search_postfilter"] = f"WITH {_VEC} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, file, round(score, 6) AS score FROM post"
 ORACLE["search_prefilter"] = f"""WITH {_VEC},
 pre AS (
   SELECT * FROM (
     SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC NULLS LAST, vec_id) AS rank
     FROM sc s WHERE EXISTS (SELECT 1 FROM refs r WHERE r.plant = s.plant AND r.file = s.file)) WHERE rank <= 3)
-SELECT query_id, rank, vec_id, file, round(score, 6) AS score FROM pre"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, file, round(score, 6) AS score FROM pre"""
 ORACLE["search_status"] = f"""WITH {_VEC},
 na AS (SELECT plant, count(*) AS n FROM refs GROUP BY plant),
 nt AS (SELECT query_id, count(*) AS n FROM top10 GROUP BY query_id),
@@ -388,7 +388,7 @@ thits AS (SELECT trk.*, c.file, c.text FROM trk JOIN chunks c ON trk.doc_id = c.
 
 
 _BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
-ORACLE["text_search"] = f"WITH {_tfidf(_BENCH_Q)} SELECT query_id, rank, doc_id, pos, file, round(score, 6) AS score FROM thits"
+ORACLE["text_search"] = f"WITH {_tfidf(_BENCH_Q)} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, pos, file, round(score, 6) AS score FROM thits"
 ORACLE["context_block"] = f"""WITH {_tfidf(_BENCH_Q)}
 SELECT query_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS context,
   string_agg(file, ', ' ORDER BY rank) AS files, count(*) AS n_hits FROM thits GROUP BY query_id"""
