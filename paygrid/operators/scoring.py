@@ -19,6 +19,7 @@ same sums as the join form, in a different order.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:  # tasks need numpy and pandas only, not this package on their path
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - then the package must be shipped (--py-files)
+    pass
+
 DENSE_TERMS = 1024          # most-posted query terms handled as a dense matrix
 BLOCK_CELLS = 4_000_000     # chunks × queries per block (bounds task memory)
 MAX_QUERY_WEIGHTS = 5_000_000   # query (term, weight) rows shipped to tasks at most
@@ -108,7 +115,9 @@ def score_buckets(index: DataFrame, id_cols: list[str], batch_bc, k: int, bucket
     schema = f"q long, {schema}, score double"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        outs = list(_score_group(part, id_cols, batch_bc.value, k))
+        batch = QueryBatch.__new__(QueryBatch)
+        batch.__dict__.update(batch_bc.value)     # plain arrays travel; the class comes with this function
+        outs = list(_score_group(part, id_cols, batch, k))
         if not outs:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), **{c: pd.Series(dtype="int64") for c in id_cols},
                                  "score": pd.Series(dtype="float64")})
@@ -163,7 +172,7 @@ def blocked_text_scores(index: DataFrame, qw: DataFrame, id_cols: list[str], k:
     local = pd.DataFrame({"q": np.fromiter((qpos[r[0]] for r in rows), dtype=np.int64, count=len(rows)),
                           "term": [r[1] for r in rows],
                           "wq": np.fromiter((r[2] for r in rows), dtype=np.float64, count=len(rows))})
-    bc = spark.sparkContext.broadcast(QueryBatch(local))
+    bc = spark.sparkContext.broadcast(dict(vars(QueryBatch(local))))
     buckets = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cands = score_buckets(index, id_cols, bc, k, buckets)
     qmap = spark.createDataFrame(
