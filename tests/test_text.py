@@ -78,3 +78,23 @@ def test_money_and_percent_formats(spark):
     r = df.select(nu.format_money("m"), nu.format_pct("p"), nu.parse_brl("b"), nu.parse_percent("pc"),
                   nu.parse_year_month("ym").cast("string"), nu.parse_brl("bad")).first()
     assert tuple(r) == ("R$ 1,234.50", "6.26%", 1200.0, 5.5, "2025-01-01", None)
+
+
+def test_tagging_irregular_synonym_fallback(spark):
+    """A synonym that starts and ends with punctuation cannot be an n-gram;
+    Python's ``\\b`` then needs a word character *outside* the brackets."""
+    import re
+    lines = spark.createDataFrame([(1, "G3", "(gm)"), (2, "G4", "fiat")], "line long, Planta string, Sinonimos string")
+    smap = tg.synonym_map(tg.explode_synonyms(lines))
+    texts = ["carro(gm)novo", "o (gm) novo", "fiat (gm)", "nada"]
+    msgs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.tagged_plant for r in tg.tag_messages(msgs, smap, ["id"]).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        hit = None
+        for syn, plant in (("(gm)", "G3"), ("fiat", "G4")):
+            if re.search(rf"\b{re.escape(syn)}\b", t.lower()):
+                hit = plant
+                break
+        want[i] = hit
+    assert got == want
