@@ -18,6 +18,7 @@ Arrow batch and ``cache_words``.
 
 from __future__ import annotations
 
+import copy
 import functools
 import json
 import re
@@ -68,7 +69,7 @@ def newer_characters() -> str:
 class TrieEncoder:
     """Encoder and decoder of one byte-level BPE vocabulary."""
 
-    def __init__(self, spec: str, newer: str = "", cache_words: int = 600_000):
+    def __init__(self, spec: str, newer: str = "", cache_words: int = 400_000):
         d = json.loads(spec)
         if d["model"]["type"] != "BPE" or d.get("normalizer") or d["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError("a byte-level BPE file without a normalizer is needed")
@@ -191,7 +192,7 @@ class TrieEncoder:
         pair = a << 20 | b
         ok = follows.get(pair)
         if ok is None:
-            if len(follows) >= 1_000_000:
+            if len(follows) >= 400_000:
                 follows.clear()
             ok = follows[pair] = self._meeting(a, b) is None
         return ok
@@ -254,7 +255,7 @@ def _encoder(shipped) -> TrieEncoder:
     return cache[key]
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
+def slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000):
     """Runs of rows whose texts have about ``chars`` bytes together, and at least one row each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -267,27 +268,27 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
         yield batch.slice(start)
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with ``out_col``: the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
+    ``decoded_col`` names a column for the text decoded from those ids again.
     Null text counts as empty and gives no ids; rows, ties and repeats stay as
-    they are; an empty table stays empty.  A column of ``docs`` that has the
-    name ``out_col`` is replaced.
+    they are; an empty table stays empty.  Columns of ``docs`` that have the
+    new names are replaced.
     """
     spec = _shipped(docs, vocab_path)
-    docs = docs.drop(out_col)
+    docs = docs.drop(out_col, decoded_col or out_col)
 
     def run(batches):
         enc = _encoder(spec)
         for batch in batches:
             for part in slices(batch, text_col):
                 ids = enc.encode([t or "" for t in part.column(text_col).to_pylist()])
-                yield part.append_column(out_col, pa.array(ids, pa.binary()))
-
-    import copy
+                part = part.append_column(out_col, pa.array(ids, pa.binary()))
+                yield part.append_column(decoded_col, pa.array(map(enc.decode, ids), pa.string())) if decoded_col else part
 
     schema = copy.deepcopy(docs.schema).add(out_col, "binary")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema.add(decoded_col, "string") if decoded_col else schema)
 
 
 def decode_ids(docs: DataFrame, vocab_path: str, ids_col: str = "ids") -> Column:
@@ -313,11 +314,11 @@ def unpack_ids(packed: Column) -> Column:
 
 
 def token_digests(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the packed ids."""
-    coded = encode_documents(docs.select("doc_id", "text"), vocab_path)
+    """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 (of the text decoded from the ids)."""
+    coded = encode_documents(docs.select("doc_id", "text"), vocab_path, decoded_col="decoded")
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode_ids(coded, vocab_path).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
