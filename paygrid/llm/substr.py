@@ -19,6 +19,8 @@ of a task are decided there; only these least ones meet again.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +47,7 @@ class Words(dict):
     """Word to position in a table of 128-bit word hashes, filled as words come up."""
 
     def __init__(self):
-        self.low, self.high = [], []
+        self.low, self.high = array("Q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
