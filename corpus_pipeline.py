@@ -6,18 +6,44 @@ written as Parquet and read again as the next stage's ``docs``.
 
 from __future__ import annotations
 
-from paygrid.llm import bpe
+import uuid
+
+from paygrid.llm import bpe, langid, mixing, pii, simhash
 from paygrid.llm.common import shared_dir, table
 from paygrid.llm.queries import vocabulary
 
 
-def encode(spark, docs, sf_dir):
-    """Token ids of every text; digests prove the round trip."""
+def language(spark, docs, sf_dir):
+    """Documents without letters, or without a language the model is sure of, go."""
+    return langid.with_language(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each near-duplicate group stays: that of the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def personal_data(spark, docs, sf_dir):
+    """Every identifier found, disguised ones included, is replaced by its kind."""
+    return pii.without_personal_data(docs)
+
+
+def mixture(spark, docs, sf_dir):
+    """The documents of the mix, each as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def encoding(spark, docs, sf_dir):
+    """Token counts and digests of every text's ids and of the text decoded from them."""
     return bpe.token_digests(docs, vocabulary())
 
 
 STAGES = [
-    ("bpe_encoding", encode),
+    ("language_id", language),
+    ("simhash_near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mixture),
+    ("bpe", encoding),
 ]
 
 #: Language models and tokenizers are not SQL; tests hold the stages against brute force.
@@ -26,8 +52,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over ``documents``; what lies between two stages is written to the shared folder and read again."""
-    import uuid
-
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
