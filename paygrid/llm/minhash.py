@@ -61,7 +61,9 @@ def packed(text: Column) -> Column:
         own = F.map_from_arrays(F.transform(kept, _bin), F.transform(kept, lambda x: x.bitwiseAND(low)))
 
         def donor(i: Column) -> Column:
-            offers = F.transform(kept, lambda x: F.xxhash64(i, _bin(x)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(x.bitwiseAND(low)))
+            # its stored bits are hashed anew for bin i, so that few values do not repeat the same bits in every bin
+            place = lambda x: F.xxhash64(i, _bin(x)).bitwiseAND(F.bitwise_not(low))
+            offers = F.transform(kept, lambda x: place(x).bitwiseOR(F.xxhash64(x, i).bitwiseAND(low)))
             return F.array_min(offers).bitwiseAND(low)
 
         return let(own, lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at(m, i), donor(i))))

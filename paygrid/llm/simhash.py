@@ -81,6 +81,11 @@ def ball(bits: list[int], radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array, as one literal that the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def bit_counts(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How often each bit is set and how often each two are set together, over all rows."""
 
@@ -176,12 +181,11 @@ def links(nodes: DataFrame, max_bits: int = 4, bucket_rows: int = 1024) -> DataF
     fp = F.col("fp")
 
     def keys(radius: bool) -> DataFrame:
-        each = []
-        for p, (bits, t) in enumerate(parts):
-            masks = F.array(*[F.lit(m).cast("long") for m in ball(range(len(bits)), t if radius else 0)])
-            at = _value(fp, bits)
-            each.append(F.transform(masks, lambda m, p=p, at=at: F.struct(F.lit(p).alias("part"), at.bitwiseXOR(m).alias("key"))))
-        return nodes.select("fp", F.inline(F.concat(*each)))
+        def of(p: int, bits: list[int], t: int) -> Column:
+            masks = longs(ball(range(len(bits)), t if radius else 0))
+            return F.transform(masks, lambda m: F.struct(F.lit(p).alias("part"), _value(fp, bits).bitwiseXOR(m).alias("key")))
+
+        return nodes.select("fp", F.inline(F.concat(*[of(p, bits, t) for p, (bits, t) in enumerate(parts)])))
 
     index, probes = keys(False), keys(True)
     hot = index.groupBy("part", "key").count().where(F.col("count") > bucket_rows).select("part", "key")
@@ -198,7 +202,7 @@ def through_midpoints(nodes: DataFrame, max_bits: int) -> DataFrame:
     """Edges from each fingerprint to one that shares a midpoint with it; exact, and linear in the rows."""
     far, close = (max_bits + 1) // 2, max_bits // 2
     inner = sum(comb(BITS, k) for k in range(close + 1))
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(range(BITS), far)])
+    masks = longs(ball(range(BITS), far))
     reach = nodes.select("fp", F.posexplode(masks).alias("pos", "mask"))
     reach = reach.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"), (F.col("pos") < inner).alias("close"))
     centre = reach.groupBy("mid").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("a"), F.count("*").alias("n"))
