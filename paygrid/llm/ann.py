@@ -87,25 +87,31 @@ class Tree:
         self.boxes.append((low, high))
         return -len(self.boxes)
 
-    def cell(self, points: np.ndarray) -> np.ndarray:
-        out = np.empty(len(points), np.int32)
-        todo = [(self.root, np.arange(len(points)))]
-        while todo:
-            node, rows = todo.pop()
-            if node < 0:
-                out[rows] = -1 - node
-                continue
-            dim, value, a, b = self.split[node]
-            under = points[rows, dim] <= value
-            todo += [(a, rows[under]), (b, rows[~under])]
-        return out
-
-    def distance(self, point: np.ndarray) -> np.ndarray:
-        """Squared distance of a point to each cell's box."""
-        low = np.array([b[0] for b in self.boxes])
-        high = np.array([b[1] for b in self.boxes])
-        gap = np.maximum(np.maximum(low - point, point - high), 0)
-        return (gap * gap).sum(axis=1)
+    def plain(self) -> tuple:
+        """Root, splits and the boxes' corners, for a broadcast that needs no class of this module."""
+        return self.root, self.split, np.array([b[0] for b in self.boxes]), np.array([b[1] for b in self.boxes])
+
+
+def cell_of(tree: tuple, points: np.ndarray) -> np.ndarray:
+    root, split, *_ = tree
+    out = np.empty(len(points), np.int32)
+    todo = [(root, np.arange(len(points)))]
+    while todo:
+        node, rows = todo.pop()
+        if node < 0:
+            out[rows] = -1 - node
+            continue
+        dim, value, a, b = split[node]
+        under = points[rows, dim] <= value
+        todo += [(a, rows[under]), (b, rows[~under])]
+    return out
+
+
+def cell_distances(tree: tuple, point: np.ndarray) -> np.ndarray:
+    """Squared distance of a point to each cell's box."""
+    *_, low, high = tree
+    gap = np.maximum(np.maximum(low - point, point - high), 0)
+    return (gap * gap).sum(axis=1)
 
 
 def verified(q, q_proj, own_id, ids, vecs, norms, proj, k, bound, limit):
@@ -165,14 +171,14 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = 0.995)
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").collect()
     cells = min(MAX_CELLS, max(1, total // (BLOCK // 2)), max(1, len(sample) // 8))
     tree = Tree(projected(_matrix(x.v for x in sample), r), cells)
-    shipped = spark.sparkContext.broadcast((r, tree))
+    shipped = spark.sparkContext.broadcast((r, tree.plain()))
 
     def place(batches):
         r, tree = shipped.value
         for b in batches:
             p = projected(_matrix(b.column("v").to_pylist()), r) if b.num_rows else np.zeros((0, PROJECTIONS))
             proj = pa.array(list(p), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), proj, pa.array(tree.cell(p))], ["vec_id", "v", "p", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), proj, pa.array(cell_of(tree, p))], ["vec_id", "v", "p", "cell"])
 
     placed = rows.mapInArrow(place, "vec_id long, v array<double>, p array<double>, cell int")
     sizes = {x.cell: x["count"] for x in placed.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
@@ -195,7 +201,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = 0.995)
         _, tree = shipped.value
         for b in batches:
             at = [
-                np.flatnonzero(tree.distance(np.asarray(p)) <= limit * max(d, TINY)).astype(np.int32)
+                np.flatnonzero(cell_distances(tree, np.asarray(p)) <= limit * max(d, TINY)).astype(np.int32)
                 for p, d in zip(b.column("qp").to_pylist(), b.column("bound").to_pylist())
             ]
             yield b.append_column("cells", pa.array(at, pa.list_(pa.int32())))

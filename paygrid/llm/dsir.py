@@ -138,7 +138,7 @@ def largest(rows: DataFrame, key: str, tie: str, k: int) -> DataFrame:
     return rows.where((F.col(key) > F.lit(last[0])) | same)
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int = 5, target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float = 0.85, seed: int = 5, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The documents drawn: doc_id, log_weight, key (log_weight plus Gumbel noise).
 
     ``target`` has the doc_id of target documents; ``share`` of all rows is

@@ -192,7 +192,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
-def with_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def with_language(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     """``docs`` without the rows rejected: no letters, or no language that reaches ``least_score``."""
     found = predict(docs, fit(docs), F.col("text"))
     from paygrid.llm.common import fresh

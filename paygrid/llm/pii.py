@@ -254,10 +254,13 @@ def report(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", find(F.col("text")).alias("found"))
     base = F.filter("found", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return rows.select(
         "doc_id",
-        *counts,
+        *map(count, KINDS),
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
         (F.size("found") - F.size(base)).cast("long").alias("n_added"),
