@@ -134,8 +134,8 @@ def largest(rows: DataFrame, key: str, tie: str, k: int) -> DataFrame:
     # the (k - above)-th of the cell's rows; TakeOrdered keeps that many per task
     inside = rows.where(here).select(key, tie).orderBy(F.desc(key), F.col(tie).asc_nulls_first()).limit(k - above)
     last = inside.orderBy(F.asc(key), F.col(tie).desc_nulls_last()).first()
-    same = (F.col(key) == F.lit(last[0])) & (F.lit(last[1] is None) & F.col(tie).isNull() | (F.col(tie).isNull() if last[1] is None else F.coalesce(F.col(tie) <= F.lit(last[1]), F.lit(True))))
-    return rows.where((F.col(key) > F.lit(last[0])) | same)
+    upto = F.col(tie).isNull() if last[1] is None else F.col(tie).isNull() | (F.col(tie) <= F.lit(last[1]))
+    return rows.where((F.col(key) > F.lit(last[0])) | (F.col(key) == F.lit(last[0])) & upto)
 
 
 def resample(docs: DataFrame, target: DataFrame, share: float = 0.85, seed: int = 5, target_rows: int = TARGET_ROWS) -> DataFrame:
