@@ -77,66 +77,77 @@ def rule_scenarios(n: int) -> list[Scenario]:
     return out
 
 
-def cents(col: str) -> Column:
-    """A money column as whole cents (bigint); null counts as 0."""
-    return F.coalesce(F.round(F.col(col).cast("double") * 100), F.lit(0.0)).cast("bigint")
+# Money is exact decimal from the first sum to the last rounding: six places for
+# an employee's amounts and a rate, ten for what is computed from them.  Only
+# results are rounded, once, to cents.
+AMOUNT, RATE, TOTAL = "decimal(22,6)", "decimal(9,6)", "decimal(24,10)"
+
+
+def _exact(col: str, kind: str) -> Column:
+    """A number as exact decimal; null and NaN count as 0."""
+    c = F.col(col).cast("double")
+    return F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)).cast(kind)
 
 
 def employee_sums(employees: DataFrame) -> DataFrame:
-    """Per-plant sums of the employee columns (nulls count as 0, rows as 1).
+    """Per-plant sums of the employee columns (null and NaN count as 0, rows as 1).
 
-    Money is summed in whole cents as 64-bit integers: exact, so the totals
-    do not depend on the order rows reach the aggregate (a double sum does).
-    Spark runs this as a partial aggregate in every map task, so a plant that
-    holds a third of all employees still ships one row per task to the
-    shuffle.
+    Sums are unrounded and exact, so they do not depend on the order in which
+    rows reach the aggregate.  Spark runs this as a partial aggregate in every
+    map task: a plant that holds a third of all employees still ships one row
+    per task to the shuffle.
     """
     return employees.groupBy(PLANT).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(cents("salario_atual")).alias("s_cents"),
-        F.sum(cents("valor_va_atual")).alias("va_cents"),
-        F.sum(cents("plr_alvo_atual")).alias("plr_cents"),
-    ).select(
-        PLANT, "n_rows",
-        (F.col("s_cents").cast("double") / 100).alias("s_sum"),
-        (F.col("va_cents").cast("double") / 100).alias("va_sum"),
-        (F.col("plr_cents").cast("double") / 100).alias("plr_sum"),
+        F.sum(_exact("salario_atual", AMOUNT)).cast(AMOUNT).alias("s_sum"),
+        F.sum(_exact("valor_va_atual", AMOUNT)).cast(AMOUNT).alias("va_sum"),
+        F.sum(_exact("plr_alvo_atual", AMOUNT)).cast(AMOUNT).alias("plr_sum"),
     )
 
 
 def rate_factors(rates: DataFrame) -> DataFrame:
-    """Per rate row: provision factor ``f``, charge factor ``e`` and overtime
-    share ``he``; a null rate counts as 0."""
-    r = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in RATE_COLUMNS}
-    return rates.select(
-        F.col(PLANT),
-        (1 + r["provisao_ferias"] + r["provisao_13"]).alias("f"),
-        (1 + r["rat_fap"] + r["fgts"] + r["inss_patronal"] + r["terceiros"]).alias("e"),
-        r["perc_he_medio"].alias("he"),
-    )
+    """Per rate row: charged-salary factor ``fe`` (provisions times charges) and
+    loaded overtime share ``ot``; a null or NaN rate counts as 0."""
+    r = {c: _exact(c, RATE) for c in RATE_COLUMNS}
+    one = F.lit(1).cast(RATE)
+    f = (one + r["provisao_ferias"] + r["provisao_13"]).cast(RATE)
+    e = (one + r["rat_fap"] + r["fgts"] + r["inss_patronal"] + r["terceiros"]).cast(RATE)
+    load = F.lit(str(OVERTIME_LOAD)).cast("decimal(2,1)")
+    return rates.select(F.col(PLANT), (f * e).cast("decimal(14,12)").alias("fe"),
+                        (r["perc_he_medio"] * load).cast("decimal(12,7)").alias("ot"))
 
 
 def cost_basis(employees: DataFrame, rates: DataFrame) -> DataFrame:
     """Per plant, the sums every scenario needs.
 
-    ``S = Σs``, ``HE = Σ 1.2·s·he``, ``A = Σ s·f·e``, ``B = Σ s·he·f·e``,
+    ``S = Σs``, ``HE = Σ 1.2·s·he``, ``A = Σ s·f·e``, ``B = Σ 1.2·s·he·f·e``,
     ``V = Σva``, ``P = Σplr``, ``n`` joined rows.  Plants without a rate row
     drop out (inner join).
     """
     j = employee_sums(employees).join(rate_factors(rates), PLANT, "inner")
+    j = j.withColumn("a", (F.col("s_sum") * F.col("fe")).cast(TOTAL))
+
+    def total(c: Column, name: str) -> Column:
+        return F.sum(c.cast(TOTAL)).cast(TOTAL).alias(name)
+
     return j.groupBy(PLANT).agg(
         F.sum("n_rows").alias("n_employees"),
-        F.sum("s_sum").alias("S"),
-        F.sum(F.col("s_sum") * F.col("he") * OVERTIME_LOAD).alias("HE"),
-        F.sum(F.col("s_sum") * F.col("f") * F.col("e")).alias("A"),
-        F.sum(F.col("s_sum") * F.col("he") * F.col("f") * F.col("e")).alias("B"),
-        F.sum("va_sum").alias("V"),
-        F.sum("plr_sum").alias("P"),
+        total(F.col("s_sum"), "S"),
+        total(F.col("s_sum") * F.col("ot"), "HE"),
+        total(F.col("a"), "A"),
+        total(F.col("a") * F.col("ot"), "B"),
+        total(F.col("va_sum"), "V"),
+        total(F.col("plr_sum"), "P"),
     )
 
 
 def _r2(c: Column) -> Column:
-    return F.round(c, 2)
+    """Cents, as double; what exact arithmetic leaves beyond six places is not a tie."""
+    return F.round(c.cast("decimal(28,6)"), 2).cast("double")
+
+
+def _times(a: Column, b: Column) -> Column:
+    return (a.cast(TOTAL) * b).cast(TOTAL)
 
 
 def detail_columns() -> list[Column]:
@@ -144,10 +155,10 @@ def detail_columns() -> list[Column]:
     scenario factors ``k_s, k_va, k_plr, k_he`` (columns in scope)."""
     A, B, S, HE, V, P = (F.col(c) for c in ("A", "B", "S", "HE", "V", "P"))
     ks, kva, kplr, khe = (F.col(c) for c in ("k_s", "k_va", "k_plr", "k_he"))
-    sal_cur = (A + OVERTIME_LOAD * B) * MONTHS
-    sal_new = ks * (A + OVERTIME_LOAD * khe * B) * MONTHS
-    va_cur, va_new = V * MONTHS, kva * V * MONTHS
-    plr_cur, plr_new = P, kplr * P
+    sal_cur = (A + B) * MONTHS
+    sal_new = _times(A + _times(B, khe), ks) * MONTHS
+    va_cur, va_new = V * MONTHS, _times(V, kva) * MONTHS
+    plr_cur, plr_new = P, _times(P, kplr)
     cur = sal_cur + va_cur + plr_cur
     new = sal_new + va_new + plr_new
     return [
@@ -165,29 +176,33 @@ def detail_columns() -> list[Column]:
         F.lit(0.0).alias("dsr_current"),
         _r2(V).alias("va_current"),
         _r2(P).alias("plr_current"),
-        _r2(S * ks).alias("base_salary_new"),
-        _r2(HE * ks * khe).alias("overtime_new"),
+        _r2(_times(S, ks)).alias("base_salary_new"),
+        _r2(_times(_times(HE, ks), khe)).alias("overtime_new"),
         F.lit(0.0).alias("dsr_projected"),
-        _r2(V * kva).alias("va_new"),
-        _r2(P * kplr).alias("plr_new"),
+        _r2(_times(V, kva)).alias("va_new"),
+        _r2(_times(P, kplr)).alias("plr_new"),
     ]
 
 
+FACTORS = {"pct_salary": "k_s", "pct_va": "k_va", "pct_plr": "k_plr", "pct_overtime": "k_he"}
+
+
+def _factors(prefix: str = "") -> list[Column]:
+    return [(1 + F.col(prefix + c) / 100).cast("decimal(12,8)").alias(k) for c, k in FACTORS.items()]
+
+
 def apply_scenarios(basis: DataFrame, scenarios: Sequence[Scenario] | Column) -> DataFrame:
     """Every plant × every scenario, from the per-plant basis.
 
     The scenarios are a parameter list exploded next to each plant row (a
-    generator, no join); the rows produced are exactly the requested grid.
+    generator, no join); the rows produced are exactly the requested grid.  The
+    plants are dealt out by key before the explode, to as many tasks as shuffle
+    partitions: the few basis rows alone would be coalesced into one task.
     """
     arr = scenarios if isinstance(scenarios, Column) else scenarios_column(scenarios)
-    x = basis.select("*", F.explode(arr).alias("sc"))
-    x = x.select(
-        "*",
-        (1 + F.col("sc.pct_salary") / 100).alias("k_s"),
-        (1 + F.col("sc.pct_va") / 100).alias("k_va"),
-        (1 + F.col("sc.pct_plr") / 100).alias("k_plr"),
-        (1 + F.col("sc.pct_overtime") / 100).alias("k_he"),
-    )
+    n = int(basis.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = basis.repartition(n, PLANT).select("*", F.explode(arr).alias("sc"))
+    x = x.select("*", *_factors("sc."))
     return x.select(F.col(PLANT), F.col("sc.scenario_id").alias("scenario_id"),
                     F.col("n_employees"), *detail_columns())
 
@@ -197,10 +212,19 @@ def scenario_costs(employees: DataFrame, rates: DataFrame, scenarios: Sequence[S
     return apply_scenarios(cost_basis(employees, rates), scenarios)
 
 
+def scenario_table_costs(employees: DataFrame, rates: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Scenarios as a table: each row names its plant (column ``planta``) and four
+    percentages, and comes back with all its columns and the cost of its plant
+    under them; a row whose plant has no employee with rates keeps null costs."""
+    keep = scenarios.columns
+    x = scenarios.select("*", *_factors()).join(cost_basis(employees, rates), PLANT, "left")
+    return x.select(*keep, "n_employees", *detail_columns())
+
+
 def current_costs(employees: DataFrame, rates: DataFrame) -> DataFrame:
     """Annual current cost per plant, split into charged salary, VA and PLR."""
     b = cost_basis(employees, rates)
-    sal = (F.col("A") + OVERTIME_LOAD * F.col("B")) * MONTHS
+    sal = (F.col("A") + F.col("B")) * MONTHS
     va = F.col("V") * MONTHS
     return b.select(
         PLANT, "n_employees",
@@ -218,12 +242,12 @@ class PlantNotFound(Exception):
 def simulate_plant(employees: DataFrame, rates: DataFrame, plant, scenario: Scenario) -> DataFrame:
     """The one-plant, one-scenario call.  The plant filter is a plain equality
     on both inputs, so it reaches both parquet scans; raises
-    :class:`PlantNotFound` when nothing matches (the empty check is a
-    one-row action)."""
+    :class:`PlantNotFound` when nothing matches (one row of each input is
+    looked for, not the aggregate)."""
     e = employees.filter(F.col(PLANT) == F.lit(plant))
     r = rates.filter(F.col(PLANT) == F.lit(plant))
     out = scenario_costs(e, r, [scenario])
-    if out.select(PLANT).limit(1).count() == 0:
+    if e.isEmpty() or r.isEmpty():
         raise PlantNotFound(f"plant {plant!r} not found or without data for simulation")
     return out
 
@@ -273,7 +297,7 @@ def _unpivot(costs: DataFrame, items: Iterable[tuple[str, Column, Column]]) -> D
         PLANT, "scenario_id", F.col("r.item_order").alias("item_order"), F.col("r.item").alias("item"),
         _r2(F.col("r.cur")).alias("current"),
         _r2(F.col("r.new")).alias("projected"),
-        _r2(F.col("r.new") - F.col("r.cur")).alias("incremental"),
+        _r2(F.col("r.new").cast("decimal(28,6)") - F.col("r.cur").cast("decimal(28,6)")).alias("incremental"),
     )
 
 

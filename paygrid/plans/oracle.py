@@ -1,9 +1,9 @@
 """Independent SQL for every registered query, runnable by DuckDB on the
 driver's parquet views (same column names as the Spark results).
 
-Payroll: money is summed exactly in cents so that rounding to cents gives the
-same digits in both engines; the equivalence of the per-plant form with the
-reference's per-employee cascade is a property test (tests/test_payroll.py)."""
+Payroll: the cascade is applied to every employee row and summed, in exact
+decimals, and rounded once; the Spark side aggregates first, so the two share
+no algebra."""
 
 from __future__ import annotations
 
@@ -35,46 +35,81 @@ SCEN_GRID = (
 )
 
 
-def _details(emp: str, rates: str, scen: str, where: str = "") -> str:
-    """All 20 result columns per plant and scenario, from exact per-plant cent
-    sums (the row-wise cascade is checked against this form in tests)."""
+def _num(x: str, kind: str) -> str:
+    return f"CAST(coalesce(CASE WHEN isnan({x}) THEN 0 ELSE {x} END, 0) AS {kind})"
+
+
+def _cascade(emp: str, rates: str, scen: str, where: str = "") -> str:
+    """One row per employee, rate row and scenario: the cost cascade as it is
+    applied to a single employee, in exact decimals and unrounded."""
+    r = {c: _num("r." + c, "DECIMAL(8,6)") for c in ("perc_he_medio", "provisao_ferias", "provisao_13", "rat_fap", "fgts",
+                                                   "inss_patronal", "terceiros")}
     return f"""
-WITH {_ctes()},
+{_ctes()},
 sc AS ({scen}),
-emp AS (
-  SELECT planta, count(*) AS n_rows,
-    CAST(sum(CAST(coalesce(round(salario_atual * 100), 0) AS BIGINT)) AS DOUBLE) / 100 AS s_sum,
-    CAST(sum(CAST(coalesce(round(valor_va_atual * 100), 0) AS BIGINT)) AS DOUBLE) / 100 AS va_sum,
-    CAST(sum(CAST(coalesce(round(plr_alvo_atual * 100), 0) AS BIGINT)) AS DOUBLE) / 100 AS plr_sum
-  FROM {emp} {where} GROUP BY planta),
-rf AS (
-  SELECT planta, 1 + coalesce(provisao_ferias, 0) + coalesce(provisao_13, 0) AS f,
-    1 + coalesce(rat_fap, 0) + coalesce(fgts, 0) + coalesce(inss_patronal, 0) + coalesce(terceiros, 0) AS e,
-    coalesce(perc_he_medio, 0) AS he FROM {rates}),
-b AS (
-  SELECT emp.planta, CAST(sum(n_rows) AS BIGINT) AS n_employees, sum(s_sum) AS S, sum(s_sum * he * 1.2) AS HE,
-    sum(s_sum * f * e) AS A, sum(s_sum * he * f * e) AS B, sum(va_sum) AS V, sum(plr_sum) AS P
-  FROM emp JOIN rf ON emp.planta = rf.planta GROUP BY emp.planta),
-k AS (
-  SELECT b.*, sc.scenario_id, 1 + sc.pct_salary / 100 AS ks, 1 + sc.pct_va / 100 AS kva,
-    1 + sc.pct_plr / 100 AS kplr, 1 + sc.pct_overtime / 100 AS khe FROM b CROSS JOIN sc),
+person AS (
+  SELECT h.planta, {_num('h.salario_atual', 'DECIMAL(20,6)')} AS s, {_num('h.valor_va_atual', 'DECIMAL(20,6)')} AS va,
+    {_num('h.plr_alvo_atual', 'DECIMAL(20,6)')} AS plr, {r['perc_he_medio']} AS he,
+    CAST(1 + {r['provisao_ferias']} + {r['provisao_13']} AS DECIMAL(9,6)) AS prov,
+    CAST(1 + {r['rat_fap']} + {r['fgts']} + {r['inss_patronal']} + {r['terceiros']} AS DECIMAL(9,6)) AS chg
+  FROM {emp} h JOIN {rates} r ON h.planta = r.planta {where}),
+cas AS (
+  SELECT planta, scenario_id, s, va, plr, he, prov, chg,
+    CAST(s * ks AS DECIMAL(22,10)) AS s2, CAST(he * khe AS DECIMAL(14,10)) AS he2,
+    CAST(va * kva AS DECIMAL(22,10)) AS va2, CAST(plr * kplr AS DECIMAL(22,10)) AS plr2
+  FROM person, (SELECT scenario_id, CAST(1 + pct_salary / 100 AS DECIMAL(12,8)) AS ks, CAST(1 + pct_va / 100 AS DECIMAL(12,8)) AS kva,
+    CAST(1 + pct_plr / 100 AS DECIMAL(12,8)) AS kplr, CAST(1 + pct_overtime / 100 AS DECIMAL(12,8)) AS khe FROM sc)),
+ot AS (
+  SELECT *, CAST(he * s * CAST(1.2 AS DECIMAL(2,1)) AS DECIMAL(24,10)) AS o1,
+    CAST(CAST(he2 * s2 AS DECIMAL(26,12)) * CAST(1.2 AS DECIMAL(2,1)) AS DECIMAL(24,10)) AS o2 FROM cas),
+paid AS (
+  SELECT *, CAST(CAST((s + o1) * prov AS DECIMAL(24,10)) * chg AS DECIMAL(24,10)) AS c1,
+    CAST(CAST((s2 + o2) * prov AS DECIMAL(24,10)) * chg AS DECIMAL(24,10)) AS c2 FROM ot)"""
+
+
+def _cents(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(28,6)), 2) AS DOUBLE)"
+
+
+def _details(emp: str, rates: str, scen: str, where: str = "") -> str:
+    """All 20 result columns: the employees' cascades summed per plant and
+    scenario, rounded once at the end."""
+    return f"""
+WITH {_cascade(emp, rates, scen, where)},
 t AS (
-  SELECT *, (A + 1.2 * B) * 12 AS sal_cur, ks * (A + 1.2 * khe * B) * 12 AS sal_new,
-    V * 12 AS va_cur, kva * V * 12 AS va_new, P AS plr_cur, kplr * P AS plr_new FROM k)
+  SELECT planta, scenario_id, count(*) AS n_employees, sum(c1) * 12 AS sc1, sum(c2) * 12 AS sc2, sum(va) * 12 AS v1, sum(va2) * 12 AS v2,
+    sum(plr) AS p1, sum(plr2) AS p2, sum(s) AS s1, sum(s2) AS s2, sum(o1) AS o1, sum(o2) AS o2, sum(va) AS va1, sum(va2) AS va2
+  FROM paid GROUP BY planta, scenario_id)
 SELECT planta, scenario_id, n_employees,
-  round(sal_cur + va_cur + plr_cur, 2) AS current_cost,
-  round(sal_new + va_new + plr_new, 2) AS projected_cost,
-  round((sal_new + va_new + plr_new) - (sal_cur + va_cur + plr_cur), 2) AS impact,
-  round(sal_cur, 2) AS salary_charged_current_annual, round(sal_new, 2) AS salary_charged_projected_annual,
-  round(va_cur, 2) AS va_current_annual, round(va_new, 2) AS va_projected_annual,
-  round(plr_cur, 2) AS plr_current_annual, round(plr_new, 2) AS plr_projected_annual,
-  round(S, 2) AS base_salary_current, round(HE, 2) AS overtime_current, CAST(0 AS DOUBLE) AS dsr_current,
-  round(V, 2) AS va_current, round(P, 2) AS plr_current, round(S * ks, 2) AS base_salary_new,
-  round(HE * ks * khe, 2) AS overtime_new, CAST(0 AS DOUBLE) AS dsr_projected, round(V * kva, 2) AS va_new,
-  round(P * kplr, 2) AS plr_new
+  {_cents('sc1 + v1 + p1')} AS current_cost, {_cents('sc2 + v2 + p2')} AS projected_cost,
+  {_cents('(sc2 + v2 + p2) - (sc1 + v1 + p1)')} AS impact,
+  {_cents('sc1')} AS salary_charged_current_annual, {_cents('sc2')} AS salary_charged_projected_annual,
+  {_cents('v1')} AS va_current_annual, {_cents('v2')} AS va_projected_annual,
+  {_cents('p1')} AS plr_current_annual, {_cents('p2')} AS plr_projected_annual,
+  {_cents('s1')} AS base_salary_current, {_cents('o1')} AS overtime_current, CAST(0 AS DOUBLE) AS dsr_current,
+  {_cents('va1')} AS va_current, {_cents('p1')} AS plr_current, {_cents('s2')} AS base_salary_new,
+  {_cents('o2')} AS overtime_new, CAST(0 AS DOUBLE) AS dsr_projected, {_cents('va2')} AS va_new, {_cents('p2')} AS plr_new
 FROM t"""
 
 
+def _grid() -> str:
+    """A thousand scenarios a plant: the employees' cascades without and with a
+    unit of overtime, summed per plant, then scaled by each scenario."""
+    one = "SELECT 'x' AS scenario_id, CAST(0 AS DOUBLE) AS pct_salary, CAST(0 AS DOUBLE) AS pct_va, CAST(0 AS DOUBLE) AS pct_plr, CAST(0 AS DOUBLE) AS pct_overtime"
+    return f"""
+WITH {_cascade("h", "p", one)},
+t AS (SELECT planta, sum(CAST(CAST(s * prov AS DECIMAL(24,10)) * chg AS DECIMAL(24,10))) AS a,
+        sum(c1) - sum(CAST(CAST(s * prov AS DECIMAL(24,10)) * chg AS DECIMAL(24,10))) AS b, sum(va) AS v, sum(plr) AS p FROM paid GROUP BY planta),
+g AS ({SCEN_GRID}),
+k AS (SELECT scenario_id, CAST(1 + pct_salary / 100 AS DECIMAL(12,8)) AS ks, CAST(1 + pct_va / 100 AS DECIMAL(12,8)) AS kva,
+    CAST(1 + pct_plr / 100 AS DECIMAL(12,8)) AS kplr, CAST(1 + pct_overtime / 100 AS DECIMAL(12,8)) AS khe FROM g),
+x AS (SELECT planta, scenario_id, (a + b) * 12 + v * 12 + p AS cur,
+    CAST((CAST(a AS DECIMAL(24,10)) + CAST(CAST(b AS DECIMAL(22,10)) * khe AS DECIMAL(24,10))) AS DECIMAL(24,10)) AS sal, ks,
+    CAST(CAST(v AS DECIMAL(22,8)) * kva AS DECIMAL(24,10)) * 12 + CAST(CAST(p AS DECIMAL(22,8)) * kplr AS DECIMAL(24,10)) AS other FROM t, k),
+y AS (SELECT planta, scenario_id, cur, CAST(CAST(sal AS DECIMAL(22,10)) * ks AS DECIMAL(24,10)) * 12 + other AS new FROM x)
+SELECT planta, scenario_id, {_cents('cur')} AS current_cost, {_cents('new')} AS projected_cost, {_cents('new - cur')} AS impact FROM y"""
+
+
 def _wrap(inner: str, select: str) -> str:
     return f"SELECT {select} FROM ({inner}) q"
 
@@ -83,8 +118,8 @@ ORACLE["cost_details"] = _details("h", "p", SCEN_FIXTURE)
 ORACLE["cost_scenario"] = _wrap(_details("h", "p", SCEN_TEST),
                                 "planta, scenario_id, current_cost, projected_cost, impact")
 ORACLE["cost_null_safe"] = _details("hn", "pn", SCEN_TEST)
-ORACLE["scenario_grid"] = _wrap(_details("h", "p", SCEN_GRID), "planta, scenario_id, current_cost, projected_cost, impact")
-ORACLE["filter_group"] = _details("h", "p", SCEN_TEST, "WHERE planta = 7")
+ORACLE["scenario_grid"] = _grid()
+ORACLE["filter_group"] = _details("h", "p", SCEN_TEST, "WHERE h.planta = 7")
 ORACLE["cost_current"] = _wrap(
     _details("h", "p", SCEN_TEST),
     "planta, n_employees, salary_charged_current_annual, va_current_annual, plr_current_annual, current_cost")
@@ -95,20 +130,20 @@ ORACLE["budget_alert"] = _wrap(
     "(CASE WHEN current_cost > 0 THEN impact / current_cost * 100 ELSE 0 END) > 5 AS alert")
 ORACLE["cost_composition"] = f"""
 WITH d AS ({_details("h", "p", SCEN_TEST)})
-SELECT planta, scenario_id, 0 AS item_order, 'Salary' AS item, round(base_salary_current * 12, 2) AS current,
-       round(base_salary_new * 12, 2) AS projected, round(base_salary_new * 12 - base_salary_current * 12, 2) AS incremental FROM d
+SELECT planta, scenario_id, 0 AS item_order, 'Salary' AS item, round(CAST(base_salary_current * 12 AS DECIMAL(28,6)), 2)::DOUBLE AS current,
+       round(CAST(base_salary_new * 12 AS DECIMAL(28,6)), 2)::DOUBLE AS projected, round(CAST(base_salary_new * 12 AS DECIMAL(28,6)) - CAST(base_salary_current * 12 AS DECIMAL(28,6)), 2)::DOUBLE AS incremental FROM d
 UNION ALL SELECT planta, scenario_id, 1, 'Salary with charges', salary_charged_current_annual, salary_charged_projected_annual,
-       round(salary_charged_projected_annual - salary_charged_current_annual, 2) FROM d
+       round(CAST(salary_charged_projected_annual AS DECIMAL(28,6)) - CAST(salary_charged_current_annual AS DECIMAL(28,6)), 2)::DOUBLE FROM d
 UNION ALL SELECT planta, scenario_id, 2, 'PLR', plr_current_annual, plr_projected_annual,
-       round(plr_projected_annual - plr_current_annual, 2) FROM d
+       round(CAST(plr_projected_annual AS DECIMAL(28,6)) - CAST(plr_current_annual AS DECIMAL(28,6)), 2)::DOUBLE FROM d
 UNION ALL SELECT planta, scenario_id, 3, 'VA', va_current_annual, va_projected_annual,
-       round(va_projected_annual - va_current_annual, 2) FROM d"""
+       round(CAST(va_projected_annual AS DECIMAL(28,6)) - CAST(va_current_annual AS DECIMAL(28,6)), 2)::DOUBLE FROM d"""
 ORACLE["cost_composition_monthly"] = f"""
 WITH d AS ({_details("h", "p", SCEN_TEST)})
 SELECT planta, scenario_id, 0 AS item_order, 'Salary' AS item, base_salary_current AS current, base_salary_new AS projected,
-       round(base_salary_new - base_salary_current, 2) AS incremental FROM d
-UNION ALL SELECT planta, scenario_id, 1, 'PLR', plr_current, plr_new, round(plr_new - plr_current, 2) FROM d
-UNION ALL SELECT planta, scenario_id, 2, 'VA', va_current, va_new, round(va_new - va_current, 2) FROM d"""
+       round(CAST(base_salary_new AS DECIMAL(28,6)) - CAST(base_salary_current AS DECIMAL(28,6)), 2)::DOUBLE AS incremental FROM d
+UNION ALL SELECT planta, scenario_id, 1, 'PLR', plr_current, plr_new, round(CAST(plr_new AS DECIMAL(28,6)) - CAST(plr_current AS DECIMAL(28,6)), 2)::DOUBLE FROM d
+UNION ALL SELECT planta, scenario_id, 2, 'VA', va_current, va_new, round(CAST(va_new AS DECIMAL(28,6)) - CAST(va_current AS DECIMAL(28,6)), 2)::DOUBLE FROM d"""
 ORACLE["group_practice"] = f"""
 WITH {_ctes()}
 SELECT planta, round(avg(salario_atual), 4) AS avg_salary, round(avg(valor_va_atual), 4) AS avg_va,
