@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -48,21 +47,6 @@ def has_content(col: Column | str) -> Column:
     return c.rlike(NON_BLANK_PATTERN)
 
 
-def regex_escape(word: str) -> str:
-    """Escape a literal for both Java regex and RE2 (same metacharacters)."""
-    return re.sub(r"([\\.^$|?*+()\[\]{}\-/#&~<>=!,:'\"@%;`])", r"\\\1", word)
-
-
-def whole_word_pattern(word: str) -> str:
-    """Pattern matching ``word`` between non-word characters or text ends.
-
-    Equivalent to Python's ``\\b{re.escape(word)}\\b`` for words that start and
-    end with a word character, and identical in Java regex and RE2 (whose own
-    ``\\b`` is ASCII-only).
-    """
-    return f"(^|[^{WORD_CLASS}]){regex_escape(word)}([^{WORD_CLASS}]|$)"
-
-
 def contains_any(col: Column | str, words: Iterable[str]) -> Column:
     """Substring test of any word in the lower-cased text (not a word test)."""
     c = F.lower(F.col(col) if isinstance(col, str) else col)
@@ -95,12 +79,6 @@ def preview(col: Column | str, n: int = 300) -> Column:
     return F.regexp_replace(F.substring(c, 1, n), "\n", " ")
 
 
-def word_tokens(col: Column | str) -> Column:
-    """Lower-cased runs of letters and digits (array<string>)."""
-    c = F.lower(F.col(col) if isinstance(col, str) else col)
-    return F.regexp_extract_all(c, F.lit("[\\p{L}\\p{N}]+"), 0)
-
-
 def render_rows(cols: list[str], sep: str = " | ") -> Column:
     """One text line per row (the text-table form handed to a prompt);
     nulls render as empty strings."""

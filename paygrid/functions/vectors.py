@@ -23,10 +23,3 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def norm(a: Column | str) -> Column:
     d = as_double(a)
     return F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x))
-
-
-def cosine(a: Column | str, b: Column | str, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine similarity; null when either vector has zero length."""
-    na = norm(a) if norm_a is None else norm_a
-    nb = norm(b) if norm_b is None else norm_b
-    return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb))

@@ -11,17 +11,17 @@
   top-k per query with a window rank (Spark plans it as a partial group
   limit before the shuffle), then the allow-list filter before or after the
   cut.
-* text search: TF-IDF cosine as joins on the term.
+* text search: TF-IDF cosine as joins on the term, blocks of queries against
+  postings partitioned by chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..session import scratch_path
 
 CHUNK_SIZE = 1000     # characters per chunk (fixed value)
 SEARCH_LIMIT = 10     # hits taken from the whole index (fixed value)
@@ -29,7 +29,8 @@ RETURNED = 3          # hits kept after the allow-list filter (fixed value)
 CONTEXT_SEP = "\n---\n"
 FILES_SEP = ", "
 PAGE_BLOCK = 1024     # pages per block of the two-level offset sum
-MAX_BROADCAST_QUERIES = 100_000   # query batch broadcast only up to this many rows
+VECTOR_BLOCK = 10_000   # queries of a broadcast block (at 1,000 doubles each: 80 MB)
+TERM_BLOCK = 1_000_000  # query term weights of a broadcast block (about 50 MB)
 
 
 # ----------------------------------------------------------------- chunking
@@ -61,7 +62,9 @@ def page_offsets(pages: DataFrame, file_col: str = "file", page_col: str = "page
     blocks = blocks.select("file", "blk", F.coalesce(F.sum("blk_len").over(wb), F.lit(0)).alias("blk_start"))
     wp = Window.partitionBy("file", "blk").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("in_blk", F.coalesce(F.sum("seg_len").over(wp), F.lit(0)))
-    j = p.join(blocks, ["file", "blk"], "inner")
+    # Null file names and null page numbers (which stand first) keep their pages.
+    b = blocks.select(F.col("file").alias("b_file"), F.col("blk").alias("b_blk"), "blk_start")
+    j = p.join(b, F.col("file").eqNullSafe(F.col("b_file")) & F.col("blk").eqNullSafe(F.col("b_blk")), "inner")
     return j.select("file", "page_no", "seg", (F.col("blk_start") + F.col("in_blk")).alias("start"), "seg_len")
 
 
@@ -87,16 +90,6 @@ def chunk_pages(pages: DataFrame, file_col: str = "file", page_col: str = "page_
     return out.filter(tx.has_content("text"))
 
 
-def assemble_text(pages: DataFrame, file_col: str = "file", page_col: str = "page_no",
-                  text_col: str = "text") -> DataFrame:
-    """Whole document text per file (page text + newline after each page).
-    For documents that fit in a row; chunking uses :func:`chunk_pages`."""
-    seg = F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"))
-    g = pages.groupBy(F.col(file_col).alias("file")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(page_col).alias("p"), seg.alias("s")))).alias("ps"))
-    return g.select("file", F.array_join(F.transform("ps", lambda s: s["s"]), "").alias("text"))
-
-
 def corpus_stats(chunks: DataFrame, file_col: str = "file") -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct(file_col).alias("n_files"))
 
@@ -124,26 +117,44 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
     return g.select(group_col, F.transform("dv", lambda s: s["v"]).alias("qvec"))
 
 
-def _query_side(queries: DataFrame) -> DataFrame:
-    """Broadcast the query batch when its row count is within the bound (one
-    count action); a larger batch is joined without the hint and Spark
-    plans it by its own size estimates."""
-    n = queries.count()
-    return F.broadcast(queries) if n <= MAX_BROADCAST_QUERIES else queries
+def query_blocks(queries: DataFrame, rows: int, block_rows: int) -> list[DataFrame]:
+    """``queries`` dealt by id into blocks that hold about half of ``block_rows``
+    rows each (``rows`` bounds their number): the unit that is broadcast, whatever
+    the size of the batch."""
+    n = max(1, -(-2 * rows // block_rows))
+    at = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return [queries.where(at == i) if n > 1 else queries for i in range(n)]
 
 
 def score_vectors(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Cosine of every corpus row against every query: ``query_id, id, file, score``.
 
-    The corpus norm is computed once per row; the query batch (small, its
-    size checked) is shipped to the corpus partitions."""
+    The exact search of the whole index, a stated query set in blocks: a block
+    of at most VECTOR_BLOCK queries is shipped to the corpus partitions, where
+    :func:`top_k` keeps each partition's best before anything is shuffled."""
     c = corpus.select(id_col, "file", vx.as_double(vec_col).alias("v"))
     c = c.withColumn("nv", vx.norm("v"))
     q = queries.select("query_id", vx.as_double("qvec").alias("q"))
     q = q.withColumn("nq", vx.norm("q"))
-    j = c.join(_query_side(q), how="inner")
-    score = F.when((F.col("nv") > 0) & (F.col("nq") > 0), vx.dot("v", "q") / (F.col("nv") * F.col("nq")))
-    return j.select("query_id", id_col, "file", score.alias("score"))
+    out = None
+    for block in query_blocks(q, q.count(), VECTOR_BLOCK):
+        j = c.join(F.broadcast(block), how="inner").select("query_id", id_col, "file", _cosine().alias("score"))
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
+def _cosine():
+    return F.when((F.col("nv") > 0) & (F.col("nq") > 0), vx.dot("v", "q") / (F.col("nv") * F.col("nq")))
+
+
+def score_allowed(corpus: DataFrame, queries: DataFrame, refs: DataFrame, id_col: str = "vec_id",
+                  vec_col: str = "embedding") -> DataFrame:
+    """Cosine of each query against the corpus rows its plant may see, and no
+    others: queries meet the allow-list on the plant, then the corpus on the file."""
+    c = corpus.select(id_col, "file", vx.as_double(vec_col).alias("v")).withColumn("nv", vx.norm("v"))
+    q = queries.select("query_id", "plant", vx.as_double("qvec").alias("q")).withColumn("nq", vx.norm("q"))
+    j = q.join(refs.select("plant", "file").distinct(), "plant").join(c, "file")
+    return j.select("query_id", id_col, "file", _cosine().alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, id_cols: list[str], score_col: str = "score",
@@ -184,65 +195,63 @@ def search_status(queries: DataFrame, refs: DataFrame, top: DataFrame, kept: Dat
 
 
 # ----------------------------------------------------------------- text search
-def term_counts(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols, term, tf`` from lower-cased letter/digit runs."""
-    toks = F.filter(F.split(F.lower(F.col(text_col)), "[^\\p{L}\\p{N}]+", -1), lambda t: t != "")
+def _terms(text) -> Column:
+    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+", -1), lambda t: t != "")
+
+
+def term_counts(df: DataFrame, id_cols: list[str], text_col: str = "text", rows_term: str | None = None) -> DataFrame:
+    """``id_cols, term, tf`` from lower-cased letter/digit runs.  ``rows_term`` is
+    an extra term that every row gets once, so that its count is the row count."""
+    toks = _terms(F.col(text_col))
+    if rows_term is not None:
+        toks = F.concat(toks, F.array(F.lit(rows_term)))
     x = df.select(*id_cols, F.explode(toks).alias("term"))
     return x.groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_index(chunks: DataFrame, id_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Chunk term weights ``tf·ln(N/df) / |chunk|`` (already divided by the
-    chunk norm) and the idf table.  Terms present in every chunk weigh 0 and
-    are dropped (exactly nothing to add).
-
-    The index comes out hash-partitioned by chunk: a chunk's terms share one
-    partition, which later lets the per-(chunk, query) sums run without a
-    shuffle."""
-    spark = chunks.sparkSession
-    n = chunks.count()
-    # The term counts feed the idf, the query weights (collected) and the
-    # index: written once as a table in the shared checkpoint folder and read
-    # back, instead of being recomputed by each of those jobs.
-    path = scratch_path(spark, "term-counts")
-    term_counts(chunks, id_cols).write.parquet(path)
-    tf = spark.read.parquet(path)
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
-        .select("term", F.log(F.lit(float(n)) / F.col("df")).alias("idf")).filter(F.col("idf") > 0)
+    """Chunk term weights ``tf·ln(N/df) / |chunk|`` and the idf table.  Terms
+    present in every chunk weigh 0 and are dropped (exactly nothing to add).
+
+    One pass over the text: the term counts' exchange feeds the document
+    frequencies, the row count (the empty term, once per chunk) and the index.
+    The index is partitioned by chunk, and a chunk's norm is a window over its
+    own terms (at most a chunk's length)."""
+    tf = term_counts(chunks, id_cols, rows_term="")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = df.filter(F.col("term") == "").select(F.col("df").alias("n"))      # one row
+    idf = df.filter(F.col("term") != "").join(F.broadcast(n)) \
+        .select("term", F.log(F.col("n").cast("double") / F.col("df")).alias("idf")).filter(F.col("idf") > 0)
     w = tf.join(idf, "term", "inner").select(*id_cols, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy(*id_cols).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
-    index = w.join(norms, id_cols, "inner").select(*id_cols, "term", (F.col("w") / F.col("nd")).alias("wn"))
-    return index, idf
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*id_cols)))
+    return w.select(*id_cols, "term", (F.col("w") / norm).alias("wn")), idf
 
 
 def query_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
     """Query term weights divided by the query norm: ``query_id, term, wq``."""
     qt = term_counts(queries, ["query_id"]).join(idf, "term", "inner") \
         .select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    qn = qt.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nq"))
-    return qt.join(qn, "query_id", "inner").select("query_id", "term", (F.col("w") / F.col("nq")).alias("wq"))
-
-
-def join_scores(index: DataFrame, qw: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Join form of the TF-IDF cosine: ``query_id, id_cols, score`` for every
-    (query, chunk) sharing a term.  Exact for any query batch size."""
-    j = index.join(_query_side(qw), "term", "inner")
-    return j.groupBy(*id_cols, "query_id").agg(F.sum(F.col("wn") * F.col("wq")).alias("score"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
+    return qt.select("query_id", "term", (F.col("w") / norm).alias("wq"))
 
 
 def text_top_k(queries: DataFrame, chunks: DataFrame, id_cols: list[str], k: int) -> DataFrame:
     """Top ``k`` chunks per query by TF-IDF cosine, ranked (``rank`` column).
 
-    The query batch, when within the shipping bound, is scored block-wise in
-    the chunk partitions (see :mod:`paygrid.operators.scoring`); a larger
-    batch goes through the join form.  Both give the same hits."""
-    from . import scoring
+    Postings are partitioned by chunk; a block of query weights (TERM_BLOCK rows
+    at most, counted from the queries' tokens) is broadcast and meets them on
+    the term, so a chunk's scores are summed where its postings are, and each
+    partition keeps its best before the ranking shuffle.  A larger batch is more
+    blocks of the same plan."""
     index, idf = tfidf_index(chunks, id_cols)
+    tokens = queries.agg(F.sum(F.size(F.array_distinct(_terms(F.col("text")))))).first()[0] or 0
     qw = query_weights(queries, idf)
-    scored = scoring.blocked_text_scores(index, qw, id_cols, k)
-    if scored is None:
-        scored = join_scores(index, qw, id_cols)
-    return top_k(scored, k, id_cols)
+    out = None
+    for block in query_blocks(qw, tokens, TERM_BLOCK):
+        j = index.join(F.broadcast(block), "term", "inner")
+        s = top_k(j.groupBy(*id_cols, "query_id").agg(F.sum(F.col("wn") * F.col("wq")).alias("score")), k, id_cols)
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def context_block(hits: DataFrame, text_col: str = "text", file_col: str = "file") -> DataFrame:

@@ -1,26 +1,25 @@
 """SQL surface: run query text over named tables with bound parameters, and
-turn failures into three friendly classes."""
+turn failures, at analysis or at run time, into three classes."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-# --- fixed values: error classes and their messages --------------------------------
 MISSING_TABLE = "missing_table"
 SYNTAX = "syntax"
 OTHER = "other"
 MESSAGES = {
-    MISSING_TABLE: "The table named in the query does not exist. Check that the tables were loaded.",
-    SYNTAX: "The SQL query has a syntax error. Check the query structure and try again.",
-    OTHER: "Error running the SQL query: {detail}. Check the query and try again.",
+    MISSING_TABLE: "unknown table or view: {detail}",
+    SYNTAX: "not a valid read-only query: {detail}",
+    OTHER: "the query failed: {detail}",
 }
-# ---------------------------------------------------------------------------------------
-_READ_ONLY = re.compile(r"^\s*(\(\s*)*(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+# A parsed plan with any of these nodes does more than read.
+_WRITERS = tuple(_PLANS + c for c in ("Command", "ParsedStatement", "InsertIntoStatement"))
 
 
 class QueryError(Exception):
@@ -44,13 +43,55 @@ def run_sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | No
             args: Mapping[str, Any] | None = None) -> DataFrame:
     """Run a read-only query over ``tables`` (registered as temporary views)
     with named parameters (``:name``) bound by Spark, never pasted into the
-    text.  Statements other than queries are refused."""
-    if not _READ_ONLY.match(text or ""):
-        raise QueryError(SYNTAX, "only queries (SELECT / WITH) are accepted")
-    for name, df in (tables or {}).items():
+    text.  The text is parsed first: a plan that holds a command or an insert,
+    wherever it stands, is refused before anything runs.  Views of the caller
+    that have a table's name are put back afterwards."""
+    refuse_writes(spark, text or "")
+    tables = tables or {}
+    before = {n: spark.table(n) for n in tables if _is_temp_view(spark, n)}
+    for name, df in tables.items():
         df.createOrReplaceTempView(name)
     try:
         return spark.sql(text, args=dict(args) if args else None)
     except PySparkException as e:
-        kind = classify(e)
-        raise QueryError(kind, str(e).splitlines()[0]) from e
+        raise _error(e) from e
+    finally:
+        for name in tables:
+            before[name].createOrReplaceTempView(name) if name in before else spark.catalog.dropTempView(name)
+
+
+def _is_temp_view(spark: SparkSession, name: str) -> bool:
+    return any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables())
+
+
+def query_rows(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None = None,
+               args: Mapping[str, Any] | None = None, limit: int = 1000) -> list:
+    """Run a query and return at most ``limit`` rows; what fails while it runs is
+    classified like what fails before."""
+    df = run_sql(spark, text, tables, args)
+    try:
+        return df.take(limit)
+    except PySparkException as e:
+        raise _error(e) from e
+
+
+def refuse_writes(spark: SparkSession, text: str) -> None:
+    """Raise :class:`QueryError` unless ``text`` parses to a plan that only reads."""
+    java = spark.sparkContext._jvm.java.lang.Class
+    loader = spark._jsparkSession.getClass().getClassLoader()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except PySparkException as e:
+        raise _error(e) from e
+    kinds = [java.forName(c, False, loader) for c in _WRITERS]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            raise QueryError(SYNTAX, f"{node.nodeName()} is not a query")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+
+
+def _error(e: PySparkException) -> QueryError:
+    return QueryError(classify(e), str(e).splitlines()[0] if str(e) else type(e).__name__)

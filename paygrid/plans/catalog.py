@@ -131,7 +131,7 @@ from ..operators import market as mk  # noqa: E402
 from ..sources.delimited import split_fields  # noqa: E402
 
 CI_PLANT = "g7"        # plant argument typed in lower case
-URL_FIELDS = ("part1", "part2", "part3", "part4")
+RECORD_FIELDS = ("id", "title", "note")
 
 
 def _market(spark, sf):
@@ -156,8 +156,7 @@ def filter_ci(spark, sf):
 @query("benchmark_status")
 def benchmark_status(spark, sf):
     plants = tm.read(spark, sf, "supplier").select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("plant"))
-    out = mk.benchmark_status(plants, _market(spark, sf))
-    return out.select("plant", "status", "Empresa_Referencia", "VA_Valor")
+    return mk.benchmark_status(plants, _market(spark, sf))
 
 
 @query("benchmark_gap")
@@ -167,8 +166,7 @@ def benchmark_gap(spark, sf):
 
 @query("csv_bad_lines")
 def csv_bad_lines(spark, sf):
-    lines = tm.read(spark, sf, "pages").select("page_id", F.col("url").alias("value"))
-    return split_fields(lines, ".", URL_FIELDS)
+    return split_fields(tm.delimited_records(spark, sf), ";", RECORD_FIELDS)
 
 
 # ----------------------------------------------------------------- text rules
@@ -187,9 +185,7 @@ def _smap(spark, sf):
 
 
 def _context(spark, sf):
-    msgs = tm.messages(spark, sf)
-    tags = tg.tag_messages(msgs, _smap(spark, sf), ["conv_id", "turn"])
-    j = msgs.join(tags, ["conv_id", "turn"], "left")
+    j = tg.tag_messages(tm.messages(spark, sf), _smap(spark, sf), ["conv_id", "turn"], keep=["text", "selected_plant", "label"])
     return j.withColumn("plant", F.coalesce(F.col("tagged_plant"), F.col("selected_plant")))
 
 
@@ -248,10 +244,10 @@ def risk_flag(spark, sf):
 def history_view(spark, sf):
     r = _routed(spark, sf).select("conv_id", (F.col("turn") + 1).alias("turn"),
                                   F.col("intent").alias("reply_type"), F.col("plant").alias("reply_context"))
-    c = tm.read(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    c = tm.read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     j = c.join(r, ["conv_id", "turn"], "left")
     is_reply = F.col("role") == "assistant"
-    return j.select("conv_id", "turn", "role", "n_chars",
+    return j.select("conv_id", "turn", "role", "text",
                     F.when(is_reply, F.col("reply_type")).alias("reply_type"),
                     F.when(is_reply, F.col("reply_context")).alias("reply_context"))
 
@@ -335,7 +331,10 @@ def docs_by_group(spark, sf):
 
 @query("allowed_chunks")
 def allowed_chunks(spark, sf):
-    return rt.allowed(_chunks(spark, sf), tm.doc_refs(spark, sf)).select("plant", "doc_id", "pos", "file")
+    """For the plants that can be selected in a conversation."""
+    asked = tm.messages(spark, sf).select(F.col("selected_plant").alias("plant")).distinct()
+    refs = tm.doc_refs(spark, sf).join(asked, "plant", "left_semi")
+    return rt.allowed(_chunks(spark, sf), refs).select("plant", "doc_id", "pos", "file")
 
 
 @query("search_top10")
@@ -350,11 +349,8 @@ def search_postfilter(spark, sf):
 
 @query("search_prefilter")
 def search_prefilter(spark, sf):
-    q = _vector_queries(spark, sf)
-    refs = tm.doc_refs(spark, sf)
-    scored = rt.score_vectors(tm.vectors(spark, sf), q).join(q.select("query_id", "plant"), "query_id", "inner")
-    allowed_only = scored.join(refs, ["plant", "file"], "left_semi")
-    return _hits(rt.top_k(allowed_only, rt.RETURNED, ["vec_id"]))
+    scored = rt.score_allowed(tm.vectors(spark, sf), _vector_queries(spark, sf), tm.doc_refs(spark, sf))
+    return _hits(rt.top_k(scored, rt.RETURNED, ["vec_id"]))
 
 
 @query("search_status")
@@ -387,25 +383,26 @@ def context_block(spark, sf):
 
 # ----------------------------------------------------------------- SQL, records, streaming, answers
 from ..operators.sql import run_sql  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..streaming.tagging import tag_stream  # noqa: E402
 
 PASSTHROUGH_SQL = """
-SELECT h.planta, COUNT(*) AS total_colaboradores, ROUND(AVG(h.salario_atual), 4) AS media_salarial
-FROM headcount h JOIN premissas p ON h.planta = p.planta
-GROUP BY h.planta HAVING COUNT(*) > :min_rows"""
+SELECT rate.planta AS plant, max(rate.perc_he_medio) AS overtime_share, max(pay.salario_atual) AS top_salary,
+       sum(CASE WHEN pay.plr_alvo_atual > 0 THEN 1 ELSE 0 END) AS n_with_plr
+FROM premissas AS rate LEFT JOIN headcount AS pay USING (planta)
+WHERE rate.planta >= :first_plant GROUP BY rate.planta"""
 
 
 @query("sql_passthrough")
 def sql_passthrough(spark, sf):
     return run_sql(spark, PASSTHROUGH_SQL, {"headcount": tm.employees(spark, sf), "premissas": tm.rates(spark, sf)},
-                   {"min_rows": 0})
+                   {"first_plant": 5})
 
 
 @query("to_records")
 def to_records(spark, sf):
     m = _market(spark, sf)
-    rec = F.to_json(F.struct("Filial", "Empresa_Referencia", "Regiao", "Reajuste_Praticado", "VA_Valor", "Data_Acordo"))
-    return m.select("Filial", rec.alias("record"))
+    return m.select("Filial", F.to_json(F.struct(*mk.MARKET_COLUMNS), {"ignoreNullFields": "false"}).alias("record"))
 
 
 @query("stream_tag")
@@ -414,28 +411,67 @@ def stream_tag(spark, sf):
     return tag_stream(spark, sf, schema, _smap(spark, sf), glob="conversations.parquet")
 
 
+def _plant_code(col):
+    return F.concat(F.lit("G"), F.col(col).cast("string"))
+
+
+@query("message_scenario")
+def message_scenario(spark, sf):
+    """Each question's plant under the four percentages read from its parameter text."""
+    asked = _context(spark, sf).select("conv_id", "turn", "plant") \
+        .join(tm.message_params(spark, sf), ["conv_id", "turn"])
+    asked = asked.select("conv_id", "turn", F.substring("plant", 2, 20).cast("bigint").alias("planta"),
+                         nu.json_params("params_text").alias("v")).select("conv_id", "turn", "planta", "v.*")
+    return pay.scenario_table_costs(tm.employees(spark, sf), tm.rates(spark, sf), asked)
+
+
+@query("text_search_status")
+def text_search_status(spark, sf):
+    """Text search restricted to a plant's files after the cut, with its status."""
+    qs = tm.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text",
+                                                F.concat(F.lit("G"), (F.col("item_id") % tm.N_SELECTABLE).cast("string")).alias("plant"))
+    refs, chunks = tm.doc_refs(spark, sf), _chunks(spark, sf)
+    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.SEARCH_LIMIT) \
+        .join(chunks.select("doc_id", "pos", "file"), ["doc_id", "pos"]).join(qs.select("query_id", "plant"), "query_id")
+    return rt.search_status(qs, refs, top, rt.post_filter(top, refs), 0 if chunks.isEmpty() else 1)
+
+
+READS_DOCUMENTS = ("POLÍTICA", "CONSULTA_ESTRATEGICA")
+READS_MARKET = ("BENCHMARK", "CONSULTA_ESTRATEGICA")
+
+
 @query("answer_context")
 def answer_context(spark, sf):
-    """Everything a model needs to answer each question: resolved plant and
-    intent, the plant's top-3 allowed document chunks (top 10 of the whole
-    index, then the allow-list), its market row status and its cost under the
-    test scenario."""
-    routed = _routed(spark, sf)
-    refs = tm.doc_refs(spark, sf)
+    """What each question's branch hands to its answer: document context and
+    files (top 10 of the whole index, then the allow-list, then 3), the plant's
+    market records, its own averages, or its costs under the percentages that
+    the message names.  Fields that a branch does not use are null."""
+    ids = ["conv_id", "turn"]
+    # Read by every branch: written once to the shared checkpoint folder.
+    ensure_checkpoint_dir(spark)
+    routed = _routed(spark, sf).select(*ids, "text", "plant", "intent").checkpoint()
+    market = _market(spark, sf)
+    records = market.groupBy(F.upper("Filial").alias("_k")).agg(
+        F.to_json(F.array_sort(F.collect_list(F.struct(*mk.MARKET_COLUMNS))), {"ignoreNullFields": "false"}).alias("market_records"))
+    known = routed.join(records, F.upper("plant") == F.col("_k"), "left").drop("_k")
+    reads = F.col("intent").isin(*READS_DOCUMENTS) & ((F.col("intent") == "POLÍTICA") | F.col("market_records").isNotNull())
+    qs = known.filter(reads).select(F.struct(*ids).alias("query_id"), "text", "plant")
     chunks = _chunks(spark, sf)
-    qs = routed.select(F.struct("conv_id", "turn").alias("query_id"), "text")
-    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.SEARCH_LIMIT)
-    top = top.join(chunks.select("doc_id", "pos", "file", "text"), ["doc_id", "pos"], "inner") \
-        .join(routed.select(F.struct("conv_id", "turn").alias("query_id"), "plant"), "query_id", "inner")
-    ctx = rt.context_block(rt.post_filter(top, refs))
-    ctx = ctx.select(F.col("query_id.conv_id").alias("conv_id"), F.col("query_id.turn").alias("turn"),
-                     "files", "n_hits")
-    market = mk.benchmark_status(routed.select("plant").distinct(), _market(spark, sf)) \
-        .select("plant", F.col("status").alias("market_status"))
-    cost = pay.scenario_costs(tm.employees(spark, sf), tm.rates(spark, sf), [TEST_SCENARIO]) \
-        .select(F.concat(F.lit("G"), F.col("planta").cast("string")).alias("plant"), "current_cost", "projected_cost")
-    j = routed.select("conv_id", "turn", "plant", "intent") \
-        .join(ctx, ["conv_id", "turn"], "left").join(market, "plant", "left").join(cost, "plant", "left")
-    return j.select("conv_id", "turn", "plant", "intent", F.col("files").alias("context_files"),
-                    F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_context"), "market_status",
-                    "current_cost", "projected_cost")
+    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.SEARCH_LIMIT) \
+        .join(chunks, ["doc_id", "pos"]).join(qs.select("query_id", "plant"), "query_id")
+    ctx = rt.context_block(rt.post_filter(top, tm.doc_refs(spark, sf))) \
+        .select("query_id.conv_id", "query_id.turn", "context", "files", "n_hits")
+    own = pay.practice(tm.employees(spark, sf)).select(
+        _plant_code("planta").alias("plant"), *[F.round(c, 4).alias(f"own_{c}") for c in ("avg_salary", "avg_va", "avg_plr")],
+        F.col("n_employees").alias("own_employees"))
+    asked = routed.filter(F.col("intent") == "CÁLCULO_FINANCEIRO").join(tm.message_params(spark, sf), ids)
+    asked = asked.select(*ids, F.substring("plant", 2, 20).cast("bigint").alias("planta"),
+                         nu.json_params("params_text").alias("v")).select(*ids, "planta", "v.*")
+    costs = pay.scenario_table_costs(tm.employees(spark, sf), tm.rates(spark, sf), asked).drop("planta")
+    bench = F.col("intent").isin(*READS_MARKET)
+    out = known.withColumn("market_records", F.when(bench, F.col("market_records"))) \
+        .withColumn("market_status", F.when(bench, F.when(F.col("market_records").isNull(), "no_data").otherwise("ok"))) \
+        .withColumn("_own", F.when((F.col("intent") == "BENCHMARK") & F.col("market_records").isNotNull(), F.col("plant")))
+    out = out.join(own, out["_own"] == own["plant"], "left").drop(own["plant"]).drop("_own", "text")
+    return out.join(ctx, ids, "left").join(costs, ids, "left") \
+        .withColumn("n_context", F.coalesce("n_hits", F.lit(0)).cast("long")).drop("n_hits")

@@ -196,7 +196,7 @@ ORACLE["filter_ci"] = f"WITH {_MARKET} SELECT * FROM market WHERE upper(Filial)
 ORACLE["benchmark_status"] = f"""
 WITH {_MARKET}
 SELECT 'G' || CAST(s_suppkey AS VARCHAR) AS plant,
-       CASE WHEN m.Filial IS NULL THEN 'no_data' ELSE 'ok' END AS status, m.Empresa_Referencia, m.VA_Valor
+       CASE WHEN m.Filial IS NULL THEN 'no_data' ELSE 'ok' END AS status, m.* EXCLUDE (Filial)
 FROM supplier s LEFT JOIN market m ON upper('G' || CAST(s.s_suppkey AS VARCHAR)) = upper(m.Filial)"""
 ORACLE["benchmark_gap"] = f"""
 WITH {_ctes()}, {_MARKET},
@@ -215,8 +215,9 @@ SELECT plant, n_employees,
        WHEN avg_plr - market_plr > 0 THEN 'above' ELSE 'below' END AS verdict_plr
 FROM j"""
 ORACLE["csv_bad_lines"] = """
-SELECT page_id, nullif(p[1], '') AS part1, nullif(p[2], '') AS part2, nullif(p[3], '') AS part3, nullif(p[4], '') AS part4
-FROM (SELECT page_id, string_split(url, '.') AS p FROM pages) WHERE len(p) <= 4"""
+SELECT s_suppkey AS line, CAST(s_suppkey AS VARCHAR) AS id, s_name || '; "' || s_nationkey || '"' AS title,
+  CASE WHEN s_suppkey % 4 = 2 THEN 'note' END AS note
+FROM supplier WHERE s_suppkey % 4 <> 3"""
 
 # ----------------------------------------------------------------- text rules
 WS = "\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
@@ -290,7 +291,7 @@ SELECT r.conv_id, r.turn, r.intent,
        WHEN contains(lower(coalesce(r.intent, '')), 'erro') THEN 'attention' ELSE 'low' END AS risk
 FROM routed r LEFT JOIN rep ON r.conv_id = rep.conv_id AND r.turn = rep.q_turn"""
 ORACLE["history_view"] = f"""WITH {_SYN}
-SELECT c.conv_id, c.turn, c.role, CAST(length(c.text) AS INTEGER) AS n_chars,
+SELECT c.conv_id, c.turn, c.role, c.text,
   CASE WHEN c.role = 'assistant' THEN r.intent END AS reply_type,
   CASE WHEN c.role = 'assistant' THEN r.plant END AS reply_context
 FROM conversations c LEFT JOIN routed r ON c.conv_id = r.conv_id AND c.turn = r.turn + 1"""
@@ -359,7 +360,8 @@ SELECT file, pos, text FROM {_chunk_sql('(SELECT file AS k, file, text FROM docs
 ORACLE["docs_by_group"] = f"""WITH {_REFS}
 SELECT plant, count(*) AS n_files, string_agg(file, ', ' ORDER BY file) AS files FROM refs GROUP BY plant"""
 ORACLE["allowed_chunks"] = f"""WITH {_CHUNKS}, {_REFS}
-SELECT r.plant, c.doc_id, c.pos, c.file FROM chunks c JOIN refs r ON c.file = r.file"""
+SELECT r.plant, c.doc_id, c.pos, c.file FROM chunks c JOIN refs r ON c.file = r.file
+WHERE r.plant IN (SELECT 'G' || CAST(conv_id % 10 AS VARCHAR) FROM conversations WHERE role = 'user')"""
 
 _VEC = f"""{_REFS},
 vecs AS (SELECT vec_id, 'src' || CAST(label AS VARCHAR) AS file, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
@@ -430,30 +432,64 @@ SELECT query_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS
 
 # ----------------------------------------------------------------- SQL, records, streaming, answers
 ORACLE["sql_passthrough"] = f"""WITH {_ctes()}, headcount AS (SELECT * FROM h), premissas AS (SELECT * FROM p)
-SELECT h.planta, COUNT(*) AS total_colaboradores, ROUND(AVG(h.salario_atual), 4) AS media_salarial
-FROM headcount h JOIN premissas p ON h.planta = p.planta
-GROUP BY h.planta HAVING COUNT(*) > 0"""
+SELECT rate.planta AS plant, max(rate.perc_he_medio) AS overtime_share, max(pay.salario_atual) AS top_salary,
+  CAST(sum(CASE WHEN pay.plr_alvo_atual > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_plr
+FROM premissas AS rate LEFT JOIN headcount AS pay USING (planta)
+WHERE rate.planta >= 5 GROUP BY rate.planta"""
 ORACLE["to_records"] = f"""WITH {_MARKET}
-SELECT Filial, CAST(to_json({{'Filial': Filial, 'Empresa_Referencia': Empresa_Referencia, 'Regiao': Regiao,
-  'Reajuste_Praticado': Reajuste_Praticado, 'VA_Valor': VA_Valor, 'Data_Acordo': Data_Acordo}}) AS VARCHAR) AS record
-FROM market"""
+SELECT Filial, CAST(to_json(market) AS VARCHAR) AS record FROM market"""
 ORACLE["stream_tag"] = ORACLE["tag_group"]
 _MSGQ = "SELECT {'c': conv_id, 't': turn} AS query_id, text FROM routed"
 
 
+def _scenario_sql() -> str:
+    """The message's percentages by parameter text, and every plant's costs under each."""
+    pct = ((5, 10, 15, 0), (0, 0, 15.5, 10), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0))
+    return " UNION ALL ".join(
+        f"SELECT '{i}' AS scenario_id, CAST({a} AS DOUBLE) AS pct_salary, CAST({b} AS DOUBLE) AS pct_va, "
+        f"CAST({c} AS DOUBLE) AS pct_plr, CAST({d} AS DOUBLE) AS pct_overtime" for i, (a, b, c, d) in enumerate(pct))
+
+
+def _message_costs(source: str, where: str = "TRUE") -> str:
+    return f"""SELECT x.conv_id, x.turn, x.planta, pct_salary, pct_va, pct_plr, pct_overtime, d.* EXCLUDE (planta, scenario_id)
+FROM (SELECT conv_id, turn, CAST(substring(plant, 2) AS BIGINT) AS planta, CAST((conv_id + turn) % 5 AS VARCHAR) AS k FROM {source} WHERE {where}) x
+JOIN ({_scenario_sql()}) sc ON sc.scenario_id = x.k
+LEFT JOIN ({_details("h", "p", _scenario_sql())}) d ON d.planta = x.planta AND d.scenario_id = x.k"""
+
+
+ORACLE["message_scenario"] = f"WITH {_SYN} {_message_costs('ctx')}"
+ORACLE["text_search_status"] = f"""WITH {_REFS}, {_tfidf(_BENCH_Q).replace("WHERE rank <= 3)", "WHERE rank <= 10)")},
+qs AS (SELECT item_id AS query_id, 'G' || CAST(item_id % 10 AS VARCHAR) AS plant FROM benchmark),
+kept AS (SELECT t.query_id, least(count(*), 3) AS n FROM thits t JOIN qs ON t.query_id = qs.query_id
+         JOIN refs r ON r.plant = qs.plant AND r.file = t.file GROUP BY t.query_id)
+SELECT qs.query_id, qs.plant,
+  CASE WHEN qs.plant NOT IN (SELECT plant FROM refs) THEN 'no_allowed_files'
+       WHEN qs.query_id NOT IN (SELECT query_id FROM thits) THEN 'no_hit'
+       WHEN coalesce(kept.n, 0) = 0 THEN 'no_allowed_hit' ELSE 'ok' END AS status, coalesce(kept.n, 0) AS n_returned
+FROM qs LEFT JOIN kept ON qs.query_id = kept.query_id"""
+
+
 def _answer() -> str:
-    t = _tfidf(_MSGQ).replace("WHERE rank <= 3)", "WHERE rank <= 10)")
-    return f"""WITH {_SYN}, {_REFS.replace('refs AS', 'drefs AS')}, {_MARKET}, {t},
-hp AS (SELECT thits.*, r.plant FROM thits JOIN routed r ON thits.query_id.c = r.conv_id AND thits.query_id.t = r.turn),
+    t = _tfidf(_MSGQ.replace("routed", "readers")).replace("WHERE rank <= 3)", "WHERE rank <= 10)")
+    return f"""WITH {_SYN}, {_REFS.replace('refs AS', 'drefs AS')}, {_MARKET},
+recs AS (SELECT upper(Filial) AS k, CAST(to_json(list(market ORDER BY Filial)) AS VARCHAR) AS market_records FROM market GROUP BY upper(Filial)),
+known AS (SELECT r.*, recs.market_records AS all_records FROM routed r LEFT JOIN recs ON upper(r.plant) = recs.k),
+readers AS (SELECT * FROM known WHERE intent = 'POLÍTICA' OR (intent = 'CONSULTA_ESTRATEGICA' AND all_records IS NOT NULL)), {t},
+hp AS (SELECT thits.*, r.plant FROM thits JOIN readers r ON thits.query_id.c = r.conv_id AND thits.query_id.t = r.turn),
 post AS (SELECT * FROM (SELECT hp.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r2 FROM hp
          WHERE EXISTS (SELECT 1 FROM drefs d WHERE d.plant = hp.plant AND d.file = hp.file)) WHERE r2 <= 3),
-actx AS (SELECT query_id.c AS conv_id, query_id.t AS turn, string_agg(file, ', ' ORDER BY r2) AS files, count(*) AS n_hits
-        FROM post GROUP BY query_id),
-cost AS (SELECT 'G' || CAST(planta AS VARCHAR) AS plant, current_cost, projected_cost FROM ({_details("h", "p", SCEN_TEST)}))
-SELECT r.conv_id, r.turn, r.plant, r.intent, actx.files AS context_files, coalesce(actx.n_hits, 0) AS n_context,
-  CASE WHEN m.Filial IS NULL THEN 'no_data' ELSE 'ok' END AS market_status, cost.current_cost, cost.projected_cost
-FROM routed r LEFT JOIN actx ON r.conv_id = actx.conv_id AND r.turn = actx.turn
-LEFT JOIN market m ON upper(r.plant) = upper(m.Filial) LEFT JOIN cost ON r.plant = cost.plant"""
+actx AS (SELECT query_id.c AS conv_id, query_id.t AS turn, string_agg(text, chr(10) || '---' || chr(10) ORDER BY r2) AS context,
+         string_agg(file, ', ' ORDER BY r2) AS files, count(*) AS n_hits FROM post GROUP BY query_id),
+own AS ({ORACLE["group_practice"].replace("FROM hn", "FROM h")}),
+cost AS ({_message_costs("routed", "intent = 'CÁLCULO_FINANCEIRO'")})
+SELECT k.conv_id, k.turn, k.plant, k.intent,
+  CASE WHEN k.intent IN ('BENCHMARK', 'CONSULTA_ESTRATEGICA') THEN k.all_records END AS market_records,
+  CASE WHEN k.intent IN ('BENCHMARK', 'CONSULTA_ESTRATEGICA') THEN CASE WHEN k.all_records IS NULL THEN 'no_data' ELSE 'ok' END END AS market_status,
+  own.avg_salary AS own_avg_salary, own.avg_va AS own_avg_va, own.avg_plr AS own_avg_plr, own.n_employees AS own_employees,
+  a.context, a.files, coalesce(a.n_hits, 0) AS n_context, c.* EXCLUDE (conv_id, turn, planta)
+FROM known k LEFT JOIN actx a ON k.conv_id = a.conv_id AND k.turn = a.turn
+LEFT JOIN own ON k.intent = 'BENCHMARK' AND k.all_records IS NOT NULL AND k.plant = 'G' || CAST(own.planta AS VARCHAR)
+LEFT JOIN cost c ON k.conv_id = c.conv_id AND k.turn = c.turn"""
 
 
 ORACLE["answer_context"] = _answer()

@@ -171,6 +171,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Scenario parameters a model might extract from a message, by (conv_id + turn) % 5.
+MESSAGE_PARAMS = (
+    '{"reajuste_salarial": 5, "reajuste_va": "10", "reajuste_plr": 15}',
+    '{"reajuste_plr": 15.5, "aumento_he": 10}',
+    "not json",
+    '{"reajuste_salarial": "5d", "reajuste_va": 3}',
+    "{}",
+)
+# Delimited records with quoted fields, separators and doubled quotes inside them, short and long lines.
+RECORD_EXPR = (
+    "CAST(s_suppkey AS VARCHAR(20)) || ';\"' || s_name || '; \"\"' || CAST(s_nationkey AS VARCHAR(20)) || '\"\"\"' || "
+    "CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN ';' WHEN 2 THEN ';note' ELSE ';note;too many' END AS value"
+)
 PARAMS_TEXT_EXPR = (
     "CASE event_type "
     "WHEN 'purchase' THEN replace(props, '\"k\"', '\"reajuste_salarial\"') "
@@ -181,6 +194,19 @@ PARAMS_TEXT_EXPR = (
 )
 
 
+def message_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the parameter text extracted from them: ``conv_id, turn, params_text``."""
+    texts = F.array(*[F.lit(x) for x in MESSAGE_PARAMS])
+    at = ((F.col("conv_id") + F.col("turn")) % len(MESSAGE_PARAMS) + 1).cast("int")
+    c = read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", F.element_at(texts, at).alias("params_text"))
+
+
+def delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delimited text record per supplier."""
+    return read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS line", RECORD_EXPR)
+
+
 def params_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON texts a model might return: valid, numbers as strings, arrays, not
     JSON, null values."""

@@ -29,13 +29,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pay
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if not SparkSession.getActiveSession():
-        # Tests only: the cluster names its shared folder itself.
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paygrid-ckpt-"))
     for k, v in SQL_DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        # Local sessions only; a cluster names its shared folder itself.
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paygrid-ckpt-"))
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -43,14 +43,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pay
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) a fresh folder is created and registered.
+    It must point at storage that the driver and all executors share; unset is
+    an error (:func:`local_session` sets a folder for tests and the bench).
     """
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        # Unset: only the case in local tests.  A cluster session always names it.
-        current = tempfile.mkdtemp(prefix="paygrid-ckpt-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current

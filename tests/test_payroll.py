@@ -110,3 +110,28 @@ def test_practice_empty_plant_gives_null_row(data):
     _, _, e, _ = data
     x = pay.practice_of(e, "nope").collect()
     assert len(x) == 1 and x[0].n_employees == 0 and x[0].avg_salary is None
+
+
+def test_amounts_are_not_rounded_before_the_sum(spark):
+    rows = [("G1", 1000.004, 0.004, 0.0)] * 1000 + [("G1", float("nan"), float("nan"), None)]
+    out = pay.scenario_costs(spark.createDataFrame(rows, EMP), spark.createDataFrame([("G1",) + R1], RATES), [pay.Scenario("s")]).first()
+    want = cascade([r for r in rows if r[1] == r[1]], [("G1",) + R1], (0, 0, 0, 0))
+    assert out.base_salary_current == 1000004.0 and out.va_current == 4.0 and out.n_employees == 1001
+    assert out.current_cost == pytest.approx(want["cur"], abs=0.006)
+
+
+def test_nan_rates_count_as_zero(spark):
+    rates = spark.createDataFrame([("G1", float("nan")) + R1[1:]], RATES)
+    zero = spark.createDataFrame([("G1", 0.0) + R1[1:]], RATES)
+    e = spark.createDataFrame([("G1", 1000.0, 1.0, 1.0)], EMP)
+    assert pay.current_costs(e, rates).collect() == pay.current_costs(e, zero).collect()
+
+
+def test_scenario_table(data):
+    _, _, e, r = data
+    spark = e.sparkSession
+    asked = spark.createDataFrame([(1, "G1", 5.0, 10.0, 15.0, 0.0), (2, "G2", 0.0, 0.0, 0.0, 0.0), (3, "zz", 1.0, 1.0, 1.0, 1.0)],
+                                  "msg int, planta string, pct_salary double, pct_va double, pct_plr double, pct_overtime double")
+    got = {x.msg: x for x in pay.scenario_table_costs(e, r, asked).collect()}
+    want = {x.planta: x for x in pay.scenario_costs(e, r, [pay.Scenario("s", 5.0, 10.0, 15.0, 0.0)]).collect()}
+    assert got[1].projected_cost == want["G1"].projected_cost and got[2].impact == 0.0 and got[3].projected_cost is None

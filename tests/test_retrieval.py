@@ -1,9 +1,9 @@
-"""Chunking, page assembly, filtered search and the two text-scoring paths."""
+"""Chunking, page assembly, filtered search and text search."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from paygrid.operators import retrieval as rt
-from paygrid.operators import scoring
 
 
 def test_chunk_edges(spark):
@@ -39,18 +39,71 @@ def test_post_filter_can_return_fewer_or_none(spark):
     assert sorted((r.query_id, r.rank) for r in kept) == [(1, 1), (1, 2), (1, 3)]
 
 
-def test_blocked_scoring_equals_join(spark):
-    texts = ["the red fox jumps", "a red red car", "fox and car", "nothing shared", "the the the fox"]
+def brute_tfidf(texts, query):
+    """Cosine of tf·ln(N/df) weights, by definition."""
+    import math
+    import re
+    from collections import Counter
+
+    toks = [Counter(re.findall(r"\w+", t.lower())) for t in texts]
+    idf = {w: math.log(len(texts) / sum(w in t for t in toks)) for t in toks for w in t}
+
+    def weights(c):
+        w = {t: n * idf[t] for t, n in c.items() if idf.get(t, 0) > 0}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()} if norm else {}
+
+    q = weights(Counter(re.findall(r"\w+", query.lower())))
+    out = {}
+    for i, c in enumerate(toks):
+        w = weights(c)
+        if set(w) & set(q):
+            out[i] = round(sum(x * q.get(t, 0) for t, x in w.items()), 9)
+    return out
+
+
+@pytest.mark.parametrize("block", [1_000_000, 2])
+def test_text_search_in_blocks_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(rt, "TERM_BLOCK", block)
+    texts = ["the red fox jumps", "a red red car the", "fox and car the", "nothing shared the", "the the the fox"]
     chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
-    qs = spark.createDataFrame([(10, "red fox"), (11, "car"), (12, "zzz")], "query_id long, text string")
-    index, idf = rt.tfidf_index(chunks, ["doc_id", "pos"])
-    qw = rt.query_weights(qs, idf)
-    join = {(r.query_id, r.doc_id): round(r.score, 12) for r in rt.join_scores(index, qw, ["doc_id", "pos"]).collect()}
-    for dense in (0, 1, 1024):
-        scoring.DENSE_TERMS = dense
-        blk = rt.top_k(scoring.blocked_text_scores(index, qw, ["doc_id", "pos"], 10), 10, ["doc_id", "pos"])
-        assert {(r.query_id, r.doc_id): round(r.score, 12) for r in blk.collect()} == join
-    scoring.DENSE_TERMS = 1024
+    asked = {10: "red fox", 11: "car", 12: "zzz", 13: "the"}
+    qs = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    got = {}
+    for r in rt.text_top_k(qs, chunks, ["doc_id", "pos"], 10).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = round(r.score, 9)
+    assert got == {q: b for q, t in asked.items() if (b := brute_tfidf(texts, t))}
+
+
+def test_vector_blocks_give_the_same_hits(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, "a", [float(i % 7), 1.0, float(i % 3)]) for i in range(40)],
+                                   "vec_id long, file string, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(9)], "query_id long, qvec array<double>")
+    want = sorted(map(tuple, rt.top_k(rt.score_vectors(corpus, q), 4, ["vec_id"]).collect()))
+    monkeypatch.setattr(rt, "VECTOR_BLOCK", 4)
+    assert sorted(map(tuple, rt.top_k(rt.score_vectors(corpus, q), 4, ["vec_id"]).collect())) == want
+
+
+def test_prefilter_scores_allowed_rows_only(spark):
+    corpus = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.1])], "vec_id long, file string, embedding array<float>")
+    q = spark.createDataFrame([(7, "P", [1.0, 0.0])], "query_id long, plant string, qvec array<double>")
+    refs = spark.createDataFrame([("P", "b"), ("P", "b"), ("Q", "a")], "plant string, file string")
+    assert [(r.query_id, r.vec_id) for r in rt.score_allowed(corpus, q, refs).collect()] == [(7, 2)]
+
+
+def test_search_status_classes(spark):
+    qs = spark.createDataFrame([(i, f"P{i}") for i in range(1, 5)], "query_id long, plant string")
+    refs = spark.createDataFrame([(f"P{i}", "f") for i in range(2, 5)], "plant string, file string")
+    top = spark.createDataFrame([(3, "P3", "g"), (4, "P4", "f")], "query_id long, plant string, file string")
+    kept = top.filter("query_id = 4")
+    status = {r.query_id: r.status for r in rt.search_status(qs, refs, top, kept, 1).collect()}
+    assert status == {1: "no_allowed_files", 2: "no_hit", 3: "no_allowed_hit", 4: "ok"}
+    assert {r.status for r in rt.search_status(qs, refs, top, kept, 0).collect()} == {"no_allowed_files", "empty_index"}
+
+
+def test_pages_without_number_or_file_stay(spark):
+    pages = spark.createDataFrame([(None, 1, "x"), ("d", None, "first"), ("d", 2, "second")], "file string, page_no int, text string")
+    assert {r.file: r.text for r in rt.chunk_pages(pages).collect()} == {None: "x\n", "d": "first\nsecond\n"}
 
 
 def test_vector_search_zero_vector_and_ties(spark):

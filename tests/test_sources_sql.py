@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paygrid.operators import market as mk
-from paygrid.operators.sql import MISSING_TABLE, SYNTAX, QueryError, run_sql
+from paygrid.functions import numbers as nu
+from paygrid.operators.sql import MISSING_TABLE, OTHER, SYNTAX, QueryError, query_rows, run_sql
 from paygrid.sources import delimited as dl
 
 
@@ -18,12 +19,13 @@ def test_split_fields_pandas_skip_rule(spark):
 
 
 def test_market_records_quoted_whole(spark):
-    rows = ['"G1 ;Renault/Volvo/VW;Grande Curitiba;5.5%;R$ 1.200,00;R$ 28.000,00;2025-01;Foco"',
-            '"G2;GM;Gravataí;x%;R$ abc;R$ 22.000,00;2025-13;Clausula"']
+    rows = ['"G1 ;Acme;North;5.5%;R$ 1.200,00;R$ 28.000,00;2025-01;Foco"',
+            '"G2;Umbra;South;x%;R$ abc;R$ 22.000,00;2025-13;""Clausula"" a"']
     m = mk.parse_market(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
     g1 = [r for r in m if r.Filial == "G1"][0]
     assert (g1.Reajuste_Praticado, g1.VA_Valor, g1.PLR_Referencia, str(g1.Data_Acordo)) == (5.5, 1200.0, 28000.0, "2025-01-01")
     g2 = [r for r in m if r.Filial == "G2"][0]
+    assert g2.Principais_Clausulas == '"Clausula" a'
     assert g2.Reajuste_Praticado is None and g2.VA_Valor is None and g2.Data_Acordo is None
 
 
@@ -64,3 +66,65 @@ def test_sql_parameters_and_error_classes(spark):
     with pytest.raises(QueryError):
         run_sql(spark, "DROP TABLE hc")
     _ = F
+
+
+def test_split_fields_with_quoted_separator(spark):
+    lines = spark.createDataFrame([(1, 'G1;"a;b";c'), (2, '"x ""y""";;""')], "id int, value string")
+    got = {r.id: tuple(r)[1:] for r in dl.split_fields(lines, ";", ["x", "y", "z"]).collect()}
+    assert got == {1: ("G1", "a;b", "c"), 2: ('x "y"', None, None)}
+
+
+def test_strict_numbers(spark):
+    texts = ["R$ 1.200,00", "R$ 1200.50", "1200,5", "R$ 12.00,0", "5d", "-3,25"]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(nu.parse_brl("t").alias("v")).collect()]
+    assert got == [1200.0, None, 1200.5, None, None, -3.25]
+    pct = [r.v for r in spark.createDataFrame([("5.5%",), ("5d",), ("7 %",), ("x",)], "t string").select(nu.parse_percent("t").alias("v")).collect()]
+    assert pct == [5.5, None, 7.0, None]
+    js = spark.createDataFrame([('{"reajuste_va": "5d", "reajuste_plr": 2}',)], "t string").select(nu.json_params("t").alias("v")).first().v
+    assert tuple(js) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_market_row_without_leading_fields_is_data(spark):
+    market = mk.parse_market(spark.createDataFrame([('"G1;;;5.5%;a combinar;R$ 1,00;2025-01;c"',)], "value string"))
+    row = mk.benchmark_status(spark.createDataFrame([("G1",)], "plant string"), market).first()
+    assert row.status == "ok" and row.Reajuste_Praticado == 5.5
+
+
+def test_gap_verdict_edges(spark):
+    market = spark.createDataFrame([("G1", 100.0, None)], "Filial string, VA_Valor double, PLR_Referencia double")
+    own = spark.createDataFrame([("g1", v, 1.0, 1) for v in (101.0, 101.01, 98.99, None)], "plant string, avg_va double, avg_plr double, n_employees int")
+    assert [r.verdict_va for r in mk.benchmark_gap(own, market).collect()] == ["at", "above", "below", "no_data"]
+
+
+def test_record_file_keeps_lines_equal_to_the_header(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="paygrid-test-"), "rec.csv")
+    with open(path, "w", encoding="utf-8-sig") as f:
+        f.write('"a;b"\n"1;2"\n"a;b"\n')
+    assert [tuple(r) for r in dl.read_record_quoted(spark, path).collect()] == [("1", "2"), ("a", "b")]
+
+
+def test_rename_first_and_publish(spark):
+    df = dl.rename_first(spark.createDataFrame([(1, 2)], "x int, y int"), "Filial")
+    dl.publish(df, "published_t")
+    dl.publish(df.union(df), "published_t")
+    assert df.columns == ["Filial", "y"] and spark.table("published_t").count() == 2
+
+
+WRITES = ["WITH a AS (SELECT 1 AS x) INSERT INTO dst SELECT x FROM a", "FROM hc INSERT INTO dst SELECT s", "CREATE TABLE dst AS SELECT 1",
+          "DROP TABLE hc", "TRUNCATE TABLE hc", "SET x=1"]
+
+
+@pytest.mark.parametrize("text", WRITES)
+def test_sql_refuses_writes(spark, text):
+    with pytest.raises(QueryError) as e:
+        run_sql(spark, text, {"hc": spark.range(1).withColumnRenamed("id", "s")})
+    assert e.value.kind == SYNTAX
+
+
+def test_sql_comments_run_time_errors_and_views(spark):
+    spark.range(7).createOrReplaceTempView("mine")
+    assert query_rows(spark, "-- note\nSELECT count(*) AS n FROM mine", {"mine": spark.range(3)})[0].n == 3
+    assert spark.table("mine").count() == 7
+    with pytest.raises(QueryError) as e:
+        query_rows(spark, "SELECT 1 / CAST(id AS INT) FROM range(1)")
+    assert e.value.kind == OTHER
