@@ -384,7 +384,7 @@ def context_block(spark, sf):
 # ----------------------------------------------------------------- SQL, records, streaming, answers
 from ..operators.sql import run_sql  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..streaming.tagging import tag_stream  # noqa: E402
+from ..streaming.tagging import history_stream, tag_stream  # noqa: E402
 
 PASSTHROUGH_SQL = """
 SELECT rate.planta AS plant, max(rate.perc_he_medio) AS overtime_share, max(pay.salario_atual) AS top_salary,
@@ -411,6 +411,13 @@ def stream_tag(spark, sf):
     return tag_stream(spark, sf, schema, _smap(spark, sf), glob="conversations.parquet")
 
 
+@query("stream_history")
+def stream_history(spark, sf):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    selected = F.concat(F.lit("G"), (F.col("conv_id") % tm.N_SELECTABLE).cast("string"))
+    return history_stream(spark, sf, schema, _smap(spark, sf), tm.doc_refs(spark, sf), selected, glob="conversations.parquet")
+
+
 def _plant_code(col):
     return F.concat(F.lit("G"), F.col(col).cast("string"))
 

@@ -10,9 +10,11 @@ with the checkpoint)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import tagging as tg
 from ..session import scratch_path
 
@@ -35,8 +37,62 @@ def tag_stream(spark: SparkSession, source_dir: str, schema: str, smap: DataFram
         tagged = tg.tag_messages(batch, smap_static, list(id_cols), profile=profile)
         tagged.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
+    _drain(src, per_batch, checkpoint)
+    smap_static.unpersist()
+    types = dict(f.strip().split(" ", 1) for f in schema.split(","))
+    out_schema = ", ".join([*(f"{c} {types[c]}" for c in id_cols), "tagged_plant string"])
+    return _read_out(spark, out_dir, out_schema)
+
+
+def _drain(src: DataFrame, per_batch, checkpoint: str) -> None:
     q = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    smap_static.unpersist()
-    return spark.read.parquet(out_dir).select(*id_cols, "tagged_plant")
+
+
+def _read_out(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
+    """What the batches wrote; empty, with the declared columns, if there was no batch."""
+    out = spark.read.schema(schema)
+    try:
+        return out.parquet(f"{out_dir}/batch=*")
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith("PATH_NOT_FOUND"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+HISTORY = "conv_id bigint, turn bigint, role string, text string, reply_type string, reply_context string, risk string"
+
+
+def history_stream(spark: SparkSession, source_dir: str, schema: str, smap: DataFrame, doc_refs: DataFrame,
+                   selected_plant, glob: str = "*.parquet", out_dir: str | None = None,
+                   checkpoint: str | None = None) -> DataFrame:
+    """The message pipeline as a stream: every arriving message is tagged with its
+    plant (``selected_plant`` is the column used where no synonym is found) and
+    routed; answers also get the intent and plant of the question before them and
+    a risk level; all are appended to the history.
+
+    A question and its answer must arrive in the same file (a turn is written
+    with its reply).  Batches write their own folders, so a replayed batch
+    replaces its output; the history is read back from them."""
+    out_dir = out_dir or scratch_path(spark, "stream-history-out")
+    checkpoint = checkpoint or scratch_path(spark, "stream-history-ckpt")
+    profile = tg.dictionary_profile(smap)
+    ids = ["conv_id", "turn"]
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        asked = batch.filter(F.col("role") == "user").withColumn("selected_plant", selected_plant)
+        tagged = tg.tag_messages(asked, smap, ids, profile=profile, keep=["text", "selected_plant"])
+        tagged = tagged.withColumn("plant", F.coalesce("tagged_plant", "selected_plant"))
+        routed = tg.route_intents(tagged, doc_refs, label_col=None)
+        replies = routed.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("intent").alias("reply_type"),
+                                F.col("plant").alias("reply_context"))
+        j = batch.join(replies, ids, "left")
+        answer = F.col("role") == "assistant"
+        rows = j.select(*ids, "role", "text", *[F.when(answer, F.col(c)).alias(c) for c in ("reply_type", "reply_context")],
+                        F.when(answer, tx.risk_level(F.col("text"), F.col("reply_type"))).alias("risk"))
+        rows.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
+    _drain(src, per_batch, checkpoint)
+    return _read_out(spark, out_dir, HISTORY)

@@ -6,6 +6,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from paygrid.sources.delimited import load_tables
+from paygrid.streaming.tagging import history_stream, tag_stream
 from paygrid.functions.text import render_table
 from paygrid.sources import delimited as dl
 from paygrid.sources import documents as ds
@@ -50,3 +52,44 @@ def test_read_record_quoted_file(spark):
         f.write('"Filial;Empresa;Valor"\n"G1 ;Renault;R$ 1.200,00"\n"G2;GM"\n"G3;a;b;c"\n')
     rows = {r.Filial.strip(): r for r in dl.read_record_quoted(spark, p).collect()}
     assert set(rows) == {"G1", "G2"} and rows["G2"].Valor is None and rows["G1"].Empresa == "Renault"
+
+
+MESSAGES = "conv_id bigint, turn bigint, role string, text string"
+
+
+def _history(spark, folder, out=None, ckpt=None):
+    smap = spark.createDataFrame([("north", 1, 0, "G1")], "synonym string, pos_line long, pos_idx int, plant string")
+    refs = spark.createDataFrame([("G1", "f")], "plant string, file string")
+    return history_stream(spark, folder, MESSAGES, smap, refs, F.lit("G9"), out_dir=out, checkpoint=ckpt)
+
+
+def test_streams_without_input_are_empty(spark, tmp_path):
+    assert _history(spark, str(tmp_path)).count() == 0
+    smap = spark.createDataFrame([("north", 1, 0, "G1")], "synonym string, pos_line long, pos_idx int, plant string")
+    out = tag_stream(spark, str(tmp_path), MESSAGES, smap)
+    assert out.columns == ["conv_id", "turn", "tagged_plant"] and out.count() == 0
+
+
+def test_history_stream_two_batches_and_replay(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / d) for d in ("src", "out", "ckpt"))
+    first = [(1, 0, "user", "How is the north?"), (1, 1, "assistant", "raise by 8%")]
+    second = [(2, 0, "user", "mercado"), (2, 1, "assistant", "fine"), (3, 0, "user", "north mercado"), (3, 1, "assistant", None)]
+    spark.createDataFrame(first, MESSAGES).coalesce(1).write.parquet(src)
+    assert _history(spark, src, out, ckpt).count() == 2
+    spark.createDataFrame(second, MESSAGES).coalesce(1).write.mode("append").parquet(src)
+    got = {(r.conv_id, r.turn): (r.reply_type, r.reply_context, r.risk) for r in _history(spark, src, out, ckpt).collect()}
+    assert got == {(1, 0): (None, None, None), (1, 1): ("POLÍTICA", "G1", "high"), (2, 0): (None, None, None),
+                   (2, 1): ("ERRO", "G9", "attention"), (3, 0): (None, None, None), (3, 1): ("CONSULTA_ESTRATEGICA", "G1", "low")}
+    assert _history(spark, src, out, ckpt).count() == 6            # nothing new: nothing added
+    again = str(tmp_path / "again")                                # a lost checkpoint replays into the same folders
+    assert _history(spark, src, again, str(tmp_path / "c2")).count() == 6
+
+
+def test_load_tables_reports_and_publishes(spark, tmp_path):
+    (tmp_path / "headcount.csv").write_text("id,planta\n1,G1\n", encoding="utf-8-sig")
+    (tmp_path / "benchmark_mercado.csv").write_text('"Filial ;Empresa"\n"G1;A ""x"""\n', encoding="utf-8-sig")
+    (tmp_path / "mapeamento_sinonimos.csv").write_text("FILIAL;Synonyms\nG1;a, b\n", encoding="utf-8")
+    tables, report = load_tables(spark, str(tmp_path))
+    assert {r.table: r.status for r in report.collect()} == {"headcount": "loaded", "premissas": "missing", "market_benchmark": "loaded", "sinonimos": "loaded"}
+    assert [tuple(r) for r in spark.table("market_benchmark").collect()] == [("G1", 'A "x"')]
+    assert tables["sinonimos"].columns == ["Planta", "Sinonimos"] and spark.table("headcount").count() == 1
