@@ -1,9 +1,10 @@
-"""Driver contract: entry runs, every query has a name-matched oracle or is
-documented as rows-only, and every registered query runs at sf0.001."""
+"""Driver contract: entry runs, every query of the catalog has an oracle, and
+every one runs to its last row at sf0.001."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from paygrid.plans.catalog import REGISTRY
 from tests.conftest import SF001
 
 
@@ -13,12 +14,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    from paygrid.plans.catalog import REGISTRY
-
     assert set(REGISTRY) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
-def test_query_runs_smoke(spark, name):
-    df = queries()[name](spark, SF001)
-    df.limit(5).collect()
+@pytest.mark.parametrize("name", sorted(REGISTRY))
+def test_query_runs(spark, name):
+    queries()[name](spark, SF001).write.format("noop").mode("overwrite").save()
