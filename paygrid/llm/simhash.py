@@ -191,7 +191,8 @@ def links(nodes: DataFrame, max_bits: int = 4, bucket_rows: int = 1024) -> DataF
     hot = index.groupBy("part", "key").count().where(F.col("count") > bucket_rows).select("part", "key")
     cold = index.join(hot, ["part", "key"], "left_anti").withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = probes.withColumnRenamed("fp", "a").join(cold, ["part", "key"]).where((F.col("a") < F.col("b")) & near)
+    # Sizes are estimated from before the explode, so the joins are told not to broadcast.
+    pairs = probes.withColumnRenamed("fp", "a").join(cold.hint("merge"), ["part", "key"]).where((F.col("a") < F.col("b")) & near)
     # A pair in which only one side lies in a hot bucket of this partition meets through the other side's probes,
     # unless those go to hot buckets too; then both are here.
     crowd = probes.join(hot, ["part", "key"], "left_semi").select("fp").union(index.join(hot, ["part", "key"], "left_semi").select("fp")).distinct()
@@ -207,7 +208,7 @@ def through_midpoints(nodes: DataFrame, max_bits: int) -> DataFrame:
     reach = reach.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"), (F.col("pos") < inner).alias("close"))
     centre = reach.groupBy("mid").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("a"), F.count("*").alias("n"))
     centre = centre.where((F.col("n") > 1) & F.col("a").isNotNull()).select("mid", "a")
-    return reach.join(centre, "mid").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
+    return reach.join(centre.hint("merge"), "mid").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
