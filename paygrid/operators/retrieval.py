@@ -205,7 +205,8 @@ def term_counts(df: DataFrame, id_cols: list[str], text_col: str = "text", rows_
     toks = _terms(F.col(text_col))
     if rows_term is not None:
         toks = F.concat(toks, F.array(F.lit(rows_term)))
-    x = df.select(*id_cols, F.explode(toks).alias("term"))
+    # Said here, because a join on the term would add it below one use of the counts and not below another.
+    x = df.select(*id_cols, F.explode(toks).alias("term")).filter(F.col("term").isNotNull())
     return x.groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -219,8 +220,9 @@ def tfidf_index(chunks: DataFrame, id_cols: list[str]) -> tuple[DataFrame, DataF
     own terms (at most a chunk's length)."""
     tf = term_counts(chunks, id_cols, rows_term="")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = df.filter(F.col("term") == "").select(F.col("df").alias("n"))      # one row
-    idf = df.filter(F.col("term") != "").join(F.broadcast(n)) \
+    # No filter on the term, which would move below the counts and make them differ from the index's.
+    n = df.agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"))      # one row
+    idf = df.join(F.broadcast(n)) \
         .select("term", F.log(F.col("n").cast("double") / F.col("df")).alias("idf")).filter(F.col("idf") > 0)
     w = tf.join(idf, "term", "inner").select(*id_cols, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*id_cols)))
