@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paygrid.llm.common import fresh, whole_texts
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match never starts inside a run of digits: from there it would have failed or succeeded at the run's start already.
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -56,19 +58,22 @@ def look_alikes() -> dict[int, str]:
 
 
 FOLD = look_alikes()
-DISGUISE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted({*FOLD, *map(ord, INVISIBLE)})) + "]")
+DISGUISES = frozenset([*map(chr, FOLD), *INVISIBLE])
+LATIN_DISGUISE = re.compile("[" + "".join(sorted(c for c in DISGUISES if c < "\u0100")) + "]")
 _D = "|".join(sorted(DIGITS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_D})(?:[\s,-]+(?:{_D}))*\b", re.I)
-SPELLED_RUN = re.compile(rf"\b(?:{_D})[\s,-]+(?:{_D})[\s,-]+(?:{_D})\b", re.I)
+LETTERS = re.compile(r"[^\W\d_]+")
 DIGIT_WORD = re.compile(rf"\b(?:plus|{_D})\b", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 BRACKETS = re.compile(rf"\s*{OPEN}\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*{CLOSE}\s*", re.I)
 _NAME, _LABEL = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
-_DOTS, _ATS = rf"(?:\s+(?:{DOT})\s+|\s*\.\s*)", rf"(?:\s+(?:{AT})\s+|\s*@\s*)"
+_ATS = rf"(?:\s+(?:{AT})\s+|\s*@\s*)"
 #: An address in words: a name, "at", labels with at least one "dot" in words.
 IN_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\s+(?:{DOT})\s+|\.){_NAME})*{_ATS}{_LABEL}(?:(?:\s+(?:{DOT})\s+|\.){_LABEL})*\s+(?:{DOT})\s+{_LABEL}", re.I)
 #: "at" in words before a plain domain, where the name cannot be an ordinary word.
 BEFORE_DOMAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z]*[0-9._%+]){_NAME}(?:\.{_NAME})*\s+(?:{AT})\s+{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])", re.I)
+#: What BEFORE_DOMAIN ends with, in lower case; cheap to look for.
+AT_DOMAIN = re.compile(rf"\s(?:{AT})\s+[a-z0-9-]+\.")
 #: An address with blanks around its signs.
 BLANKS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+@\s*|\s*@\s+){_LABEL}(?:\s?\.\s?{_LABEL})*\s?\.\s?[A-Za-z]{{2,}}(?![A-Za-z0-9-])")
 NUMBERS = re.compile(rf"(?<![A-Za-z0-9])[0-9]{{1,3}}(?:(?:\s+(?:{DOT})\s+|\.)[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.I)
@@ -161,10 +166,26 @@ def signs(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def disguised(text: str) -> bool:
+    """Whether the text has a look-alike or an invisible character."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not DISGUISES.isdisjoint(text)
+    return LATIN_DISGUISE.search(text) is not None
+
+
+def counts_up(low: str) -> bool:
+    """Whether three digit words follow each other among the text's words, whatever stands between them."""
+    return b"\1\1\1" in bytes(map(DIGITS.__contains__, LETTERS.findall(low)))
+
+
 def normalised(text: str) -> tuple[str, list] | None:
     """The rewritten text with the source span of each character; None if nothing is disguised."""
     places, plain = None, text
-    if not text.isascii() and DISGUISE.search(text):
+    if disguised(text):
         plain = text.translate(FOLD)
         gone = [(m.start(), m.end(), "") for m in re.finditer(f"[{INVISIBLE}]", plain)]
         if gone:
@@ -175,9 +196,9 @@ def normalised(text: str) -> tuple[str, list] | None:
         plain, places = rewrite(plain, edits, places)
         low = plain.lower()
     dots = any(f" {w} " in low or f"\n{w} " in low or f" {w}\n" in low for w in DOT.split("|"))
-    if SPELLED_RUN.search(plain) or dots and SPELLED.search(plain):
+    if counts_up(low) or dots and SPELLED.search(plain):
         plain, places = rewrite(plain, spelled(plain), places)
-    if dots or "@" in plain or BEFORE_DOMAIN.search(plain):
+    if dots or "@" in plain or AT_DOMAIN.search(low):
         edits = signs(plain)
         if edits:
             plain, places = rewrite(plain, edits, places)
@@ -252,7 +273,7 @@ def report(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans; repeats and null ids keep their rows;
     an empty table gives an empty result.  ``n_added`` counts the added spans.
     """
-    rows = docs.select("doc_id", find(F.col("text")).alias("found"))
+    rows = whole_texts(docs).select("doc_id", find(F.col("text")).alias("found"))
     base = F.filter("found", lambda s: s["base"])
 
     def count(kind: str) -> Column:
@@ -269,10 +290,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars``, where there is one, counted anew."""
-    from paygrid.llm.common import fresh
-
     (name,) = fresh(docs, "pii_found")
-    rows = docs.withColumn(name, find(F.col("text")))
+    rows = whole_texts(docs).withColumn(name, find(F.col("text")))
     rows = rows.withColumn("text", F.when(F.size(name) > 0, redact(F.col("text"), F.col(name))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
