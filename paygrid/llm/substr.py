@@ -5,16 +5,18 @@ of two rows.  The item of a window is the least hash among the 8-word runs it
 holds: equal windows have equal items, so an item's count never falls short of
 its windows' counts, and neighbouring windows share one item.  A document
 counts an item once.  The partition sketches are merged slot range by slot
-range into two bit maps a row: slots counted at least twice, and hot ones.  The
-bit maps have a fixed size bound (``max_bits``) and are broadcast.
+range into a bit map a row (slots counted at least twice) and the list of hot
+slots.  The bit maps have a fixed size bound (``max_bits``) and are broadcast.
 
 Pass 2 emits only windows whose item both rows call repeated and groups them by
-128-bit window hash: a window is removed unless its document has the smallest
+a 96-bit window hash: a window is removed unless its document has the smallest
 id that holds it.  Fewer sketch bits let more windows through to the exact
 grouping; they never lose one.
 
-A hot window's rows are dealt over ``SALTS`` tasks.  All but the least document
-of a task are decided there; only these least ones meet again.
+A window that very many documents hold would meet in one task.  So windows with
+a hot item are counted first, pre-aggregated per task; those that really are
+hot are few (at most all windows divided by the hot count, which grows with the
+input), their least ids are broadcast, and their rows need no grouping.
 """
 
 from __future__ import annotations
@@ -23,24 +25,29 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrid.llm.bpe import slices
-from paygrid.llm.common import partitions, worker_cache
+from paygrid.llm.common import partitions, whole_texts, worker_cache
 
 WINDOW = 13
 RUN = 8
 ROWS = 2
 #: Slot ranges that are merged separately.
 REGION_BITS = 8
-#: Documents from which a sketch slot counts as hot, and the tasks a hot window is dealt over.
-HOT, SALTS = 1024, 64
+#: Documents from which a window counts as hot, at least; and the most hot slots of a sketch row.
+HOT, HOT_SLOTS = 1024, 1_000_000
+#: Bytes of text that give one item, about.
+ITEM_BYTES = 20
 #: Items a task holds before it sends off its sketch.
 FLUSH = 4_000_000
 VOCABULARY = 1_000_000
 #: A task's counts in one slot range: gaps between the slots named (2 or, if wide, 4 bytes), then places and counts of those over 1.
 PIECE = pa.schema([("row", pa.int32()), ("region", pa.int32()), ("wide", pa.bool_()), ("gaps", pa.binary()), ("many", pa.binary())])
+#: Stands for a null id in a minimum.
+NO_ID = np.int64((1 << 63) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,8 +139,8 @@ def batched(batch: pa.RecordBatch, column: str, size: int = 4_000_000):
         yield part, Texts([t or b"" for t in part.column(column).to_pylist()])
 
 
-def sketch(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit maps [row, slot] of the merged sketch: slots counted at least twice, and at least HOT times."""
+def sketch(docs: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The merged sketch: a bit map [row, slot] of slots counted at least twice, and a row's slots counted at least ``hot`` times."""
     shift = np.uint32(32 - bits)
     width = 1 << (bits - REGION_BITS)
 
@@ -145,7 +152,7 @@ def sketch(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
                 region = at >> np.uint32(bits - REGION_BITS)
                 ends = np.searchsorted(region, np.arange((1 << REGION_BITS) + 1))
                 inside = (at & np.uint32(width - 1)).astype("<u4")
-                n = np.minimum(n, HOT).astype("<u2")
+                n = np.minimum(n, hot).astype("<u4")
                 out = []
                 for r in range(1 << REGION_BITS):
                     a, b = ends[r], ends[r + 1]
@@ -173,7 +180,7 @@ def sketch(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
         def closed():
             return pa.RecordBatch.from_arrays(
-                [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()]), pa.array([np.packbits(counts >= HOT).tobytes()])],
+                [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()]), pa.array([np.flatnonzero(counts >= hot).astype("<u4").tobytes()])],
                 ["row", "region", "twice", "hot"],
             )
 
@@ -185,20 +192,21 @@ def sketch(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
                     now, counts = (row, region), np.zeros(width, np.int32)
                 at = np.cumsum(np.frombuffer(gaps, "<u4" if wide else "<u2"), dtype=np.int64)
                 more = np.ones(len(at), np.int32)
-                k = len(many) // 6
-                more[np.frombuffer(many[: 4 * k], "<u4")] = np.frombuffer(many[4 * k :], "<u2")
-                counts[at] = np.minimum(counts[at] + more, HOT)  # a piece names a slot once
+                k = len(many) // 8
+                more[np.frombuffer(many[: 4 * k], "<u4")] = np.frombuffer(many[4 * k :], "<u4")
+                counts[at] = np.minimum(counts[at] + more, hot)  # a piece names a slot once
         if now is not None:
             yield closed()
 
     pieces = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "row int, region int, wide boolean, gaps binary, many binary")
     parts = pieces.repartition(partitions(docs.sparkSession), "row", "region").sortWithinPartitions("row", "region")
-    maps = np.zeros((2, ROWS, 1 << REGION_BITS, width // 8), np.uint8)
+    maps = np.zeros((ROWS, 1 << REGION_BITS, width // 8), np.uint8)
+    often: list[list[np.ndarray]] = [[np.zeros(0, np.uint32)] for _ in range(ROWS)]
     # as many rows as slot ranges, together as large as the bit maps
     for r in parts.mapInArrow(merge, "row int, region int, twice binary, hot binary").toLocalIterator():
-        maps[0, r.row, r.region] = np.frombuffer(r.twice, np.uint8)
-        maps[1, r.row, r.region] = np.frombuffer(r.hot, np.uint8)
-    return maps[0].reshape(ROWS, -1), maps[1].reshape(ROWS, -1)
+        maps[r.row, r.region] = np.frombuffer(r.twice, np.uint8)
+        often[r.row].append(np.frombuffer(r.hot, "<u4") + np.uint32(r.region * width))
+    return maps.reshape(ROWS, -1), [np.sort(np.concatenate(x)).astype(np.uint32) for x in often]
 
 
 def is_set(maps: np.ndarray, items: np.ndarray, bits: int) -> np.ndarray:
@@ -210,52 +218,115 @@ def is_set(maps: np.ndarray, items: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
-    """(k1, k2, doc_id, th, hot, pos, more): each document's windows estimated repeated, once, with their start positions."""
-    shipped = docs.sparkSession.sparkContext.broadcast(maps)
+def is_hot(often: list[np.ndarray], items: np.ndarray, bits: int) -> np.ndarray:
+    """Whether every row lists the item's slot as hot."""
+    out = np.ones(len(items), bool)
+    for row in range(ROWS):
+        at = slots(items, row) >> np.uint32(32 - bits)
+        out &= member(often[row], at)[0]
+    return out
+
+
+def member(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is among sorted ``values``, and where."""
+    if not len(values):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    return values[at] == x, at
+
+
+def keys(texts: Texts, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 96-bit hashes of windows, as a long and an int."""
+    k1, k2 = sums(texts.low, WINDOW, 2)[texts.start[at]], sums(texts.high, WINDOW, 3)[texts.start[at]]
+    return k1.view(np.int64), (k2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def hot_windows(docs: DataFrame, often: list[np.ndarray], bits: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that at least ``hot`` documents hold, sorted by k1: k1, k2, the least id, and whether there is one."""
+    shipped = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        often = shipped.value
+        for batch in batches:
+            for part, texts in batched(batch, "text"):
+                at = np.flatnonzero(is_hot(often, texts.items(), bits))
+                if not len(at):
+                    continue
+                k1, k2 = keys(texts, at)
+                doc = texts.doc[at]
+                ids = part.column("doc_id")
+                known = ids.is_valid().to_numpy(zero_copy_only=False)[doc]
+                ids = pc.fill_null(ids, NO_ID).to_numpy()[doc]
+                order = np.lexsort((~known, ids, doc, k2, k1))
+                k1, k2, doc, ids = k1[order], k2[order], doc[order], ids[order]
+                new = changes(k1, k2)
+                once = changes(k1, k2, doc)
+                head = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k1[head]), pa.array(k2[head]), pa.array(np.minimum.reduceat(ids, head)), pa.array(np.add.reduceat(once.astype(np.int64), head))],
+                    ["k1", "k2", "least", "n"],
+                )
+
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 int, least long, n long")
+    found = rows.groupBy("k1", "k2").agg(F.min("least").alias("least"), F.sum("n").alias("n")).where(F.col("n") >= hot)
+    found = found.select("k1", "k2", "least").orderBy("k1").collect()  # at most all windows / hot
+    k1, k2, least = (np.array([r[i] for r in found], t) for i, t in enumerate((np.int64, np.int32, np.int64)))
+    return k1, k2, least, least != NO_ID
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def repeated_windows(docs: DataFrame, twice: np.ndarray, hot: tuple, bits: int) -> DataFrame:
+    """(k1, k2, doc_id, th, is_hot, least, pos, more): each document's windows estimated repeated, once, with their start positions.
+
+    ``least`` is the least id that holds the window where that is known already (hot windows).
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast((twice, hot))
 
     def run(batches):
-        twice, hot = shipped.value
+        twice, (h1, h2, least, has) = shipped.value
         for batch in batches:
             for part, texts in batched(batch, "text"):
-                items = texts.items()
-                at = np.flatnonzero(is_set(twice, items, bits))
+                at = np.flatnonzero(is_set(twice, texts.items(), bits))
                 if not len(at):
                     continue
-                k1, k2 = sums(texts.low, WINDOW, 2)[texts.start[at]], sums(texts.high, WINDOW, 3)[texts.start[at]]
+                k1, k2 = keys(texts, at)
                 doc, pos = texts.doc[at], texts.pos[at]
                 order = np.lexsort((pos, k2, k1, doc))
-                k1, k2, doc, pos, items = k1[order], k2[order], doc[order], pos[order], items[at][order]
-                new = np.ones(len(k1), bool)
-                new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (doc[1:] != doc[:-1])
-                head = np.flatnonzero(new)
+                k1, k2, doc, pos = k1[order], k2[order], doc[order], pos[order]
+                head = np.flatnonzero(changes(k1, k2, doc))
                 ends = np.append(head[1:], len(k1))
                 more = [None] * len(head)
                 for i in np.flatnonzero(ends - head > 1):
                     more[i] = pos[head[i] + 1 : ends[i]].astype("<u4").tobytes()
+                k1, k2, doc, pos = k1[head], k2[head], doc[head], pos[head]
+                known, where = member(h1, k1)
+                if len(h1):
+                    known &= h2[where] == k2
+                first = pa.array(least[where] if len(h1) else np.zeros(len(k1), np.int64), mask=~(known & (has[where] if len(h1) else False)))
+                take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(k1[head].view(np.int64)), pa.array(k2[head].view(np.int64)),
-                        part.column("doc_id").take(pa.array(doc[head])), part.column("th").take(pa.array(doc[head])),
-                        pa.array(is_set(hot, items[head], bits)), pa.array(pos[head].astype(np.int32)), pa.array(more, pa.binary()),
-                    ],
-                    ["k1", "k2", "doc_id", "th", "hot", "pos", "more"],
-                )
+                    [pa.array(k1), pa.array(k2), part.column("doc_id").take(take), part.column("th").take(take), pa.array(known), first, pa.array(pos.astype(np.int32)), pa.array(more, pa.binary())],
+                    ["k1", "k2", "doc_id", "th", "is_hot", "least", "pos", "more"],
+                )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, th long, hot boolean, pos int, more binary")
+    rows = docs.select("doc_id", F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "k1 long, k2 int, doc_id long, th int, is_hot boolean, least long, pos int, more binary")
 
 
 def removals(windows: DataFrame) -> DataFrame:
     """The windows that a document with a smaller id also holds: (doc_id, th, pos, more).  Null ids are larger than any."""
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0))
-    here = Window.partitionBy("k1", "k2", "salt")
-    rows = windows.withColumn("salt", salt).withColumn("least", F.min("doc_id").over(here))
-    later = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id")))
-    sure = rows.where(later).select("doc_id", "th", "pos", "more")
-    open_ = rows.where(F.col("hot") & ~later).select("k1", "k2", "doc_id", "th", "pos", "more")
-    least = F.min("doc_id").over(Window.partitionBy("k1", "k2"))
-    return sure.union(open_.withColumn("least", least).where(later).select("doc_id", "th", "pos", "more"))
+    # Rows of hot windows know their least id already and are only spread evenly.
+    salt = F.when(F.col("is_hot"), F.hash("doc_id", "pos")).otherwise(F.lit(0))
+    here = F.min("doc_id").over(Window.partitionBy("k1", "k2", "salt"))
+    rows = windows.withColumn("salt", salt).withColumn("first", F.when(F.col("is_hot"), F.col("least")).otherwise(here))
+    later = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("first") < F.col("doc_id")))
+    return rows.where(later).select("doc_id", "th", "pos", "more")
 
 
 def cut_out(text: Column, at: Column, more: Column) -> Column:
@@ -284,10 +355,11 @@ def cut_out(text: Column, at: Column, more: Column) -> Column:
     return of(text.cast("binary"), at, more)
 
 
-def sketch_bits(docs: DataFrame, max_bits: int) -> int:
-    """Bits of a slot number: eight slots for each item expected, within 16 and ``max_bits``."""
+def sketch_size(docs: DataFrame, max_bits: int) -> tuple[int, int]:
+    """Bits of a slot number (four slots for each item expected, within 16 and ``max_bits``) and the hot count."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max_bits, max(16, int(size * 8 / 20).bit_length()))
+    items = int(size) // ITEM_BYTES
+    return min(max_bits, max(16, (4 * items).bit_length())), max(HOT, items // HOT_SLOTS)
 
 
 def dedup(docs: DataFrame, max_bits: int = 28) -> DataFrame:
@@ -297,14 +369,15 @@ def dedup(docs: DataFrame, max_bits: int = 28) -> DataFrame:
     with a smaller doc_id.  Null text has no words; texts under 13 words stay
     whole; rows that repeat an id do not remove from each other; null ids come
     after all others and not before each other; an empty table stays empty.
-    ``max_bits`` bounds the broadcast bit maps to 4 * 2 ** max_bits bits.
+    ``max_bits`` bounds the broadcast bit maps to 2 * 2 ** max_bits bits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = sketch_bits(docs, max_bits)
-    found = removals(repeated_windows(docs, sketch(docs, bits), bits))
+    docs = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits, hot = sketch_size(docs, max_bits)
+    twice, often = sketch(docs, bits, hot)
+    found = removals(repeated_windows(docs, twice, hot_windows(docs, often, bits, hot), bits))
     per = found.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("at"), F.collect_list("more").alias("more"))
     per = per.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "at", "more")
-    rows = docs.withColumn("th", F.xxhash64("text"))
+    rows = docs.withColumn("th", F.hash("text"))
     rows = rows.join(per, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left")
     return rows.select("doc_id", cut_out(F.col("text"), F.col("at"), F.col("more")).alias("out")).select("doc_id", "out.*")
 
