@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paygrid.llm.common import worker_cache
+from paygrid.llm.common import whole_texts, worker_cache
 
 #: White space as the pre-tokenizer sees it (Unicode White_Space); fixed values.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -277,7 +277,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, text_col: str = "text", o
     new names are replaced.
     """
     spec = _shipped(docs, vocab_path)
-    docs = docs.drop(out_col, decoded_col or out_col)
+    docs = whole_texts(docs).drop(out_col, decoded_col or out_col)
 
     def run(batches):
         enc = _encoder(spec)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paygrid.llm.bpe import slices
-from paygrid.llm.common import cut, worker_cache
+from paygrid.llm.common import cut, whole_texts, worker_cache
 
 BUCKETS = 10_000
 #: Target documents that the target model is fitted on, at most.
@@ -147,6 +147,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.85, seed: int
     target document all log weights come from smoothing alone; an empty table
     gives an empty result.
     """
+    docs = whole_texts(docs)
     ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     ids = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).collect()]
     ratio = log_ratio(*frequencies(docs, ids))

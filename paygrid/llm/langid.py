@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paygrid.llm.common import held_out
+from paygrid.llm.common import first_of_each, fresh, held_out, whole_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -134,8 +134,7 @@ def training_sample(docs: DataFrame) -> DataFrame:
     order = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
     start = F.pmod(order, F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
     rows = known.select("lang", F.substring(F.col("text"), start, F.lit(WINDOW)).alias("part"), order.alias("o"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "part"))
-    return rows.withColumn("k", rank).where(F.col("k") <= SAMPLE_PER_LANG).orderBy("lang", "k").select("lang", "part")
+    return first_of_each(rows, "lang", ["o", "part"], SAMPLE_PER_LANG, "k").orderBy("lang", "k").select("lang", "part")
 
 
 def fit(docs: DataFrame) -> dict | None:
@@ -144,7 +143,7 @@ def fit(docs: DataFrame) -> dict | None:
 
 def predict(docs: DataFrame, model: dict | None, text: Column) -> Column:
     """struct<lang string, score double> of each whole text; UNKNOWN with score 0 for null, letterless or unlearnt."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = whole_texts(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
@@ -195,8 +194,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     """``docs`` without the rows rejected: no letters, or no language that reaches ``least_score``."""
     found = predict(docs, fit(docs), F.col("text"))
-    from paygrid.llm.common import fresh
-
     (name,) = fresh(docs, "language_found")
     kept = docs.withColumn(name, found)
     return kept.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least_score)).drop(name)

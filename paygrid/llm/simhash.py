@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paygrid.llm.common import cut, fresh
+from paygrid.llm.common import cut, fresh, whole_texts
 
 BITS = 64
 SEED = 42
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle_words: int = 4,
     never name a component (a component of null ids alone has a null name);
     repeated rows keep their repeats; an empty table gives an empty result.
     """
-    prints = cut(docs.select("doc_id", fingerprint(F.col("text"), shingle_words).alias("fp")))
+    prints = cut(whole_texts(docs).select("doc_id", fingerprint(F.col("text"), shingle_words).alias("fp")))
     names = named_groups(prints, max_bits, bucket_rows)
     return prints.join(names, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -256,7 +256,7 @@ def one_of_each(docs: DataFrame, max_bits: int = 4, shingle_words: int = 4, buck
     Rows that repeat this id count once (the least by text stands for them).  A
     group without any id keeps one row, again the least by text.
     """
-    prints = cut(docs.select("doc_id", fingerprint(F.col("text"), shingle_words).alias("fp")))
+    prints = cut(whole_texts(docs).select("doc_id", fingerprint(F.col("text"), shingle_words).alias("fp")))
     names = cut(named_groups(prints, max_bits, bucket_rows))
     key, fp, pick = fresh(docs, "group_key", "group_print", "group_pick")
     whole = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(pick)

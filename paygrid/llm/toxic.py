@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paygrid.llm.common import held_out
+from paygrid.llm.common import first_of_each, held_out, whole_texts
 
 TOKEN = re.compile(r"[^\W_]+")
 RUN = 32
@@ -33,6 +33,8 @@ RUN = 32
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 #: A word is a seed from this likelihood ratio on and with so many different neighbourhoods.
 LEAST_RATIO, LEAST_CONTEXTS = 15.0, 4
+#: Different neighbourhoods for each toxic document that has the word: copies of a text share theirs.
+CONTEXT_SHARE = 0.7
 HASHED = 1 << 16
 CACHE = 300_000
 LIMIT = 18.0
@@ -111,7 +113,7 @@ def seeds(docs: list[tuple[int, list[str]]]) -> set[str]:
     for w, a in count[1].items():
         b = count[0].get(w, 0)
         p, q = a / total[1], b / max(1, total[0])
-        if p <= 4 * q or len(contexts[w]) < LEAST_CONTEXTS:
+        if p <= 4 * q or len(contexts[w]) < max(LEAST_CONTEXTS, CONTEXT_SHARE * a):
             continue
         both = (a + b) / sum(total)
         ratio = 2 * (_log(a, p) + _log(b, q) - _log(a + b, both) + _log(total[1] - a, 1 - p) + _log(total[0] - b, 1 - q) - _log(sum(total) - a - b, 1 - both))
@@ -215,9 +217,8 @@ def document_score(model: dict, found: list[float]) -> float:
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, text): at most SAMPLE documents a label from outside the held-out fold."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.col("doc_id"), F.lit(1))
     # twice the sample by ids alone, so that few texts meet the join; some are too long or missing
-    ids = known.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id"))).where(F.col("k") <= 2 * SAMPLE)
+    ids = first_of_each(known.withColumn("o", F.xxhash64(F.col("doc_id"), F.lit(1))), "toxic", ["o", "doc_id"], 2 * SAMPLE, "k")
     rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     rows = rows.join(F.broadcast(ids.select("doc_id", "toxic", "k")), "doc_id")  # 4 * SAMPLE ids at most
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy("k", "text"))
@@ -233,7 +234,7 @@ TAGGED = "struct<score: double, spans: array<struct<start: int, end: int, p: dou
 
 def tag(docs: DataFrame, model: dict, text: Column) -> Column:
     """struct<score, spans> of each whole text; spans are runs of tokens whose marginal is 0.5 or more, in code points."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = whole_texts(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(TAGGED)
     def of(texts: pa.Array) -> pa.Array:

@@ -342,7 +342,6 @@ def test_substring(which, bits, request):
 
 def test_substring_hot_windows(spark, monkeypatch):
     monkeypatch.setattr(substr, "HOT", 3)
-    monkeypatch.setattr(substr, "SALTS", 4)
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(500)}"
     shared = [[word() for _ in range(rng.randrange(13, 40))] for _ in range(5)]
