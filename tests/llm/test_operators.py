@@ -429,9 +429,11 @@ def test_toxicity(spark):
     right = sum(y == r.predicted for y, r in test) / len(test)
     caught = sum(r.predicted for y, r in test if y) / sum(y for y, _ in test)
     assert right >= 0.95 and caught >= 0.85
-    text = {r.doc_id: r.text for r in docs.collect()}
-    marked = Counter(text[r.doc_id][s.start : s.end].lower() for _, r in test for s in r.spans)
-    assert "idiot" in marked and sum(marked[w] for w in ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron")) >= 0.8 * sum(marked.values())
+    # In the English texts the offending words are known.
+    text = {r.doc_id: r.text for r in docs.where("lang = 'en'").collect()}
+    marked = Counter(w for _, r in test if r.doc_id in text for s in r.spans for w in text[r.doc_id][s.start : s.end].lower().split())
+    known = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron")
+    assert all(marked[w] for w in known) and sum(marked[w] for w in known) >= 0.8 * sum(marked.values())
 
 
 def test_toxicity_awkward(spark, awkward, empty):
