@@ -3,7 +3,8 @@
 Documents carry labels, tokens do not.  Tokens are labelled from a sample of
 labelled documents: a word counts as toxic where it stands in toxic documents
 if it is found in them far more often than in the others (by a likelihood ratio)
-and in many different contexts, so that copies of one text prove nothing.  A
+and in many different contexts; copies and near copies count as one document, so
+that they prove nothing and hide nothing.  A
 two-label chain (features: the word, its first and its last three letters) is
 then trained on these tokens by forward-backward, in numpy on the driver.
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ RUN = 32
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 #: A word is a seed from this likelihood ratio on and with so many different neighbourhoods.
 LEAST_RATIO, LEAST_CONTEXTS = 15.0, 4
-#: Different neighbourhoods for each toxic document that has the word: copies of a text share theirs.
-CONTEXT_SHARE = 0.7
+#: Texts of a label are copies if they share half of so many of their neighbourhoods, those of least hash.
+SKETCH = 32
 HASHED = 1 << 16
 CACHE = 300_000
 LIMIT = 18.0
@@ -97,23 +100,53 @@ def marginals(scores: np.ndarray, held: np.ndarray, trans: np.ndarray, start: np
     return np.where(held, prob, 0.0), pairs, np.array([(1 - prob[first, 0]).sum(), prob[first, 0].sum()])
 
 
+def neighbourhoods(words: list[str]):
+    return zip(["", *words], words, [*words[1:], ""])
+
+
+def without_copies(docs: list[tuple[int, list[str]]]) -> list[tuple[int, set[str]]]:
+    """(label, words) of each group of copies and near copies: a group has every word of its texts."""
+    import xxhash
+
+    out, firsts = [], []
+    equal: dict[tuple, int] = {}
+    holders: dict[tuple, list[int]] = {}
+    for label, words in docs:
+        text = (label, xxhash.xxh3_128_intdigest(" ".join(words)))
+        group = equal.get(text)
+        if group is None:
+            sketch = nsmallest(SKETCH, {xxhash.xxh3_64_intdigest(" ".join(x)) for x in neighbourhoods(words)})
+            shared = Counter(g for x in sketch for g in holders.get((label, x), ()))
+            group, n = max(shared.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+            if n == 0 or 2 * n < max(len(sketch), firsts[group]):
+                group = len(out)
+                out.append((label, set()))
+                firsts.append(len(sketch))
+                for x in sketch:
+                    holders.setdefault((label, x), []).append(group)
+            equal[text] = group
+        out[group][1].update(words)
+    return out
+
+
 def seeds(docs: list[tuple[int, list[str]]]) -> set[str]:
     """Words that mark toxic documents."""
     count = [{}, {}]
     contexts: dict[str, set] = {}
     total = [0, 0]
-    for label, words in docs:
+    for label, words in without_copies(docs):
         total[label] += 1
-        for w in set(words):
+        for w in words:
             count[label][w] = count[label].get(w, 0) + 1
+    for label, words in docs:
         if label:
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+            for before, w, after in neighbourhoods(words):
                 contexts.setdefault(w, set()).add((before, after))
     found = set()
     for w, a in count[1].items():
         b = count[0].get(w, 0)
         p, q = a / total[1], b / max(1, total[0])
-        if p <= 4 * q or len(contexts[w]) < max(LEAST_CONTEXTS, CONTEXT_SHARE * a):
+        if p <= 4 * q or len(contexts[w]) < LEAST_CONTEXTS:
             continue
         both = (a + b) / sum(total)
         ratio = 2 * (_log(a, p) + _log(b, q) - _log(a + b, both) + _log(total[1] - a, 1 - p) + _log(total[0] - b, 1 - q) - _log(sum(total) - a - b, 1 - both))

@@ -444,6 +444,20 @@ def test_toxicity_awkward(spark, awkward, empty):
     assert toxic.score(empty, labels).count() == 0
 
 
+def test_toxic_words_of_copies():
+    rng = random.Random(4)
+    plain, bad = [f"w{i}" for i in range(400)], ["clown", "idiot", "loser", "moron"]
+    text = lambda: rng.choices(plain, k=30)
+    insult = lambda words: words[:10] + rng.sample(bad, 2) + words[10:]
+    docs = [(0, text()) for _ in range(1500)] + [(1, insult(text())) for _ in range(200)]
+    assert toxic.seeds(docs) == set(bad)
+    copied = text()[:20] + bad + text()[:10]
+    assert toxic.seeds(docs + [(1, copied)] * 400) == set(bad)
+    near = [(1, [rng.choice(plain) if rng.random() < 0.05 else w for w in copied]) for _ in range(400)]
+    assert toxic.seeds(docs + near) == set(bad)
+    assert toxic.seeds(docs + [(0, copied)] * 400) == set(bad)
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(1)
     from itertools import product
