@@ -331,10 +331,8 @@ def docs_by_group(spark, sf):
 
 @query("allowed_chunks")
 def allowed_chunks(spark, sf):
-    """For the plants that can be selected in a conversation."""
-    asked = tm.messages(spark, sf).select(F.col("selected_plant").alias("plant")).distinct()
-    refs = tm.doc_refs(spark, sf).join(asked, "plant", "left_semi")
-    return rt.allowed(_chunks(spark, sf), refs).select("plant", "doc_id", "pos", "file")
+    """For every plant that has an allow-list."""
+    return rt.allowed(_chunks(spark, sf), tm.doc_refs(spark, sf)).select("plant", "doc_id", "pos", "file")
 
 
 @query("search_top10")

@@ -113,3 +113,14 @@ def test_vector_search_zero_vector_and_ties(spark):
     top = rt.top_k(rt.score_vectors(corpus, q), 10, ["vec_id"]).orderBy("rank").collect()
     assert [(r.vec_id, r.rank) for r in top] == [(1, 1), (2, 2), (3, 3)] and top[2].score is None
     _ = F
+
+
+def test_allowed_chunks_of_every_plant(spark):
+    from paygrid.plans import catalog, testmap
+
+    sf = "/root/testdata/sf0.01"
+    chunks = [(r.doc_id, r.pos, r.file) for r in catalog.doc_chunk(spark, sf).collect()]
+    refs = [(r.plant, r.file) for r in testmap.doc_refs(spark, sf).collect()]
+    want = sorted((plant, *c) for plant, file in refs for c in chunks if c[2] == file)
+    got = sorted((r.plant, r.doc_id, r.pos, r.file) for r in catalog.allowed_chunks(spark, sf).collect())
+    assert got == want and len({r[0] for r in got}) > testmap.N_SELECTABLE
