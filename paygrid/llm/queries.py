@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paygrid.llm import ann, bpe, dsir, langid, minhash, mixing, pii, simhash, substr, toxic
+from paygrid.llm import ann, bpe, dsir, langid, lexical, linededup, minhash, mixing, pii, simhash, substr, toxic, vptree
 from paygrid.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_toxicity(spark, sf_dir):
     return toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark, sf_dir):
+    return vptree.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_bpe": op2_bpe,
@@ -65,7 +77,15 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical": op11_lexical,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_clusters": op13_clusters,
 }
 
 #: DuckDB SQL where SQL can express the operator; tests hold the others against brute force.
-ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {
+    "op3_mixing": mixing.SQL,
+    "op11_lexical": lexical.SQL,
+    "op12_line_dedup": linededup.SQL,
+    "op13_clusters": vptree.SQL,
+}
