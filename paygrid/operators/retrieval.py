@@ -7,17 +7,14 @@
   in the document comes from a two-level prefix sum (per block of pages, then
   within a block), so no task ever holds a whole large document; a chunk is
   assembled from at most 1000 characters of page pieces.
-* dense-vector search: cosine of every corpus row against a query batch,
-  top-k per query with a window rank (Spark plans it as a partial group
-  limit before the shuffle), then the allow-list filter before or after the
-  cut.
-* text search: TF-IDF cosine as joins on the term, blocks of queries against
-  postings partitioned by chunk.
+* filtered search: the allow-list before the cut (only allowed rows are scored)
+  or after it; the searches of the whole index are in :mod:`vectorsearch` and
+  :mod:`textsearch`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -29,8 +26,6 @@ RETURNED = 3          # hits kept after the allow-list filter (fixed value)
 CONTEXT_SEP = "\n---\n"
 FILES_SEP = ", "
 PAGE_BLOCK = 1024     # pages per block of the two-level offset sum
-VECTOR_BLOCK = 10_000   # queries of a broadcast block (at 1,000 doubles each: 80 MB)
-TERM_BLOCK = 1_000_000  # query term weights of a broadcast block (about 50 MB)
 
 
 # ----------------------------------------------------------------- chunking
@@ -117,32 +112,6 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
     return g.select(group_col, F.transform("dv", lambda s: s["v"]).alias("qvec"))
 
 
-def query_blocks(queries: DataFrame, rows: int, block_rows: int) -> list[DataFrame]:
-    """``queries`` dealt by id into blocks that hold about half of ``block_rows``
-    rows each (``rows`` bounds their number): the unit that is broadcast, whatever
-    the size of the batch."""
-    n = max(1, -(-2 * rows // block_rows))
-    at = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    return [queries.where(at == i) if n > 1 else queries for i in range(n)]
-
-
-def score_vectors(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Cosine of every corpus row against every query: ``query_id, id, file, score``.
-
-    The exact search of the whole index, a stated query set in blocks: a block
-    of at most VECTOR_BLOCK queries is shipped to the corpus partitions, where
-    :func:`top_k` keeps each partition's best before anything is shuffled."""
-    c = corpus.select(id_col, "file", vx.as_double(vec_col).alias("v"))
-    c = c.withColumn("nv", vx.norm("v"))
-    q = queries.select("query_id", vx.as_double("qvec").alias("q"))
-    q = q.withColumn("nq", vx.norm("q"))
-    out = None
-    for block in query_blocks(q, q.count(), VECTOR_BLOCK):
-        j = c.join(F.broadcast(block), how="inner").select("query_id", id_col, "file", _cosine().alias("score"))
-        out = j if out is None else out.unionByName(j)
-    return out
-
-
 def _cosine():
     return F.when((F.col("nv") > 0) & (F.col("nq") > 0), vx.dot("v", "q") / (F.col("nv") * F.col("nq")))
 
@@ -194,68 +163,7 @@ def search_status(queries: DataFrame, refs: DataFrame, top: DataFrame, kept: Dat
                     F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_returned"))
 
 
-# ----------------------------------------------------------------- text search
-def _terms(text) -> Column:
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+", -1), lambda t: t != "")
-
-
-def term_counts(df: DataFrame, id_cols: list[str], text_col: str = "text", rows_term: str | None = None) -> DataFrame:
-    """``id_cols, term, tf`` from lower-cased letter/digit runs.  ``rows_term`` is
-    an extra term that every row gets once, so that its count is the row count."""
-    toks = _terms(F.col(text_col))
-    if rows_term is not None:
-        toks = F.concat(toks, F.array(F.lit(rows_term)))
-    # Said here, because a join on the term would add it below one use of the counts and not below another.
-    x = df.select(*id_cols, F.explode(toks).alias("term")).filter(F.col("term").isNotNull())
-    return x.groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def tfidf_index(chunks: DataFrame, id_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Chunk term weights ``tf·ln(N/df) / |chunk|`` and the idf table.  Terms
-    present in every chunk weigh 0 and are dropped (exactly nothing to add).
-
-    One pass over the text: the term counts' exchange feeds the document
-    frequencies, the row count (the empty term, once per chunk) and the index.
-    The index is partitioned by chunk, and a chunk's norm is a window over its
-    own terms (at most a chunk's length)."""
-    tf = term_counts(chunks, id_cols, rows_term="")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # No filter on the term, which would move below the counts and make them differ from the index's.
-    n = df.agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"))      # one row
-    idf = df.join(F.broadcast(n)) \
-        .select("term", F.log(F.col("n").cast("double") / F.col("df")).alias("idf")).filter(F.col("idf") > 0)
-    w = tf.join(idf, "term", "inner").select(*id_cols, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*id_cols)))
-    return w.select(*id_cols, "term", (F.col("w") / norm).alias("wn")), idf
-
-
-def query_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
-    """Query term weights divided by the query norm: ``query_id, term, wq``."""
-    qt = term_counts(queries, ["query_id"]).join(idf, "term", "inner") \
-        .select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    return qt.select("query_id", "term", (F.col("w") / norm).alias("wq"))
-
-
-def text_top_k(queries: DataFrame, chunks: DataFrame, id_cols: list[str], k: int) -> DataFrame:
-    """Top ``k`` chunks per query by TF-IDF cosine, ranked (``rank`` column).
-
-    Postings are partitioned by chunk; a block of query weights (TERM_BLOCK rows
-    at most, counted from the queries' tokens) is broadcast and meets them on
-    the term, so a chunk's scores are summed where its postings are, and each
-    partition keeps its best before the ranking shuffle.  A larger batch is more
-    blocks of the same plan."""
-    index, idf = tfidf_index(chunks, id_cols)
-    tokens = queries.agg(F.sum(F.size(F.array_distinct(_terms(F.col("text")))))).first()[0] or 0
-    qw = query_weights(queries, idf)
-    out = None
-    for block in query_blocks(qw, tokens, TERM_BLOCK):
-        j = index.join(F.broadcast(block), "term", "inner")
-        s = top_k(j.groupBy(*id_cols, "query_id").agg(F.sum(F.col("wn") * F.col("wq")).alias("score")), k, id_cols)
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
+# ----------------------------------------------------------------- answers
 def context_block(hits: DataFrame, text_col: str = "text", file_col: str = "file") -> DataFrame:
     """Per query: chunk texts joined by ``\\n---\\n`` and the consulted files
     (duplicates kept), both in rank order (at most RETURNED per query)."""

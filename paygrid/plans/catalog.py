@@ -280,6 +280,9 @@ def format_money(spark, sf):
 
 # ----------------------------------------------------------------- retrieval
 from ..operators import retrieval as rt  # noqa: E402
+from ..operators import textsearch as ts  # noqa: E402
+from ..operators import vectorsearch as vs  # noqa: E402
+from ..sources.documents import manifest_key  # noqa: E402
 
 
 def _chunks(spark, sf):
@@ -295,8 +298,7 @@ def _vector_queries(spark, sf):
 
 def _top10(spark, sf):
     q = _vector_queries(spark, sf)
-    scored = rt.score_vectors(tm.vectors(spark, sf), q)
-    top = rt.top_k(scored, rt.SEARCH_LIMIT, ["vec_id"])
+    top = vs.search(vs.build_index(tm.vectors(spark, sf)), q, rt.SEARCH_LIMIT)
     return top.join(q.select("query_id", "plant"), "query_id", "inner")
 
 
@@ -361,10 +363,15 @@ def search_status(spark, sf):
     return rt.search_status(q, refs, top, kept, n)
 
 
+def _text_index(spark, sf):
+    """The index of the documents' chunks: built once, and again when a file of the table has changed."""
+    return ts.build_index(_chunks(spark, sf), ["doc_id", "pos"], key=manifest_key(tm.read(spark, sf, "documents")))
+
+
 def _text_hits(spark, sf):
     chunks = _chunks(spark, sf)
     qs = tm.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.RETURNED)
+    top = ts.search(_text_index(spark, sf), qs, rt.RETURNED).top
     return top.join(chunks, ["doc_id", "pos"], "inner")
 
 
@@ -436,7 +443,7 @@ def text_search_status(spark, sf):
     qs = tm.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text",
                                                 F.concat(F.lit("G"), (F.col("item_id") % tm.N_SELECTABLE).cast("string")).alias("plant"))
     refs, chunks = tm.doc_refs(spark, sf), _chunks(spark, sf)
-    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.SEARCH_LIMIT) \
+    top = ts.search(_text_index(spark, sf), qs, rt.SEARCH_LIMIT).top \
         .join(chunks.select("doc_id", "pos", "file"), ["doc_id", "pos"]).join(qs.select("query_id", "plant"), "query_id")
     return rt.search_status(qs, refs, top, rt.post_filter(top, refs), 0 if chunks.isEmpty() else 1)
 
@@ -462,7 +469,7 @@ def answer_context(spark, sf):
     reads = F.col("intent").isin(*READS_DOCUMENTS) & ((F.col("intent") == "POLÍTICA") | F.col("market_records").isNotNull())
     qs = known.filter(reads).select(F.struct(*ids).alias("query_id"), "text", "plant")
     chunks = _chunks(spark, sf)
-    top = rt.text_top_k(qs, chunks, ["doc_id", "pos"], rt.SEARCH_LIMIT) \
+    top = ts.search(_text_index(spark, sf), qs, rt.SEARCH_LIMIT).top \
         .join(chunks, ["doc_id", "pos"]).join(qs.select("query_id", "plant"), "query_id")
     ctx = rt.context_block(rt.post_filter(top, tm.doc_refs(spark, sf))) \
         .select("query_id.conv_id", "query_id.turn", "context", "files", "n_hits")
@@ -471,8 +478,9 @@ def answer_context(spark, sf):
         F.col("n_employees").alias("own_employees"))
     asked = routed.filter(F.col("intent") == "CÁLCULO_FINANCEIRO").join(tm.message_params(spark, sf), ids)
     asked = asked.select(*ids, F.substring("plant", 2, 20).cast("bigint").alias("planta"),
-                         nu.json_params("params_text").alias("v")).select(*ids, "planta", "v.*")
-    costs = pay.scenario_table_costs(tm.employees(spark, sf), tm.rates(spark, sf), asked).drop("planta")
+                         nu.json_params("params_text").alias("v")).select(*ids, "planta", "v.*").checkpoint()
+    # Reading the parameters, the costs and the joins below stand in stages of their own: together their generated code would be too large to compile.
+    costs = pay.scenario_table_costs(tm.employees(spark, sf), tm.rates(spark, sf), asked).drop("planta").checkpoint()
     bench = F.col("intent").isin(*READS_MARKET)
     out = known.withColumn("market_records", F.when(bench, F.col("market_records"))) \
         .withColumn("market_status", F.when(bench, F.when(F.col("market_records").isNull(), "no_data").otherwise("ok"))) \

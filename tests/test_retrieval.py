@@ -1,9 +1,14 @@
 """Chunking, page assembly, filtered search and text search."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from paygrid.operators import retrieval as rt
+from paygrid.operators import textsearch as ts
+from paygrid.operators import vectorsearch as vs
+from paygrid.sources.documents import manifest_key
 
 
 def test_chunk_edges(spark):
@@ -62,26 +67,122 @@ def brute_tfidf(texts, query):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 2])
-def test_text_search_in_blocks_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(rt, "TERM_BLOCK", block)
-    texts = ["the red fox jumps", "a red red car the", "fox and car the", "nothing shared the", "the the the fox"]
-    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
-    asked = {10: "red fox", 11: "car", 12: "zzz", 13: "the"}
-    qs = spark.createDataFrame(list(asked.items()), "query_id long, text string")
-    got = {}
-    for r in rt.text_top_k(qs, chunks, ["doc_id", "pos"], 10).collect():
-        got.setdefault(r.query_id, {})[r.doc_id] = round(r.score, 9)
-    assert got == {q: b for q, t in asked.items() if (b := brute_tfidf(texts, t))}
+TEXTS = ["the red fox jumps", "a red red car the", "fox and car the", "nothing shared the", "the the the fox", "", "the"]
+ASKED = {10: "red fox", 11: "car", 12: "zzz", 13: "the", 14: "red fox car jumps shared and a nothing", 15: ""}
 
 
-def test_vector_blocks_give_the_same_hits(spark, monkeypatch):
-    corpus = spark.createDataFrame([(i, "a", [float(i % 7), 1.0, float(i % 3)]) for i in range(40)],
-                                   "vec_id long, file string, embedding array<float>")
-    q = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(9)], "query_id long, qvec array<double>")
-    want = sorted(map(tuple, rt.top_k(rt.score_vectors(corpus, q), 4, ["vec_id"]).collect()))
-    monkeypatch.setattr(rt, "VECTOR_BLOCK", 4)
-    assert sorted(map(tuple, rt.top_k(rt.score_vectors(corpus, q), 4, ["vec_id"]).collect())) == want
+def found(top):
+    out = {}
+    for r in top.collect():
+        out.setdefault(r.query_id, {})[r.doc_id] = round(r.score, 9)
+    return out
+
+
+@pytest.mark.parametrize("seed,share", [(64, 0.5), (1, 1.0), (1, 0.1)])
+def test_text_search_equals_brute_force(spark, monkeypatch, seed, share):
+    monkeypatch.setattr(ts, "SEED", seed)
+    monkeypatch.setattr(ts, "SHARE", share)
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(TEXTS)], "doc_id long, pos int, text string")
+    qs = spark.createDataFrame(list(ASKED.items()), "query_id long, text string")
+    index = ts.build_index(chunks, ["doc_id", "pos"])
+    assert found(ts.search(index, qs, 10).top) == {q: b for q, t in ASKED.items() if (b := brute_tfidf(TEXTS, t))}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_text_search_skips_postings_and_loses_no_hit(spark, monkeypatch, k):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.9))}" for _ in range(40_000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([5, 40, 150]))) for _ in range(400)]
+    asked = {i: " ".join(texts[i].split()[:12]) for i in range(0, 400, 40)}
+    monkeypatch.setattr(ts, "SEGMENT", 50)
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
+    qs = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    index = ts.build_index(chunks, ["doc_id", "pos"])
+    search = ts.search(index, qs, k)
+    want = {q: dict(sorted(brute_tfidf(texts, t).items(), key=lambda x: (-x[1], x[0]))[:k]) for q, t in asked.items()}
+    assert found(search.top) == want
+    told = ts.report(index, search).collect()
+    assert len(told) == len(asked)
+    assert sum(r.opened for r in told) < 0.8 * sum(r.postings for r in told)
+    assert sum(r.scored for r in told) < 0.2 * len(texts) * len(asked)
+
+
+def test_text_index_is_built_again_when_a_file_changed(spark, tmp_path):
+    path = str(tmp_path / "docs")
+
+    def hits(key):
+        table = spark.read.schema("doc_id long, pos int, text string").parquet(path)
+        qs = spark.createDataFrame([(1, "fox")], "query_id long, text string")
+        return key(table), found(ts.search(ts.build_index(table, ["doc_id", "pos"], key=key(table)), qs, 5).top)
+
+    def write(rows, mode):
+        spark.createDataFrame(rows, "doc_id long, pos int, text string").coalesce(1).write.mode(mode).parquet(path)
+
+    write([(1, 0, "a fox"), (2, 0, "a car")], "overwrite")
+    first = hits(manifest_key)
+    tables = len(spark.catalog.listTables())
+    assert hits(manifest_key) == first and len(spark.catalog.listTables()) == tables and set(first[1][1]) == {1}
+    write([(3, 0, "fox fox")], "append")
+    second = hits(manifest_key)
+    assert second[0] != first[0] and set(second[1][1]) == {1, 3}
+
+
+def test_text_search_of_an_empty_index(spark):
+    chunks = spark.createDataFrame([], "doc_id long, pos int, text string")
+    qs = spark.createDataFrame([(1, "fox")], "query_id long, text string")
+    assert ts.search(ts.build_index(chunks, ["doc_id", "pos"]), qs, 5).top.collect() == []
+
+
+def cosines(corpus, queries, k):
+    """(query_id, rank, vec_id, score) over all pairs."""
+    out = []
+    for q, v in queries:
+        scored = []
+        for i, x in corpus:
+            n = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(a * a for a in v)) if x is not None and v is not None and len(x) == len(v) else 0
+            scored.append((i, round(sum(a * b for a, b in zip(x, v)) / n, 9) if n else None))
+        scored.sort(key=lambda s: (s[1] is None, -(s[1] or 0), s[0]))
+        out += [(q, r, i, s) for r, (i, s) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cell_rows,block,group", [(1000, 4096, 1024), (20, 4096, 1024), (20, 7, 2)])
+def test_vector_search_equals_all_pairs(spark, monkeypatch, cell_rows, block, group):
+    import random
+
+    rng = random.Random(6)
+    monkeypatch.setattr(vs, "BLOCK", block)
+    monkeypatch.setattr(vs, "QUERIES", group)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(8)]
+    corpus = [(i, [c + rng.gauss(0, 0.05) for c in rng.choice(centres)]) for i in range(300)]
+    corpus += [(300 + i, centres[0]) for i in range(60)] + [(400, [0.0] * 6), (401, None), (402, [1.0, 2.0])]    # copies, no direction
+    queries = [(i, [c + rng.gauss(0, 0.02) for c in centres[i % 8]]) for i in range(12)] + [(90, [0.0] * 6), (91, None), (92, centres[0])]
+    c = spark.createDataFrame([(i, "f", v) for i, v in corpus], "vec_id long, file string, embedding array<double>")
+    q = spark.createDataFrame(queries, "query_id long, qvec array<double>")
+    index = vs.build_index(c, cell_rows=cell_rows)
+    got = sorted((r.query_id, r["rank"], r.vec_id, None if r.score is None else round(r.score, 9)) for r in vs.search(index, q, 7).collect())
+    assert got == cosines(corpus, queries, 7)
+    every = sorted((r.query_id, r["rank"], r.vec_id) for r in vs.search(index, q, 500).collect())
+    assert every == [x[:3] for x in cosines(corpus, queries, 500)]
+
+
+def test_vector_search_closes_rings(spark):
+    """In separated groups a query visits few of the vectors, and no plan pairs all."""
+    import random
+
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    corpus = [(i, "f", [c + rng.gauss(0, 0.01) for c in centres[i % 20]]) for i in range(1000)]
+    index = vs.build_index(spark.createDataFrame(corpus, "vec_id long, file string, embedding array<double>"), cell_rows=10)
+    q = spark.createDataFrame([(i, centres[i]) for i in range(5)], "query_id long, qvec array<double>").withColumnRenamed("qvec", "q")
+    first = vs._visits(index, q, 10, None)
+    kth = spark.createDataFrame([(i, 0.99) for i in range(5)], "query_id long, kth double")
+    every = first.unionByName(vs._visits(index, q, 10, kth)).join(index.units, ["cell", "ring"])
+    assert every.agg(F.sum("n")).first()[0] < 0.3 * 5 * 1000
+    plan = vs.search(index, q.withColumnRenamed("q", "qvec"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_prefilter_scores_allowed_rows_only(spark):
@@ -110,7 +211,7 @@ def test_vector_search_zero_vector_and_ties(spark):
     corpus = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.0]), (3, "c", [0.0, 0.0])],
                                    "vec_id long, file string, embedding array<float>")
     q = spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, qvec array<double>")
-    top = rt.top_k(rt.score_vectors(corpus, q), 10, ["vec_id"]).orderBy("rank").collect()
+    top = vs.search(vs.build_index(corpus), q, 10).orderBy("rank").collect()
     assert [(r.vec_id, r.rank) for r in top] == [(1, 1), (2, 2), (3, 3)] and top[2].score is None
     _ = F
 
