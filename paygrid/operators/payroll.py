@@ -78,15 +78,16 @@ def rule_scenarios(n: int) -> list[Scenario]:
 
 
 # Money is exact decimal from the first sum to the last rounding: six places for
-# an employee's amounts and a rate, ten for what is computed from them.  Only
-# results are rounded, once, to cents.
-AMOUNT, RATE, TOTAL = "decimal(22,6)", "decimal(9,6)", "decimal(24,10)"
+# an employee's amounts, twelve for a rate, ten for what is computed from them.
+# Only results are rounded, once, to cents.
+AMOUNT, RATE, TOTAL = "decimal(22,6)", "decimal(18,12)", "decimal(24,10)"
 
 
 def _exact(col: str, kind: str) -> Column:
-    """A number as exact decimal; null and NaN count as 0."""
+    """A number as exact decimal; null and NaN count as 0, an infinite one is an error."""
     c = F.col(col).cast("double")
-    return F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)).cast(kind)
+    finite = F.when(F.abs(c) == float("inf"), F.raise_error(F.lit(f"{col} is infinite")).cast("double")).otherwise(c)
+    return F.coalesce(F.when(~F.isnan(c), finite), F.lit(0.0)).cast(kind)
 
 
 def employee_sums(employees: DataFrame) -> DataFrame:
@@ -113,8 +114,8 @@ def rate_factors(rates: DataFrame) -> DataFrame:
     f = (one + r["provisao_ferias"] + r["provisao_13"]).cast(RATE)
     e = (one + r["rat_fap"] + r["fgts"] + r["inss_patronal"] + r["terceiros"]).cast(RATE)
     load = F.lit(str(OVERTIME_LOAD)).cast("decimal(2,1)")
-    return rates.select(F.col(PLANT), (f * e).cast("decimal(14,12)").alias("fe"),
-                        (r["perc_he_medio"] * load).cast("decimal(12,7)").alias("ot"))
+    return rates.select(F.col(PLANT), (f * e).cast("decimal(22,16)").alias("fe"),
+                        (r["perc_he_medio"] * load).cast("decimal(20,13)").alias("ot"))
 
 
 def cost_basis(employees: DataFrame, rates: DataFrame) -> DataFrame:
@@ -264,24 +265,32 @@ def budget_alert(costs: DataFrame, threshold_pct: float = 5.0) -> DataFrame:
     )
 
 
+def _figure(costs: DataFrame, name: str) -> Column:
+    """A detail of a result row; 0 where it is null or the rows have no such column."""
+    return F.coalesce(F.col(name), F.lit(0.0)) if name in costs.columns else F.lit(0.0)
+
+
 def composition_annual(costs: DataFrame) -> DataFrame:
     """Annual composition rows Salary, Salary with charges, PLR, VA (rows are
-    not additive: salary appears twice) with the incremental column."""
+    not additive: salary appears twice) with the incremental column; a figure
+    that is missing counts as 0."""
+    x = lambda name: _figure(costs, name)
     items = [
-        ("Salary", F.col("base_salary_current") * MONTHS, F.col("base_salary_new") * MONTHS),
-        ("Salary with charges", F.col("salary_charged_current_annual"), F.col("salary_charged_projected_annual")),
-        ("PLR", F.col("plr_current_annual"), F.col("plr_projected_annual")),
-        ("VA", F.col("va_current_annual"), F.col("va_projected_annual")),
+        ("Salary", x("base_salary_current") * MONTHS, x("base_salary_new") * MONTHS),
+        ("Salary with charges", x("salary_charged_current_annual"), x("salary_charged_projected_annual")),
+        ("PLR", x("plr_current_annual"), x("plr_projected_annual")),
+        ("VA", x("va_current_annual"), x("va_projected_annual")),
     ]
     return _unpivot(costs, items)
 
 
 def composition_monthly(costs: DataFrame) -> DataFrame:
-    """Monthly-base composition rows Salary, PLR, VA."""
+    """Monthly-base composition rows Salary, PLR, VA; a figure that is missing counts as 0."""
+    x = lambda name: _figure(costs, name)
     items = [
-        ("Salary", F.col("base_salary_current"), F.col("base_salary_new")),
-        ("PLR", F.col("plr_current"), F.col("plr_new")),
-        ("VA", F.col("va_current"), F.col("va_new")),
+        ("Salary", x("base_salary_current"), x("base_salary_new")),
+        ("PLR", x("plr_current"), x("plr_new")),
+        ("VA", x("va_current"), x("va_new")),
     ]
     return _unpivot(costs, items)
 

@@ -395,13 +395,13 @@ PASSTHROUGH_SQL = """
 SELECT rate.planta AS plant, max(rate.perc_he_medio) AS overtime_share, max(pay.salario_atual) AS top_salary,
        sum(CASE WHEN pay.plr_alvo_atual > 0 THEN 1 ELSE 0 END) AS n_with_plr
 FROM premissas AS rate LEFT JOIN headcount AS pay USING (planta)
-WHERE rate.planta >= :first_plant GROUP BY rate.planta"""
+GROUP BY rate.planta HAVING count(*) >= :min_rows"""
 
 
 @query("sql_passthrough")
 def sql_passthrough(spark, sf):
     return run_sql(spark, PASSTHROUGH_SQL, {"headcount": tm.employees(spark, sf), "premissas": tm.rates(spark, sf)},
-                   {"first_plant": 5})
+                   {"min_rows": 1})
 
 
 @query("to_records")

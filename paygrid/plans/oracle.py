@@ -247,13 +247,18 @@ msgs AS (
     (['  cálculo ', 'POLÍTICA', 'benchmark' || chr(10), 'Consulta_Estrategica', 'unknown', 'CÁLCULO_FINANCEIRO ', NULL])
       [(conv_id + turn) % 7 + 1] AS label
   FROM conversations WHERE role = 'user'),
+msg_words AS (
+  SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM msgs),
 hits AS (
-  SELECT m.conv_id, m.turn, s.plant, s.p FROM msgs m JOIN smap s
-    ON regexp_matches(lower(m.text),
+  SELECT m.conv_id, m.turn, s.plant, s.p
+  FROM (SELECT *, regexp_extract(synonym, '[\\p{{L}}\\p{{N}}_]+') AS word FROM smap) s JOIN msg_words USING (word)
+  JOIN msgs m ON m.conv_id = msg_words.conv_id AND m.turn = msg_words.turn
+  WHERE regexp_matches(lower(m.text),
          '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(s.synonym, '([^\\p{{L}}\\p{{N}}_ ])', '\\\\\\1', 'g') || '([^\\p{{L}}\\p{{N}}_]|$)')),
 tags AS (
-  SELECT m.conv_id, m.turn, (SELECT arg_min(h.plant, h.p) FROM hits h WHERE h.conv_id = m.conv_id AND h.turn = m.turn) AS tagged_plant
-  FROM msgs m),
+  SELECT m.conv_id, m.turn, h.tagged_plant
+  FROM msgs m LEFT JOIN (SELECT conv_id, turn, arg_min(plant, p) AS tagged_plant FROM hits GROUP BY conv_id, turn) h
+    ON m.conv_id = h.conv_id AND m.turn = h.turn),
 ctx AS (
   SELECT m.*, t.tagged_plant, coalesce(t.tagged_plant, m.selected_plant) AS plant
   FROM msgs m JOIN tags t ON m.conv_id = t.conv_id AND m.turn = t.turn),
@@ -361,8 +366,7 @@ SELECT file, pos, text FROM {_chunk_sql('(SELECT file AS k, file, text FROM docs
 ORACLE["docs_by_group"] = f"""WITH {_REFS}
 SELECT plant, count(*) AS n_files, string_agg(file, ', ' ORDER BY file) AS files FROM refs GROUP BY plant"""
 ORACLE["allowed_chunks"] = f"""WITH {_CHUNKS}, {_REFS}
-SELECT r.plant, c.doc_id, c.pos, c.file FROM chunks c JOIN refs r ON c.file = r.file
-WHERE r.plant IN (SELECT 'G' || CAST(conv_id % 10 AS VARCHAR) FROM conversations WHERE role = 'user')"""
+SELECT r.plant, c.doc_id, c.pos, c.file FROM chunks c JOIN refs r ON c.file = r.file"""
 
 _VEC = f"""{_REFS},
 vecs AS (SELECT vec_id, 'src' || CAST(label AS VARCHAR) AS file, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
@@ -436,7 +440,7 @@ ORACLE["sql_passthrough"] = f"""WITH {_ctes()}, headcount AS (SELECT * FROM h),
 SELECT rate.planta AS plant, max(rate.perc_he_medio) AS overtime_share, max(pay.salario_atual) AS top_salary,
   CAST(sum(CASE WHEN pay.plr_alvo_atual > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_plr
 FROM premissas AS rate LEFT JOIN headcount AS pay USING (planta)
-WHERE rate.planta >= 5 GROUP BY rate.planta"""
+GROUP BY rate.planta HAVING count(*) >= 1"""
 ORACLE["to_records"] = f"""WITH {_MARKET}
 SELECT Filial, CAST(to_json(market) AS VARCHAR) AS record FROM market"""
 ORACLE["stream_tag"] = ORACLE["tag_group"]

@@ -135,3 +135,33 @@ def test_scenario_table(data):
     got = {x.msg: x for x in pay.scenario_table_costs(e, r, asked).collect()}
     want = {x.planta: x for x in pay.scenario_costs(e, r, [pay.Scenario("s", 5.0, 10.0, 15.0, 0.0)]).collect()}
     assert got[1].projected_cost == want["G1"].projected_cost and got[2].impact == 0.0 and got[3].projected_cost is None
+
+
+def test_rates_keep_twelve_places(spark):
+    """Provisions of 1/12 and 0.1111111111, against exact fractions."""
+    from fractions import Fraction
+
+    rates = [("G1", 0.02, 0.15, 0.08, 0.1111111111, 1 / 12, 0.2, 0.06), ("G2", 0.0, 0.0, 0.0, 1000.0, 0.0, 0.0, 0.0)]
+    emp = [("G1", 10_000_000.0 + i, 0.0, 0.0) for i in range(10)] + [("G2", 1.0, 0.0, 0.0)]
+    got = {r.planta: r.current_cost for r in pay.current_costs(spark.createDataFrame(emp, EMP), spark.createDataFrame(rates, RATES)).collect()}
+    rat, he, fgts, pf, p13, inss, ter = (Fraction(str(x)) if x != 1 / 12 else Fraction(1, 12) for x in rates[0][1:])
+    f, e = 1 + pf + p13, 1 + rat + fgts + inss + ter
+    want = sum(Fraction(int(s)) * (1 + he * Fraction("1.2")) * f * e * 12 for p, s, _, _ in emp if p == "G1")
+    assert abs(got["G1"] - float(want)) < 0.011 and got["G2"] == 1001 * 12
+
+
+def test_an_infinite_amount_is_an_error(spark):
+    emp = spark.createDataFrame([("G1", float("inf"), 0.0, 0.0)], EMP)
+    with pytest.raises(Exception, match="salario_atual is infinite"):
+        pay.current_costs(emp, spark.createDataFrame([("G1",) + R1], RATES)).collect()
+
+
+def test_missing_figures_count_as_zero(data):
+    _, _, e, r = data
+    costs = pay.scenario_costs(e, r, [pay.Scenario("s", 5.0, 0.0, 0.0, 0.0)])
+    full = {(x.planta, x.item): x for x in pay.composition_annual(costs).collect()}
+    short = {(x.planta, x.item): x for x in pay.composition_annual(costs.drop("plr_new", "plr_projected_annual", "plr_current_annual")).collect()}
+    assert all((x.current, x.projected, x.incremental) == (0.0, 0.0, 0.0) for k, x in short.items() if k[1] == "PLR")
+    assert {k: x for k, x in short.items() if k[1] != "PLR"} == {k: x for k, x in full.items() if k[1] != "PLR"}
+    empty = costs.withColumn("va_new", F.lit(None).cast("double")).withColumn("va_current", F.lit(None).cast("double"))
+    assert all(x.current == x.projected == 0.0 for x in pay.composition_monthly(empty).collect() if x.item == "VA")

@@ -128,3 +128,99 @@ def test_sql_comments_run_time_errors_and_views(spark):
     with pytest.raises(QueryError) as e:
         query_rows(spark, "SELECT 1 / CAST(id AS INT) FROM range(1)")
     assert e.value.kind == OTHER
+
+
+@pytest.mark.parametrize("line,want", [
+    ('a;b "x;c', ("a", 'b "x', "c")), ('"ab"c;d', ("abc", "d", None)), ('"a;b', ("a;b", None, None)), ("", (None, None, None)),
+    (";;", (None, None, None)), ('"";"""";x', (None, '"', "x")), ('a"b";"c;""d"""', ('a"b"', 'c;"d"', None)), ('"x";y;"z"', ("x", "y", "z")),
+    ("a;b;c;", None), ('"a;b";c;d;e', None), ("é;日本;\t", ("é", "日本", "\t")),
+])
+def test_field_states(spark, line, want):
+    got = [tuple(r) for r in dl.split_fields(spark.createDataFrame([(line,)], "value string"), ";", ["x", "y", "z"]).collect()]
+    assert got == ([want] if want is not None else [])
+
+
+def test_fields_like_the_csv_module(spark):
+    """Random records, quoted where they need it: the fields that were written come back."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(5)
+    rows = [["".join(rng.choices('ab ;",é', k=rng.randint(0, 6))) for _ in range(rng.randint(1, 5))] for _ in range(300)]
+    lines = []
+    for r in rows:
+        f = io.StringIO()
+        csv.writer(f, delimiter=";", lineterminator="").writerow(r)
+        lines.append(f.getvalue())
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, value string")
+    got = {r.id: list(r)[1:] for r in dl.split_fields(df, ";", [f"c{i}" for i in range(5)]).collect()}
+    assert got == {i: [x or None for x in r] + [None] * (5 - len(r)) for i, r in enumerate(rows)}
+
+
+def test_records_of_many_and_long_quoted_fields(spark):
+    many = ";".join(['"a;""b"""'] * 100_000)
+    long = '"' + 'x""' * 500_000 + '";end'
+    df = spark.createDataFrame([(1, many), (2, long), (3, '"' * 99_999), (4, "a;b")], "id int, value string")
+    assert dl.parse_fields(df, ";", ["x"]).filter("id = 1").first()["_n"] == 100_000
+    got = {r.id: r for r in dl.split_fields(df, ";", ["x", "y"]).collect()}
+    assert set(got) == {2, 3, 4} and got[2].x == 'x"' * 500_000 and got[2].y == "end" and got[3].x == '"' * 49_999
+
+
+def test_load_report_of_a_full_pass(spark, tmp_path):
+    import gzip
+
+    good, typed, cut = tmp_path / "good.csv", tmp_path / "typed.csv", tmp_path / "cut.csv.gz"
+    good.write_text("a,b\n" + "1,2\n" * 1000)
+    typed.write_text("a;b\n" + "1;x\n" * 5000 + "late;y\n2;z;more\n3\n")
+    cut.write_bytes(gzip.compress(("a,b\n" + "".join(f"{i},{i * 7919 % 10007}\n" for i in range(200_000))).encode())[:-2000])
+    loaders = {str(typed): lambda s, p: dl.load_checked(s, p, "a int, b string"),
+               str(cut): lambda s, p: dl.load_delimited(s, p, schema="a int, b int", sep=",")}
+    found = dl.load_set(spark, {str(good): "good", str(typed): "typed", str(cut): "cut"}, lambda s, p: loaders.get(p, dl.load_delimited)(s, p))
+    tables, report = found
+    rows = {r.table: r for r in report.collect()}
+    assert (rows["good"].status, rows["good"].n_rows, rows["good"].n_rejected) == ("loaded", 1000, 0)
+    assert (rows["typed"].status, rows["typed"].n_rows, rows["typed"].n_rejected) == ("loaded", 5001, 2)
+    assert tables["typed"].columns == ["a", "b"] and tables["typed"].filter("a = 3 AND b IS NULL").count() == 1
+    assert {(r["_line"], r["_reason"]) for r in found.rejects["typed"].collect()} == {("late;y", "a is not int"), ("2;z;more", "too many fields")}
+    assert rows["cut"].status == "failed" and rows["cut"].error and "cut" not in tables       # the failure is beyond the first rows
+
+
+REACHES = [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'nanoTime') FROM hc",
+    "SELECT * FROM hc WHERE s IN (SELECT length(reflect('java.lang.System', 'getProperty', 'user.home')))",
+    "WITH a AS (SELECT reflect('java.util.UUID', 'randomUUID') AS x) SELECT * FROM a", "SELECT system.builtin.reflect('java.util.UUID', 'randomUUID')",
+    "SELECT count(*) FROM hc GROUP BY s HAVING max(try_reflect('java.util.UUID', 'randomUUID')) > ''", "SELECT input_file_name() FROM hc",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT * FROM text.`/etc/hostname`",
+    "SELECT (SELECT count(*) FROM text.`/etc/hostname`) FROM hc", "SELECT * FROM hc WHERE EXISTS (SELECT 1 FROM csv.`/etc/hostname`)",
+    "SELECT * FROM not_given", "SELECT TRANSFORM (s) USING 'cat' AS (x) FROM hc",
+]
+
+
+@pytest.mark.parametrize("text", REACHES)
+def test_sql_reaches_only_its_tables(spark, text):
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").createOrReplaceTempView("not_given")
+    with pytest.raises(QueryError) as e:
+        run_sql(spark, text, {"hc": spark.range(1).withColumnRenamed("id", "s")})
+    assert e.value.kind in (SYNTAX, MISSING_TABLE)
+
+
+READS = [
+    ("SELECT max(s) AS x FROM hc", 4), ("WITH a AS (SELECT s FROM hc) SELECT sum(a.s + b.s) AS x FROM a JOIN a AS b USING (s)", 20),
+    ("SELECT (SELECT count(*) FROM hc) AS x FROM range(1)", 5), ("SELECT count(*) AS x FROM hc AS a, hc AS b WHERE a.s < b.s", 10),
+    ("SELECT sum(e) AS x FROM (SELECT explode(array(s, s)) AS e FROM hc)", 20), ("SELECT count(*) AS x FROM hc LATERAL VIEW explode(array(1, 2)) t AS y", 10),
+    ("SELECT sum(r) AS x FROM (SELECT row_number() OVER (ORDER BY s DESC) AS r FROM hc)", 15), ("SELECT x FROM VALUES (7) AS t(x)", 7),
+    ("SELECT size(filter(collect_list(s), v -> v > 1)) AS x FROM hc WHERE s IN (SELECT s FROM hc WHERE s < 4)", 2),
+]
+
+
+@pytest.mark.parametrize("text,want", READS)
+def test_sql_reads(spark, text, want):
+    assert run_sql(spark, text, {"hc": spark.range(5).withColumnRenamed("id", "s")}).first().x == want
+
+
+def test_sql_over_the_session_tables(spark):
+    spark.range(6).createOrReplaceTempView("of_session")
+    assert run_sql(spark, "SELECT count(*) AS n FROM of_session").first().n == 6
+    with pytest.raises(QueryError):
+        run_sql(spark, "SELECT * FROM text.`/etc/hostname`")
