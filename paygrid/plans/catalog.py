@@ -420,7 +420,8 @@ def stream_tag(spark, sf):
 def stream_history(spark, sf):
     schema = "conv_id bigint, turn bigint, role string, text string"
     selected = F.concat(F.lit("G"), (F.col("conv_id") % tm.N_SELECTABLE).cast("string"))
-    return history_stream(spark, sf, schema, _smap(spark, sf), tm.doc_refs(spark, sf), selected, glob="conversations.parquet")
+    return history_stream(spark, sf, schema, _smap(spark, sf), tm.doc_refs(spark, sf), selected, glob="conversations.parquet",
+                          label=tm.message_label())
 
 
 def _plant_code(col):

@@ -446,8 +446,10 @@ SELECT Filial, CAST(to_json(market) AS VARCHAR) AS record FROM market"""
 ORACLE["stream_tag"] = ORACLE["tag_group"]
 _STRATEGIC = " OR ".join(f"contains(lower(text), '{w}')" for w in STRATEGIC_KEYWORDS)
 ORACLE["stream_history"] = f"""WITH {_SYN},
-unlabelled AS (SELECT ctx.conv_id, ctx.turn, ctx.plant,
-    CASE WHEN r.plant IS NULL THEN 'ERRO' WHEN {_STRATEGIC} THEN 'CONSULTA_ESTRATEGICA' ELSE 'POLÍTICA' END AS intent
+told AS (SELECT ctx.conv_id, ctx.turn, ctx.plant,
+    CASE WHEN r.plant IS NULL THEN 'ERRO'
+         WHEN upper({_strip('label')}) IN ('CÁLCULO', 'POLÍTICA', 'CÁLCULO_FINANCEIRO', 'BENCHMARK', 'CONSULTA_ESTRATEGICA') THEN upper({_strip('label')})
+         WHEN {_STRATEGIC} THEN 'CONSULTA_ESTRATEGICA' ELSE 'POLÍTICA' END AS intent
   FROM ctx LEFT JOIN refs r ON ctx.plant = r.plant)
 SELECT c.conv_id, c.turn, c.role, c.text, CASE WHEN c.role = 'assistant' THEN u.intent END AS reply_type,
   CASE WHEN c.role = 'assistant' THEN u.plant END AS reply_context,
@@ -455,7 +457,7 @@ SELECT c.conv_id, c.turn, c.role, c.text, CASE WHEN c.role = 'assistant' THEN u.
     CASE WHEN regexp_matches(lower(coalesce(c.text, '')), '([6-9]|[1-9][0-9]|100)%') OR contains(lower(coalesce(c.text, '')), 'greve')
            OR contains(lower(coalesce(c.text, '')), 'paralisação') THEN 'high'
          WHEN contains(lower(coalesce(u.intent, '')), 'erro') THEN 'attention' ELSE 'low' END END AS risk
-FROM conversations c LEFT JOIN unlabelled u ON c.conv_id = u.conv_id AND c.turn = u.turn + 1"""
+FROM conversations c LEFT JOIN told u ON c.conv_id = u.conv_id AND c.turn = u.turn + 1"""
 _MSGQ = "SELECT {'c': conv_id, 't': turn} AS query_id, text FROM routed"
 
 

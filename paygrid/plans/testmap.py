@@ -19,7 +19,7 @@ with the operators of this package.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import format_brl
@@ -162,15 +162,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions: selected plant from the conversation, and the
     label a classifier returned for it."""
     c = read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    labels = F.array(*[F.lit(x).cast("string") for x in LABEL_CHOICES])
-    idx = ((F.col("conv_id") + F.col("turn")) % len(LABEL_CHOICES) + 1).cast("int")
     return c.select(
         "conv_id", "turn", "text",
         F.concat(F.lit("G"), (F.col("conv_id") % N_SELECTABLE).cast("string")).alias("selected_plant"),
-        F.element_at(labels, idx).alias("label"),
+        message_label().alias("label"),
     )
 
 
+def message_label() -> Column:
+    """The label a classifier returned for a message."""
+    labels = F.array(*[F.lit(x).cast("string") for x in LABEL_CHOICES])
+    return F.element_at(labels, ((F.col("conv_id") + F.col("turn")) % len(LABEL_CHOICES) + 1).cast("int"))
+
+
 # Scenario parameters a model might extract from a message, by (conv_id + turn) % 5.
 MESSAGE_PARAMS = (
     '{"reajuste_salarial": 5, "reajuste_va": "10", "reajuste_plr": 15}',

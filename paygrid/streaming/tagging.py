@@ -1,5 +1,6 @@
 """Messages tagged as they arrive: the batch tagger and router applied to each
-micro-batch of a file stream.
+micro-batch of a file stream, and questions paired with their answers by a
+stateful stream.
 
 The stream reads new parquet files of messages; every micro-batch goes
 through exactly the batch operators (n-gram join with the synonym map,
@@ -10,8 +11,9 @@ with the checkpoint)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -61,38 +63,105 @@ def _read_out(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-HISTORY = "conv_id bigint, turn bigint, role string, text string, reply_type string, reply_context string, risk string"
+MESSAGES = "conv_id bigint, turn bigint, role string, text string, reply_type string, reply_context string"
+REPLIES = "conv_id bigint, turn bigint, reply_type string, reply_context string"
+QUESTION, ANSWER = "user", "assistant"
 
 
 def history_stream(spark: SparkSession, source_dir: str, schema: str, smap: DataFrame, doc_refs: DataFrame,
-                   selected_plant, glob: str = "*.parquet", out_dir: str | None = None,
-                   checkpoint: str | None = None) -> DataFrame:
+                   selected_plant: Column, glob: str = "*.parquet", out_dir: str | None = None,
+                   checkpoint: str | None = None, label: Column | None = None, time_col: str | None = None,
+                   keep_for: str = "1 hour") -> DataFrame:
     """The message pipeline as a stream: every arriving message is tagged with its
     plant (``selected_plant`` is the column used where no synonym is found) and
-    routed; answers also get the intent and plant of the question before them and
-    a risk level; all are appended to the history.
-
-    A question and its answer must arrive in the same file (a turn is written
-    with its reply).  Batches write their own folders, so a replayed batch
-    replaces its output; the history is read back from them."""
+    routed (``label`` is the column with a classifier's answer, if there is one);
+    answers also get the intent and plant of the question before them and a risk
+    level; all are appended to the history.
+
+    A question and its answer may arrive in any files and in any order: a second,
+    stateful stream keeps, per conversation and question turn, what has been seen
+    of the two and gives the reply's type once both are there.  A turn is a key of
+    its own, so a conversation with very many messages is many small states.
+    With ``time_col`` a state is dropped ``keep_for`` after its messages' event
+    time has passed the watermark; an answer that comes later keeps its row in
+    the history, without a type.  Without ``time_col`` states are kept.
+
+    Each micro-batch writes its own folder, so a replayed batch replaces its
+    output, and the same reply found twice counts once."""
     out_dir = out_dir or scratch_path(spark, "stream-history-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-history-ckpt")
     profile = tg.dictionary_profile(smap)
     ids = ["conv_id", "turn"]
+    more = [time_col] if time_col else []
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        asked = batch.filter(F.col("role") == "user").withColumn("selected_plant", selected_plant)
-        tagged = tg.tag_messages(asked, smap, ids, profile=profile, keep=["text", "selected_plant"])
+    def route(batch: DataFrame, batch_id: int) -> None:
+        asked = batch.filter(F.col("role") == QUESTION).withColumn("selected_plant", selected_plant)
+        asked = asked.withColumn("label", label if label is not None else F.lit(None).cast("string"))
+        tagged = tg.tag_messages(asked, smap, ids, profile=profile, keep=["text", "selected_plant", "label", *more])
         tagged = tagged.withColumn("plant", F.coalesce("tagged_plant", "selected_plant"))
-        routed = tg.route_intents(tagged, doc_refs, label_col=None)
-        replies = routed.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("intent").alias("reply_type"),
-                                F.col("plant").alias("reply_context"))
-        j = batch.join(replies, ids, "left")
-        answer = F.col("role") == "assistant"
-        rows = j.select(*ids, "role", "text", *[F.when(answer, F.col(c)).alias(c) for c in ("reply_type", "reply_context")],
-                        F.when(answer, tx.risk_level(F.col("text"), F.col("reply_type"))).alias("risk"))
-        rows.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        routed = tg.route_intents(tagged, doc_refs)
+        asked = routed.select(*ids, F.lit(QUESTION).alias("role"), "text", F.col("intent").alias("reply_type"),
+                              F.col("plant").alias("reply_context"), *more)
+        none = F.lit(None).cast("string")
+        rest = batch.filter(~F.col("role").eqNullSafe(QUESTION)) \
+            .select(*ids, "role", "text", none.alias("reply_type"), none.alias("reply_context"), *more)
+        asked.unionByName(rest).write.mode("overwrite").parquet(f"{out_dir}/messages/batch={batch_id}")
 
     src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
-    _drain(src, per_batch, checkpoint)
-    return _read_out(spark, out_dir, HISTORY)
+    _drain(src, route, f"{checkpoint}/route")
+
+    kind = f"{MESSAGES}, {time_col} timestamp" if time_col else MESSAGES
+    messages = _read_out(spark, f"{out_dir}/messages", kind)
+    if len(messages.take(1)):
+        found = spark.readStream.schema(kind).parquet(f"{out_dir}/messages/batch=*")
+        _drain(paired(found, time_col, keep_for), _replies_writer(f"{out_dir}/replies"), f"{checkpoint}/pair")
+    replies = _read_out(spark, f"{out_dir}/replies", REPLIES).distinct()
+    j = messages.select(*ids, "role", "text").join(replies, ids, "left")
+    answer = F.col("role") == ANSWER
+    return j.select(*ids, "role", "text", *[F.when(answer, F.col(c)).alias(c) for c in ("reply_type", "reply_context")],
+                    F.when(answer, tx.risk_level(F.col("text"), F.col("reply_type"))).alias("risk"))
+
+
+def _replies_writer(folder: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    return write
+
+
+def paired(messages: DataFrame, time_col: str | None = None, keep_for: str = "1 hour") -> DataFrame:
+    """Routed messages (a stream) -> a row ``conv_id, turn, reply_type, reply_context`` for
+    each answered question, in the batch in which the later of the two arrives.
+
+    A question stands at a turn, its answer at the next.  Of several questions at
+    one turn the first to arrive counts."""
+    is_question = F.col("role") == QUESTION
+    x = messages.filter(F.col("role").isin(QUESTION, ANSWER)) \
+        .withColumn("asked_at", F.when(is_question, F.col("turn")).otherwise(F.col("turn") - 1)) \
+        .withColumn("is_question", is_question)
+    if time_col:
+        x = x.withWatermark(time_col, keep_for)
+    x = x.select("conv_id", "asked_at", "is_question", "reply_type", "reply_context",
+                 *([time_col, F.unix_millis(time_col).alias("at_ms")] if time_col else []))
+
+    def pair(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        asked, answered, intent, plant = state.get if state.exists else (False, False, None, None)
+        before, last = asked and answered, 0
+        for f in frames:
+            if time_col:
+                last = max(last, int(f["at_ms"].max()))
+            for question, reply_type, context in zip(f["is_question"], f["reply_type"], f["reply_context"]):
+                if question and not asked:
+                    asked, intent, plant = True, reply_type, context
+                answered = answered or not question
+        state.update((asked, answered, intent, plant))
+        if time_col:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        if asked and answered and not before:
+            yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1] + 1], "reply_type": [intent], "reply_context": [plant]})
+
+    return x.groupBy("conv_id", "asked_at").applyInPandasWithState(
+        pair, REPLIES, "asked boolean, answered boolean, intent string, plant string", "append",
+        "EventTimeTimeout" if time_col else "NoTimeout")

@@ -85,6 +85,51 @@ def test_history_stream_two_batches_and_replay(spark, tmp_path):
     assert _history(spark, src, again, str(tmp_path / "c2")).count() == 6
 
 
+def _labelled(spark, folder, out, ckpt, **how):
+    smap = spark.createDataFrame([("north", 1, 0, "G1")], "synonym string, pos_line long, pos_idx int, plant string")
+    refs = spark.createDataFrame([("G1", "f"), ("G9", "f")], "plant string, file string")
+    label = F.when(F.col("conv_id") % 3 == 0, "benchmark ").when(F.col("conv_id") % 3 == 1, "cálculo_financeiro")
+    rows = history_stream(spark, folder, how.pop("schema", MESSAGES), smap, refs, F.lit("G9"), out_dir=out, checkpoint=ckpt, label=label, **how)
+    return sorted(((r.conv_id, r.turn, r.role, r.text, r.reply_type, r.reply_context, r.risk) for r in rows.collect()), key=str)
+
+
+CONVERSATIONS = [(c, t, role, text) for c in range(7) for t, role, text in (
+    (0, "system", "start"), (1, "user", "How is the north?" if c % 2 else "mercado?"), (2, "assistant", "raise by 8%" if c % 4 else "none"),
+    (3, "user", "and now"), (4, "assistant", None))] + [(1, 5, "user", "unanswered"), (50, 9, "assistant", "unasked"), (0, 1, "user", "mercado?")]
+
+
+def test_answers_find_questions_in_other_files(spark, tmp_path):
+    """One file; a file of questions before or after the answers' (late questions); row by row; replayed: all as the batch."""
+    role = lambda *which: [m for m in CONVERSATIONS if m[2] in which]
+    splits = {"one": [CONVERSATIONS], "later answers": [role("user", "system"), role("assistant")], "late questions": [role("assistant"), role("system"), role("user")],
+              "dealt": [CONVERSATIONS[i::4] for i in range(4)]}
+    found = {}
+    for name, files in splits.items():
+        src, out, ckpt = (str(tmp_path / name / d) for d in ("src", "out", "ckpt"))
+        for rows in files:
+            spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(src)
+            found[name] = _labelled(spark, src, out, ckpt)
+        assert _labelled(spark, src, out, ckpt) == found[name]
+        assert _labelled(spark, src, str(tmp_path / name / "out2"), str(tmp_path / name / "ckpt2")) == found["one"]    # replayed from the start
+    assert all(rows == found["one"] for rows in found.values())
+    types = {(r[0], r[1]): r[4:] for r in found["one"]}
+    assert types[1, 2] == ("CÁLCULO_FINANCEIRO", "G1", "high") and types[3, 2] == ("BENCHMARK", "G1", "high")
+    assert types[2, 2] == ("CONSULTA_ESTRATEGICA", "G9", "high") and types[2, 4] == ("POLÍTICA", "G9", "low") and types[50, 9] == (None, None, "low")
+    assert len(found["one"]) == len(CONVERSATIONS)
+
+
+def test_states_end_with_the_watermark(spark, tmp_path):
+    """An answer within the time finds its question; one long after does not, and keeps its row."""
+    schema = MESSAGES + ", sent timestamp"
+    src, out, ckpt = (str(tmp_path / d) for d in ("src", "out", "ckpt"))
+    files = [[(2, 0, "user", "q", "2026-01-01 10:00:00"), (5, 0, "user", "q", "2026-01-01 10:00:00")], [(2, 1, "assistant", "a", "2026-01-01 10:30:00")],
+             [(8, 0, "user", "q", "2026-01-02 10:00:00")], [(8, 1, "assistant", "a", "2026-01-02 10:01:00")], [(5, 1, "assistant", "a", "2026-01-02 11:00:00")]]
+    for rows in files:
+        spark.createDataFrame(rows, MESSAGES + ", sent string").withColumn("sent", F.to_timestamp("sent")).coalesce(1).write.mode("append").parquet(src)
+        got = {(r[0], r[1]): r[4] for r in _labelled(spark, src, out, ckpt, schema=schema, time_col="sent", keep_for="1 hour")}
+    assert got[2, 1] == got[8, 1] == "POLÍTICA" and got[5, 1] is None and len(got) == 6
+
+
 def test_load_tables_reports_and_publishes(spark, tmp_path):
     (tmp_path / "headcount.csv").write_text("id,planta\n1,G1\n", encoding="utf-8-sig")
     (tmp_path / "benchmark_mercado.csv").write_text('"Filial ;Empresa"\n"G1;A ""x"""\n', encoding="utf-8-sig")
