@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,11 +66,16 @@ SPELLED = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_D})(?:[\s,-]+(?:{_D}))*\b", re.I
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGIT_WORD = re.compile(rf"\b(?:plus|{_D})\b", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-BRACKETS = re.compile(rf"\s*{OPEN}\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*{CLOSE}\s*", re.I)
+#: The blanks before a bracket are taken from their first on, so that a long run of blanks is tried once.
+BRACKETS = re.compile(rf"(?:(?<!\s)\s+)?{OPEN}\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*{CLOSE}\s*", re.I)
 _NAME, _LABEL = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
 _ATS = rf"(?:\s+(?:{AT})\s+|\s*@\s*)"
 #: An address in words: a name, "at", labels with at least one "dot" in words.
-IN_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\s+(?:{DOT})\s+|\.){_NAME})*{_ATS}{_LABEL}(?:(?:\s+(?:{DOT})\s+|\.){_LABEL})*\s+(?:{DOT})\s+{_LABEL}", re.I)
+NAMES = re.compile(rf"{_NAME}(?:(?:\s+(?:{DOT})\s+|\.){_NAME})*", re.I)
+AT_SIGN = re.compile(_ATS, re.I)
+LABELS = re.compile(rf"{_LABEL}(?:(?:\s+(?:{DOT})\s+|\.){_LABEL})*\s+(?:{DOT})\s+{_LABEL}", re.I)
+DOT_WORD = re.compile(rf"\s(?:{DOT})\s")
+SPACED_DOT = re.compile(rf"\s+(?:{DOT})\s+", re.I)
 #: "at" in words before a plain domain, where the name cannot be an ordinary word.
 BEFORE_DOMAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z]*[0-9._%+]){_NAME}(?:\.{_NAME})*\s+(?:{AT})\s+{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])", re.I)
 #: What BEFORE_DOMAIN ends with, in lower case; cheap to look for.
@@ -155,14 +161,36 @@ def spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def in_words(text: str):
+    """(start, end) of addresses in words.
+
+    Names joined by dots are read once from left to right; only a whole run of
+    them with an "at" behind it is looked at further, so the work is linear."""
+    done = 0
+    for names in NAMES.finditer(text):
+        start = names.start()
+        if start < done:
+            continue
+        if start and text[start - 1] == ".":  # its first name is not whole
+            part = SPACED_DOT.search(text, start, names.end())
+            if not part:
+                continue
+            start = part.end()
+        sign = AT_SIGN.match(text, names.end())
+        labels = LABELS.match(text, sign.end()) if sign else None
+        if labels:
+            done = labels.end()
+            yield start, done
+
+
 def signs(text: str) -> list[tuple[int, int, str]]:
     """Edits for written-out "at" and "dot" inside addresses and numbers."""
     edits = []
-    for whole in (IN_WORDS, BEFORE_DOMAIN, BLANKS, NUMBERS):
-        for m in whole.finditer(text):
-            for s in SIGN.finditer(text, m.start(), m.end()):
-                if s[0] not in ("@", "."):
-                    edits.append((s.start(), s.end(), "@" if s["at"] else "."))
+    places = [*in_words(text), *(m.span() for whole in (BEFORE_DOMAIN, BLANKS, NUMBERS) for m in whole.finditer(text))]
+    for start, end in places:
+        for s in SIGN.finditer(text, start, end):
+            if s[0] not in ("@", "."):
+                edits.append((s.start(), s.end(), "@" if s["at"] else "."))
     return edits
 
 
@@ -195,7 +223,7 @@ def normalised(text: str) -> tuple[str, list] | None:
         edits = [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETS.finditer(plain)]
         plain, places = rewrite(plain, edits, places)
         low = plain.lower()
-    dots = any(f" {w} " in low or f"\n{w} " in low or f" {w}\n" in low for w in DOT.split("|"))
+    dots = DOT_WORD.search(low) is not None
     if counts_up(low) or dots and SPELLED.search(plain):
         plain, places = rewrite(plain, spelled(plain), places)
     if dots or "@" in plain or AT_DOMAIN.search(low):
@@ -214,9 +242,11 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
     new = normalised(text)
     if new:
         plain, places = new
+        own = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]  # in order, apart from each other
         for start, kind, end in detect(plain):
             s, e = places[start][0], places[end - 1][1]
-            if not any(k == kind and a <= s and e <= b for a, k, b in base):
+            at = bisect_right(own[kind], s, key=lambda x: x[0]) - 1
+            if at < 0 or e > own[kind][at][1]:
                 out.append((s, kind, e, False))
         out.sort()
     return out

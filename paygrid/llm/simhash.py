@@ -253,16 +253,21 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle_words: int = 4,
 def one_of_each(docs: DataFrame, max_bits: int = 4, shingle_words: int = 4, bucket_rows: int = 1024) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of its smallest doc_id.
 
-    Rows that repeat this id count once (the least by text stands for them).  A
-    group without any id keeps one row, again the least by text.
+    Of several rows of a group with this id the least by text stands for it.  An
+    id may head several groups, if it stands on unlike texts: each keeps a row.
+    A group without any id keeps one row, again the least by text.
     """
     prints = cut(whole_texts(docs).select("doc_id", fingerprint(F.col("text"), shingle_words).alias("fp")))
     names = cut(named_groups(prints, max_bits, bucket_rows))
-    key, fp, pick = fresh(docs, "group_key", "group_print", "group_pick")
+    key, fp, pick, root, name = fresh(docs, "group_key", "group_print", "group_pick", "group_root", "group_name")
     whole = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(pick)
     heads = names.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
-    kept = docs.join(heads, docs["doc_id"] == heads[key], "left_semi").groupBy(F.col("doc_id").alias(key)).agg(whole)
-    nameless = names.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(key))
-    without_id = docs.where("doc_id is null").withColumn(fp, fingerprint(F.col("text"), shingle_words))
-    kept = kept.select(pick).union(without_id.join(nameless, fp).groupBy(key).agg(whole).select(pick))
-    return kept.select(f"{pick}.*")
+    unlike = prints.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg((F.min("fp") != F.max("fp")).alias(root)).where(root).select(key)
+    # An id that stands on one fingerprint belongs to one group.
+    plain = docs.join(heads.join(unlike, key, "left_anti"), F.col("doc_id") == F.col(key), "left_semi")
+    kept = plain.groupBy(F.col("doc_id").alias(key)).agg(whole).select(pick)
+    # Rows of the other ids, and those without one, are told to their group by their text.
+    odd = docs.join(heads.join(unlike, key, "left_semi"), F.col("doc_id") == F.col(key), "left_semi").unionByName(docs.where("doc_id is null"))
+    groups = names.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(name))
+    odd = odd.withColumn(fp, fingerprint(F.col("text"), shingle_words)).join(groups, fp).where(F.col("doc_id").eqNullSafe(F.col(name)))
+    return kept.union(odd.groupBy(root).agg(whole).select(pick)).select(f"{pick}.*")
