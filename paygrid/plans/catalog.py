@@ -480,7 +480,7 @@ def answer_context(spark, sf):
     asked = routed.filter(F.col("intent") == "CÁLCULO_FINANCEIRO").join(tm.message_params(spark, sf), ids)
     asked = asked.select(*ids, F.substring("plant", 2, 20).cast("bigint").alias("planta"),
                          nu.json_params("params_text").alias("v")).select(*ids, "planta", "v.*").checkpoint()
-    # Reading the parameters, the costs and the joins below stand in stages of their own: together their generated code would be too large to compile.
+    # The costs stand apart from the joins below, whose generated code is large; some of it still exceeds the compiler's limit and is interpreted.
     costs = pay.scenario_table_costs(tm.employees(spark, sf), tm.rates(spark, sf), asked).drop("planta").checkpoint()
     bench = F.col("intent").isin(*READS_MARKET)
     out = known.withColumn("market_records", F.when(bench, F.col("market_records"))) \
