@@ -90,6 +90,16 @@ def _exact(col: str, kind: str) -> Column:
     return F.coalesce(F.when(~F.isnan(c), finite), F.lit(0.0)).cast(kind)
 
 
+def amount_sums() -> list[Column]:
+    """Aggregates of the employee columns: rows, and the exact sums of salary, VA and PLR."""
+    return [
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(_exact("salario_atual", AMOUNT)).cast(AMOUNT).alias("s_sum"),
+        F.sum(_exact("valor_va_atual", AMOUNT)).cast(AMOUNT).alias("va_sum"),
+        F.sum(_exact("plr_alvo_atual", AMOUNT)).cast(AMOUNT).alias("plr_sum"),
+    ]
+
+
 def employee_sums(employees: DataFrame) -> DataFrame:
     """Per-plant sums of the employee columns (null and NaN count as 0, rows as 1).
 
@@ -98,12 +108,7 @@ def employee_sums(employees: DataFrame) -> DataFrame:
     map task: a plant that holds a third of all employees still ships one row
     per task to the shuffle.
     """
-    return employees.groupBy(PLANT).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(_exact("salario_atual", AMOUNT)).cast(AMOUNT).alias("s_sum"),
-        F.sum(_exact("valor_va_atual", AMOUNT)).cast(AMOUNT).alias("va_sum"),
-        F.sum(_exact("plr_alvo_atual", AMOUNT)).cast(AMOUNT).alias("plr_sum"),
-    )
+    return employees.groupBy(PLANT).agg(*amount_sums())
 
 
 def rate_factors(rates: DataFrame) -> DataFrame:
@@ -125,7 +130,12 @@ def cost_basis(employees: DataFrame, rates: DataFrame) -> DataFrame:
     ``V = Σva``, ``P = Σplr``, ``n`` joined rows.  Plants without a rate row
     drop out (inner join).
     """
-    j = employee_sums(employees).join(rate_factors(rates), PLANT, "inner")
+    return basis_of_sums(employee_sums(employees), rates)
+
+
+def basis_of_sums(sums: DataFrame, rates: DataFrame) -> DataFrame:
+    """:func:`cost_basis` from per-plant sums that are there already."""
+    j = sums.join(rate_factors(rates), PLANT, "inner")
     j = j.withColumn("a", (F.col("s_sum") * F.col("fe")).cast(TOTAL))
 
     def total(c: Column, name: str) -> Column:

@@ -6,11 +6,13 @@ and runs one operator of the package over the whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import maintained as mt
 from ..operators import payroll as pay
 from . import testmap as tm
 
@@ -36,6 +38,7 @@ FIXTURE_SCENARIOS = [
 GRID_SIZE = 1000
 ONE_PLANT = 7          # the plant argument of the single-plant call
 MISSING_PLANT = -1     # a plant with no employee
+AGAIN = ("1", "2")     # loads that are taken back and arrive again
 # ----------------------------------------------------------------------------------
 
 
@@ -126,6 +129,27 @@ def derive_pay(spark, sf):
     return pay.derive_pay(tm.staff(spark, sf), tm.plant_dim(spark, sf))
 
 
+def _maintained(spark, sf):
+    """The sums of all employees, arrived as one load a line number; two loads were taken back and came again."""
+    name = f"load_sums_{uuid.uuid4().hex}"
+    rows = tm.read(spark, sf, "lineitem").selectExpr(*tm.EMPLOYEES_NULL_EXPR, "CAST(l_linenumber AS STRING) AS load")
+    mt.add(spark, name, rows, F.col("load"))
+    mt.retract(spark, name, AGAIN)
+    mt.add(spark, name, rows.filter(F.col("load").isin(*AGAIN)), F.col("load"))
+    return name
+
+
+@query("maintained_costs")
+def maintained_costs(spark, sf):
+    return mt.scenario_costs(spark, _maintained(spark, sf), tm.rates(spark, sf, with_nulls=True), [TEST_SCENARIO])
+
+
+@query("maintained_practice")
+def maintained_practice(spark, sf):
+    out = mt.practice(spark, _maintained(spark, sf))
+    return out.select("planta", *[F.round(c, 4).alias(c) for c in ("avg_salary", "avg_va", "avg_plr")], "n_employees")
+
+
 # ----------------------------------------------------------------- market and sources
 from ..operators import market as mk  # noqa: E402
 from ..sources.delimited import split_fields  # noqa: E402
@@ -279,9 +303,12 @@ def format_money(spark, sf):
 
 
 # ----------------------------------------------------------------- retrieval
+from ..operators import chunkstore as cs  # noqa: E402
+from ..operators import corpus as co  # noqa: E402
 from ..operators import retrieval as rt  # noqa: E402
 from ..operators import textsearch as ts  # noqa: E402
 from ..operators import vectorsearch as vs  # noqa: E402
+from ..session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from ..sources.documents import manifest_key  # noqa: E402
 
 
@@ -326,6 +353,30 @@ def doc_assemble(spark, sf):
     return rt.chunk_pages(tm.conversation_pages(spark, sf))
 
 
+@query("chunks_refreshed")
+def chunks_refreshed(spark, sf):
+    """The chunks after the English documents came first, and all languages with the next refresh."""
+    docs = tm.read(spark, sf, "documents").select("doc_id", F.col("source").alias("file"), "text", "lang")
+    name, path = f"chunks_{uuid.uuid4().hex}", scratch_path(spark, "chunks")
+    for there in (docs.filter("lang = 'en'"), docs):
+        listing = there.select("doc_id", F.length("text").alias("length"), F.xxhash64("file", "text").alias("digest"))
+        cs.refresh(spark, name, path, listing, "doc_id",
+                   lambda todo, there=there: rt.chunk_text(there.join(todo, "doc_id", "left_semi"), ["doc_id", "file"]))
+    return cs.current(spark, name, path, "doc_id")
+
+
+@query("corpus_report")
+def corpus_report(spark, sf):
+    """The corpus report from one sketch row a language, and whether its estimates are within four standard errors of the exact numbers."""
+    docs = tm.read(spark, sf, "documents").select("doc_id", F.col("source").alias("file"), "text", "lang")
+    chunks = rt.chunk_text(docs, ["doc_id", "file", "lang"])
+    words = chunks.select(F.explode(ts.terms_of(F.col("text"))).alias("w"))
+    exact = chunks.agg(F.countDistinct("file").alias("x_files"), F.countDistinct("text").alias("x_texts")) \
+        .join(words.agg(F.countDistinct("w").alias("x_words")))        # one row each
+    near = [(F.abs(F.col(f"n_{c}") - F.col(f"x_{c}")) <= 4 * co.ERROR * F.col(f"x_{c}")).alias(f"{c}_near") for c in co.SKETCHES]
+    return co.report(co.batch_sketches(chunks, F.col("lang"))).join(exact).select("n_chunks", "n_chars", *near)
+
+
 @query("docs_by_group")
 def docs_by_group(spark, sf):
     return rt.docs_by_group(tm.doc_refs(spark, sf))
@@ -388,7 +439,6 @@ def context_block(spark, sf):
 
 # ----------------------------------------------------------------- SQL, records, streaming, answers
 from ..operators.sql import run_sql  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..streaming.tagging import history_stream, tag_stream  # noqa: E402
 
 PASSTHROUGH_SQL = """

@@ -150,6 +150,8 @@ WITH {_ctes()}
 SELECT planta, round(avg(salario_atual), 4) AS avg_salary, round(avg(valor_va_atual), 4) AS avg_va,
        round(avg(plr_alvo_atual), 4) AS avg_plr, count(*) AS n_employees
 FROM hn GROUP BY planta"""
+ORACLE["maintained_costs"] = ORACLE["cost_null_safe"]
+ORACLE["maintained_practice"] = ORACLE["group_practice"]
 ORACLE["group_practice_empty"] = f"""
 WITH {_ctes()}
 SELECT avg(salario_atual) AS avg_salary, avg(valor_va_atual) AS avg_va, avg(plr_alvo_atual) AS avg_plr,
@@ -359,6 +361,9 @@ _CHUNKS = f"chunks AS {_chunk_sql('(SELECT doc_id, source AS file, text FROM doc
 ORACLE["doc_chunk"] = f"WITH {_CHUNKS} SELECT * FROM chunks"
 ORACLE["chunk_preview"] = f"WITH {_CHUNKS} SELECT doc_id, pos, replace(substring(text, 1, 300), chr(10), ' ') AS preview FROM chunks"
 ORACLE["corpus_stats"] = f"WITH {_CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT file) AS n_files FROM chunks"
+ORACLE["chunks_refreshed"] = ORACLE["doc_chunk"]
+ORACLE["corpus_report"] = f"""WITH {_CHUNKS}
+SELECT count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars, true AS files_near, true AS texts_near, true AS words_near FROM chunks"""
 ORACLE["doc_assemble"] = f"""
 WITH docs AS (SELECT conv_id AS file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text
               FROM conversations GROUP BY conv_id)
