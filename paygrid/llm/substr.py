@@ -22,6 +22,7 @@ input), their least ids are broadcast, and their rows need no grouping.
 from __future__ import annotations
 
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class Texts:
         split = [t.split() for t in texts]  # of bytes: ASCII white space only
         self.counts = np.fromiter(map(len, split), np.int64, len(split))
         total = int(self.counts.sum())
-        ids = np.fromiter((words[w] for s in split for w in s), np.int64, total)
+        ids = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, total)
         self.low = np.array(words.low, np.uint64)[ids] if total else np.zeros(0, np.uint64)
         self.high = np.array(words.high, np.uint64)[ids] if total else np.zeros(0, np.uint64)
         doc = np.repeat(np.arange(len(split)), self.counts)
@@ -282,9 +283,10 @@ def changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, twice: np.ndarray, hot: tuple, bits: int) -> DataFrame:
-    """(k1, k2, doc_id, th, is_hot, least, pos, more): each document's windows estimated repeated, once, with their start positions.
+    """(k1, k2, salt, doc_id, th, pos, more): each document's windows estimated repeated, once, with their start positions.
 
-    ``least`` is the least id that holds the window where that is known already (hot windows).
+    A hot window's least id is known already: only the rows to be removed are
+    sent, spread by a salt that is not 0.  All others have salt 0.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((twice, hot))
 
@@ -301,32 +303,39 @@ def repeated_windows(docs: DataFrame, twice: np.ndarray, hot: tuple, bits: int)
                 k1, k2, doc, pos = k1[order], k2[order], doc[order], pos[order]
                 head = np.flatnonzero(changes(k1, k2, doc))
                 ends = np.append(head[1:], len(k1))
-                more = [None] * len(head)
+                more = np.full(len(head), None, object)
                 for i in np.flatnonzero(ends - head > 1):
                     more[i] = pos[head[i] + 1 : ends[i]].astype("<u4").tobytes()
+                # in the order of the text, in which rows compress best
+                order = np.lexsort((pos[head], doc[head]))
+                head, more = head[order], more[order]
                 k1, k2, doc, pos = k1[head], k2[head], doc[head], pos[head]
-                known, where = member(h1, k1)
+                salt, send = np.zeros(len(k1), np.int32), np.ones(len(k1), bool)
                 if len(h1):
+                    known, where = member(h1, k1)
                     known &= h2[where] == k2
-                first = pa.array(least[where] if len(h1) else np.zeros(len(k1), np.int64), mask=~(known & (has[where] if len(h1) else False)))
-                take = pa.array(doc)
+                    ids = part.column("doc_id")
+                    valid = ids.is_valid().to_numpy(zero_copy_only=False)[doc]
+                    ids = pc.fill_null(ids, 0).to_numpy()[doc]
+                    send = ~known | (has[where] & (~valid | (least[where] < ids)))
+                    spread = mixed(ids.astype(np.int64).view(np.uint64) * MIX + pos.astype(np.uint64))
+                    salt[known] = ((spread[known] >> np.uint64(33)) | np.uint64(1)).astype(np.int32)
+                take = pa.array(doc[send])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.array(k2), part.column("doc_id").take(take), part.column("th").take(take), pa.array(known), first, pa.array(pos.astype(np.int32)), pa.array(more, pa.binary())],
-                    ["k1", "k2", "doc_id", "th", "is_hot", "least", "pos", "more"],
+                    [pa.array(k1[send]), pa.array(k2[send]), pa.array(salt[send]), part.column("doc_id").take(take), part.column("th").take(take),
+                     pa.array(pos[send].astype(np.int32)), pa.array(more[send], pa.binary())],
+                    ["k1", "k2", "salt", "doc_id", "th", "pos", "more"],
                 )
 
     rows = docs.select("doc_id", F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "k1 long, k2 int, doc_id long, th int, is_hot boolean, least long, pos int, more binary")
+    return rows.mapInArrow(run, "k1 long, k2 int, salt int, doc_id long, th int, pos int, more binary")
 
 
 def removals(windows: DataFrame) -> DataFrame:
     """The windows that a document with a smaller id also holds: (doc_id, th, pos, more).  Null ids are larger than any."""
-    # Rows of hot windows know their least id already and are only spread evenly.
-    salt = F.when(F.col("is_hot"), F.hash("doc_id", "pos")).otherwise(F.lit(0))
-    here = F.min("doc_id").over(Window.partitionBy("k1", "k2", "salt"))
-    rows = windows.withColumn("salt", salt).withColumn("first", F.when(F.col("is_hot"), F.col("least")).otherwise(here))
+    rows = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("k1", "k2", "salt")))
     later = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("first") < F.col("doc_id")))
-    return rows.where(later).select("doc_id", "th", "pos", "more")
+    return rows.where((F.col("salt") != 0) | later).select("doc_id", "th", "pos", "more")
 
 
 def cut_out(text: Column, at: Column, more: Column) -> Column:
