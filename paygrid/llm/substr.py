@@ -283,7 +283,10 @@ def changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, twice: np.ndarray, hot: tuple, bits: int) -> DataFrame:
-    """(k1, k2, salt, doc_id, th, pos, more): each document's windows estimated repeated, once, with their start positions.
+    """(k1, at, salt, doc_id, th, more): each document's windows estimated repeated, once, with their start positions.
+
+    ``at`` is the first position, above the 32 bits of k2: together they are
+    shuffled in fewer bytes than apart.
 
     A hot window's least id is known already: only the rows to be removed are
     sent, spread by a salt that is not 0.  All others have salt 0.
@@ -321,19 +324,21 @@ def repeated_windows(docs: DataFrame, twice: np.ndarray, hot: tuple, bits: int)
                     spread = mixed(ids.astype(np.int64).view(np.uint64) * MIX + pos.astype(np.uint64))
                     salt[known] = ((spread[known] >> np.uint64(33)) | np.uint64(1)).astype(np.int32)
                 take = pa.array(doc[send])
+                place = (pos[send].astype(np.int64) << 32) | k2[send].view(np.uint32).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[send]), pa.array(k2[send]), pa.array(salt[send]), part.column("doc_id").take(take), part.column("th").take(take),
-                     pa.array(pos[send].astype(np.int32)), pa.array(more[send], pa.binary())],
-                    ["k1", "k2", "salt", "doc_id", "th", "pos", "more"],
+                    [pa.array(k1[send]), pa.array(place), pa.array(salt[send]), part.column("doc_id").take(take), part.column("th").take(take), pa.array(more[send], pa.binary())],
+                    ["k1", "at", "salt", "doc_id", "th", "more"],
                 )
 
     rows = docs.select("doc_id", F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "k1 long, k2 int, salt int, doc_id long, th int, pos int, more binary")
+    return rows.mapInArrow(run, "k1 long, at long, salt int, doc_id long, th int, more binary")
 
 
 def removals(windows: DataFrame) -> DataFrame:
     """The windows that a document with a smaller id also holds: (doc_id, th, pos, more).  Null ids are larger than any."""
-    rows = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("k1", "k2", "salt")))
+    rows = windows.repartition("k1", "salt")  # which keeps the windows of one (k1, k2, salt) together
+    rows = rows.withColumn("k2", F.col("at").bitwiseAND(0xFFFFFFFF)).withColumn("pos", F.shiftrightunsigned("at", 32).cast("int"))
+    rows = rows.withColumn("first", F.min("doc_id").over(Window.partitionBy("k1", "k2", "salt")))
     later = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("first") < F.col("doc_id")))
     return rows.where((F.col("salt") != 0) | later).select("doc_id", "th", "pos", "more")
 
