@@ -95,7 +95,9 @@ def refresh_folder(spark: SparkSession, name: str, path: str, folder: str, suffi
     """:func:`refresh` with the files of a folder; chunks are ``path, file, pos, text``.
 
     A file is read again when its length or time changed; the contents of the
-    others are not opened.  An empty file is not listed.  ``text`` makes the text from the column ``content``
+    others are not opened, as long as at most BY_NAME files changed (beyond that
+    the folder is scanned and what did not change left out).  An empty file is
+    not listed.  ``text`` makes the text from the column ``content``
     (default: UTF-8).  Raises NoDocuments, and leaves the chunks as they are,
     where the folder is missing or has no such file."""
     content = F.decode(F.col("content"), "UTF-8") if text is None else text
