@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from paygrid.llm.common import cut
 
-PROJECTIONS = 8
+PROJECTIONS = 24
 #: Rows of the sample that the tree is built from, and the most cells it may have.
 SAMPLE, MAX_CELLS = 8192, 1024
 #: Rows of a block, and queries that visit a block in one group.
 BLOCK, QUERIES = 4096, 1024
 SEED = 11
+OUT = "query_id long, rank int, vec_id long, score double"
 #: Squared distances under this count as equal to 0 in the stopping test (rounding of projections).
 TINY = 1e-12
 
@@ -114,8 +115,8 @@ def cell_distances(tree: tuple, point: np.ndarray) -> np.ndarray:
     return (gap * gap).sum(axis=1)
 
 
-def verified(q, q_proj, own_id, ids, vecs, norms, proj, k, bound, limit):
-    """The k best (score, id) among the rows, verified in the order of projected distance up to the stopping test."""
+def verified(q, q_proj, own, rows, ids, vecs, norms, proj, k, bound, limit):
+    """The k best (score, id) among all rows but ``own``, verified in the order of projected distance up to the stopping test."""
     near = ((proj - q_proj) ** 2).sum(axis=1)
     order = np.argsort(near, kind="stable")
     q_norm = math.sqrt(float((q * q).sum()))
@@ -125,7 +126,7 @@ def verified(q, q_proj, own_id, ids, vecs, norms, proj, k, bound, limit):
         pick = order[at : at + step]
         pick = pick[near[pick] <= limit * max(bound, TINY)]
         at, step = at + step, step * 2
-        pick = pick[ids[pick] != own_id]
+        pick = pick[rows[pick] != own]
         scores = (vecs[pick] * q).sum(axis=1) / (norms[pick] * q_norm)
         s, i = np.concatenate([best_s, scores]), np.concatenate([best_i, ids[pick]])
         keep = np.lexsort((i, -s))[:k]
@@ -139,63 +140,72 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(x, np.float64) for x in column])
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): one vector of doubles per id, of the most frequent dimension; null, zero and non-finite ones are left out.
+def scaled(column) -> np.ndarray:
+    """The vectors, each divided by a power of two that brings its largest component under 1: cosines stay as they are, and no square overflows."""
+    m = _matrix(column)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
 
-    Of several vectors under one id the least, in array order, counts.
-    """
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(row, vec_id, v): every vector, of doubles, under a number of its own; null, empty, zero and non-finite ones are left out."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.where(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return rows
+    return rows.where(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = 0.995) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (ids divisible by ``every``), by cosine.
 
     A query's own row is no candidate; ties go to the smaller id; with fewer
-    candidates than k all are returned.  Rows without an id and vectors of a
-    dimension other than the most frequent (the smaller on a tie) take no part;
-    an empty table gives an empty result.
+    candidates than k all are returned.  Each row is a vector of its own: rows
+    that repeat an id are candidates of each other, and an id that stands on
+    several query rows has k answers for each.  Vectors are compared with those
+    of their own dimension, one search for each dimension that has a query.
+    Rows without an id take no part; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
     rows = cut(usable(vectors))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], out)
-    dim, total = dims.d, dims["count"]
-    rows = rows.where(F.size("v") == dim)
+    asked = F.count_if(F.col("vec_id") % every == 0).alias("asked")
+    found = None
+    for x in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), asked).where("asked > 0 and n > 1").orderBy("d").collect():
+        part = _search(rows.where(F.size("v") == x.d), x.d, x.n, every, k, sure)
+        found = part if found is None else found.unionAll(part)
+    return vectors.sparkSession.createDataFrame([], OUT) if found is None else found
+
+
+def _search(rows: DataFrame, dim: int, total: int, every: int, k: int, sure: float) -> DataFrame:
+    """The answers among ``total`` rows of one dimension."""
+    spark = rows.sparkSession
     r, limit = directions(dim), chi_square_quantile(sure, PROJECTIONS)
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").collect()
+    sample = rows.orderBy(F.xxhash64("row")).limit(SAMPLE).select("v").collect()
     cells = min(MAX_CELLS, max(1, total // (BLOCK // 2)), max(1, len(sample) // 8))
-    tree = Tree(projected(_matrix(x.v for x in sample), r), cells)
+    tree = Tree(projected(scaled(x.v for x in sample), r), cells)
     shipped = spark.sparkContext.broadcast((r, tree.plain()))
 
     def place(batches):
         r, tree = shipped.value
         for b in batches:
-            p = projected(_matrix(b.column("v").to_pylist()), r) if b.num_rows else np.zeros((0, PROJECTIONS))
-            proj = pa.array(list(p), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), proj, pa.array(cell_of(tree, p))], ["vec_id", "v", "p", "cell"])
+            v = scaled(b.column("v").to_pylist()) if b.num_rows else np.zeros((0, len(r)))
+            p = projected(v, r)
+            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (v, p)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), *lists, pa.array(cell_of(tree, p))], ["row", "vec_id", "v", "p", "cell"])
 
-    placed = rows.mapInArrow(place, "vec_id long, v array<double>, p array<double>, cell int")
+    placed = rows.mapInArrow(place, "row long, vec_id long, v array<double>, p array<double>, cell int")
     sizes = {x.cell: x["count"] for x in placed.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
     blocks = {c: -(-n // BLOCK) for c, n in sizes.items()}
     n_blocks = F.create_map(*[F.lit(int(x)) for c in sorted(blocks) for x in (c, blocks[c])])
-    placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(F.array(n_blocks), F.lit(0))[F.col("cell")]).cast("int")))
+    placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("row"), F.get(F.array(n_blocks), F.lit(0))[F.col("cell")]).cast("int")))
 
     def home(group: pd.DataFrame) -> pd.DataFrame:
-        ids, vecs, proj = group["vec_id"].to_numpy(), _matrix(group["v"]), _matrix(group["p"])
+        own, ids, vecs, proj = group["row"].to_numpy(), group["vec_id"].to_numpy(), _matrix(group["v"]), _matrix(group["p"])
         norms, asked = np.sqrt((vecs * vecs).sum(axis=1)), np.flatnonzero(ids % every == 0)
-        bounds = [verified(vecs[i], proj[i], ids[i], ids, vecs, norms, proj, k, 4.0, limit)[2] for i in asked]
-        return pd.DataFrame({"query_id": ids[asked], "q": list(vecs[asked]), "qp": list(proj[asked]), "bound": bounds})
+        bounds = [verified(vecs[i], proj[i], own[i], own, ids, vecs, norms, proj, k, 4.0, limit)[2] for i in asked]
+        return pd.DataFrame({"asker": own[asked], "query_id": ids[asked], "q": list(vecs[asked]), "qp": list(proj[asked]), "bound": bounds})
 
     # A block that holds no query is not read into Python.
     with_query = placed.where(F.col("vec_id") % every == 0).select("cell", "block").distinct()
     asked = placed.join(with_query, ["cell", "block"], "left_semi")
-    queries = asked.groupBy("cell", "block").applyInPandas(home, "query_id long, q array<double>, qp array<double>, bound double")
+    queries = asked.groupBy("cell", "block").applyInPandas(home, "asker long, query_id long, q array<double>, qp array<double>, bound double")
 
     def visits(batches):
         _, tree = shipped.value
@@ -206,7 +216,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = 0.995)
             ]
             yield b.append_column("cells", pa.array(at, pa.list_(pa.int32())))
 
-    queries = cut(queries.mapInArrow(visits, "query_id long, q array<double>, qp array<double>, bound double, cells array<int>"))
+    queries = cut(queries.mapInArrow(visits, "asker long, query_id long, q array<double>, qp array<double>, bound double, cells array<int>"))
     going = queries.withColumn("cell", F.explode("cells")).drop("cells")
     asking = {x.cell: x["count"] for x in going.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
     shares = {c: max(1, -(-asking.get(c, 0) // QUERIES)) for c in blocks}
@@ -215,22 +225,23 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = 0.995)
     every_block = F.explode(F.sequence(F.lit(0), count(n_blocks, "cell") - 1))
     every_share = F.explode(F.sequence(F.lit(0), count(n_shares, "cell") - 1))
     going = going.where(F.col("cell").isin(list(blocks))) if len(blocks) < len(tree.boxes) else going
-    going = going.withColumn("block", every_block).withColumn("part", F.pmod(F.xxhash64("query_id"), count(n_shares, "cell")).cast("int"))
+    going = going.withColumn("block", every_block).withColumn("part", F.pmod(F.xxhash64("asker"), count(n_shares, "cell")).cast("int"))
     there = placed.withColumn("part", every_share)
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        ids, out = held["vec_id"].to_numpy(), {"query_id": [], "vec_id": [], "score": []}
+        ids, out = held["vec_id"].to_numpy(), {"asker": [], "query_id": [], "vec_id": [], "score": []}
         if len(ids) and len(asked):
-            vecs, proj = _matrix(held["v"]), _matrix(held["p"])
+            own, vecs, proj = held["row"].to_numpy(), _matrix(held["v"]), _matrix(held["p"])
             norms = np.sqrt((vecs * vecs).sum(axis=1))
-            for own, q, qp, bound in zip(asked["query_id"], _matrix(asked["q"]), _matrix(asked["qp"]), asked["bound"]):
-                s, i, _ = verified(q, qp, own, ids, vecs, norms, proj, k, bound, limit)
-                out["query_id"] += [own] * len(s)
+            for asker, query_id, q, qp, bound in zip(asked["asker"], asked["query_id"], _matrix(asked["q"]), _matrix(asked["qp"]), asked["bound"]):
+                s, i, _ = verified(q, qp, asker, own, ids, vecs, norms, proj, k, bound, limit)
+                out["asker"] += [asker] * len(s)
+                out["query_id"] += [query_id] * len(s)
                 out["vec_id"] += i.tolist()
                 out["score"] += s.tolist()
         return pd.DataFrame(out)
 
     key = ["cell", "block", "part"]
-    found = going.groupBy(*key).cogroup(there.groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = going.groupBy(*key).cogroup(there.groupBy(*key)).applyInPandas(answer, "asker long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -277,6 +277,24 @@ def test_nearest_few_rows(spark):
     assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in two] == [(0, 1, 7, 0.8)]
 
 
+def test_nearest_repeated_ids_dimensions_and_huge_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 40, rng.normal(size=5).tolist()) for i in range(120)]  # three unlike rows an id, of them three of id 0
+    rows += [(50, rows[1][1]), (50, rows[1][1])]  # equal rows under one query id
+    rows += [(100, [3e200, -1e200, 2e200, 1e200, 0.0]), (101, [3e-200, -1e-200, 2e-200, 1e-200, 0.0])]
+    rows += [(150, [1.0, 2.0]), (151, [2.0, 4.0]), (152, [2.0, -1.0])]
+    want = Counter()
+    for a, (query, q) in enumerate(rows):
+        if query % 50 == 0:
+            # each vector is brought to length 1 first, after its components are brought under 1
+            unit = lambda v: np.array(v) / np.abs(v).max() / np.sqrt(((np.array(v) / np.abs(v).max()) ** 2).sum())
+            others = [(-round(float(unit(q) @ unit(v)), 9), i) for b, (i, v) in enumerate(rows) if b != a and len(v) == len(q)]
+            want.update((query, k + 1, i, -s) for k, (s, i) in enumerate(sorted(others)[:5]))
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sure=1 - 1e-12).collect()
+    got = Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in found)
+    assert got == want and len(found) == 3 * 5 + 2 * 5 + 5 + 2
+
+
 # 6: MinHash -----------------------------------------------------------------
 
 
