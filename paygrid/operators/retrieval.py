@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..session import ensure_checkpoint_dir
 
 CHUNK_SIZE = 1000     # characters per chunk (fixed value)
 SEARCH_LIMIT = 10     # hits taken from the whole index (fixed value)
@@ -26,6 +27,7 @@ RETURNED = 3          # hits kept after the allow-list filter (fixed value)
 CONTEXT_SEP = "\n---\n"
 FILES_SEP = ", "
 PAGE_BLOCK = 1024     # pages per block of the two-level offset sum
+LIST_PAGE = 100       # documents on one page of a plant's list
 
 
 # ----------------------------------------------------------------- chunking
@@ -97,6 +99,28 @@ def docs_by_group(refs: DataFrame) -> DataFrame:
                     F.array_join("files", FILES_SEP).alias("files"))
 
 
+def docs_by_group_paged(refs: DataFrame, size: int = LIST_PAGE) -> DataFrame:
+    """Plant -> its documents (distinct, sorted) in pages of ``size``:
+    ``plant, page, n_files, files``, pages counted from 0.
+
+    No row holds more than ``size`` documents and no task a whole plant: the
+    list is dealt out in ranges of (plant, file) and numbered in two levels,
+    each range's share of a plant and then the rows within it. Null files are
+    on no page; null plants are one plant."""
+    ensure_checkpoint_dir(refs.sparkSession)
+    d = refs.where("file is not null").select("plant", "file").distinct()
+    # written once, so that both levels see the same ranges
+    d = d.repartitionByRange("plant", "file").withColumn("part", F.spark_partition_id()).checkpoint()
+    parts = d.groupBy("plant", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("plant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(F.col("plant").alias("s_plant"), F.col("part").alias("s_part"), F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("plant", "part").orderBy("file")) - 1
+    x = d.withColumn("own", own).join(starts, F.col("plant").eqNullSafe(F.col("s_plant")) & (F.col("part") == F.col("s_part")))
+    x = x.withColumn("page", F.floor((F.col("start") + F.col("own")) / size).cast("long"))
+    g = x.groupBy("plant", "page").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return g.select("plant", "page", F.size("files").cast("long").alias("n_files"), F.array_join("files", FILES_SEP).alias("files"))
+
+
 def allowed(chunks: DataFrame, refs: DataFrame) -> DataFrame:
     """Chunks each plant may read: an equi-join on the file."""
     return chunks.join(refs.select("plant", "file"), "file", "inner")

@@ -382,6 +382,12 @@ def docs_by_group(spark, sf):
     return rt.docs_by_group(tm.doc_refs(spark, sf))
 
 
+@query("docs_by_group_paged")
+def docs_by_group_paged(spark, sf):
+    """Pages of one document: plants of the given tables have at most two."""
+    return rt.docs_by_group_paged(tm.doc_refs(spark, sf), 1)
+
+
 @query("allowed_chunks")
 def allowed_chunks(spark, sf):
     """For every plant that has an allow-list."""

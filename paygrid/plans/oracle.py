@@ -370,6 +370,9 @@ WITH docs AS (SELECT conv_id AS file, string_agg(coalesce(text, '') || chr(10),
 SELECT file, pos, text FROM {_chunk_sql('(SELECT file AS k, file, text FROM docs)', 'k')}"""
 ORACLE["docs_by_group"] = f"""WITH {_REFS}
 SELECT plant, count(*) AS n_files, string_agg(file, ', ' ORDER BY file) AS files FROM refs GROUP BY plant"""
+ORACLE["docs_by_group_paged"] = f"""WITH {_REFS},
+numbered AS (SELECT plant, file, (row_number() OVER (PARTITION BY plant ORDER BY file) - 1) // 1 AS page FROM refs)
+SELECT plant, page, count(*) AS n_files, string_agg(file, ', ' ORDER BY file) AS files FROM numbered GROUP BY plant, page"""
 ORACLE["allowed_chunks"] = f"""WITH {_CHUNKS}, {_REFS}
 SELECT r.plant, c.doc_id, c.pos, c.file FROM chunks c JOIN refs r ON c.file = r.file"""
 

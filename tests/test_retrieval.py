@@ -35,6 +35,19 @@ def test_pages_chunk_like_the_assembled_document(spark):
     assert o1 == o2
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_document_lists_in_pages(spark, size):
+    rows = [("P1", f"f{i * 37 % 500:03d}") for i in range(700)] + [("P2", "b"), ("P2", "a"), ("P3", None), (None, "x"), (None, "x")]
+    refs = spark.createDataFrame(rows, "plant string, file string")
+    want = {}
+    for plant in ("P1", "P2", None):
+        files = sorted({f for p, f in rows if p == plant and f is not None})
+        want |= {(plant, k // size): (len(files[k:k + size]), ", ".join(files[k:k + size])) for k in range(0, len(files), size)}
+    found = rt.docs_by_group_paged(refs, size).collect()
+    assert {(r.plant, r.page): (r.n_files, r.files) for r in found} == want and len(found) == len(want)
+    assert rt.docs_by_group_paged(refs.limit(0), size).count() == 0
+
+
 def test_post_filter_can_return_fewer_or_none(spark):
     hits = spark.createDataFrame(
         [(1, "P1", r, f"f{r % 2}") for r in range(1, 11)] + [(2, "P2", r, "f0") for r in range(1, 11)],
