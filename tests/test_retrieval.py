@@ -122,6 +122,63 @@ def test_text_search_skips_postings_and_loses_no_hit(spark, monkeypatch, k):
     assert sum(r.scored for r in told) < 0.2 * len(texts) * len(asked)
 
 
+def shuffled(spark):
+    """Bytes in the shuffle files that the session holds."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().endswith(".data"))
+
+
+def test_text_search_shuffles_no_pairs(spark):
+    """Every chunk shares words with every query: what is shuffled stays under twice the texts."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(2000)]
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
+    qs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=8))) for i in range(100)], "query_id long, text string")
+    before, usual = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # as if no table were small
+    try:
+        assert ts.search(ts.build_index(chunks, ["doc_id", "pos"]), qs, 3).top.count() == 300
+        assert shuffled(spark) - before < 2 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_text_search_in_blocks_loses_no_hit(spark, monkeypatch, k):
+    """Many blocks of queries, groups of chunks and slices of pairs; copies tie and go by id; most idfs are not broadcast."""
+    import random
+
+    for name, value in {"SEGMENT": 7, "GROUP": 20, "TOGETHER": 3, "PAIRS": 5, "HELD": 10, "QUERY_ROWS": 40, "COMMON": 30, "SEED": 1}.items():
+        monkeypatch.setattr(ts, name, value)
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(1.1))}" for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([3, 12, 30]))) for _ in range(120)]
+    texts += [texts[5]] * 9 + ["", "- -"]
+    asked = {i: " ".join(texts[i].split()[:9]) for i in range(0, 120, 5)}
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
+    # One query in two rows, a chunk without an id and a query without one
+    qs = spark.createDataFrame([(500, "w2 w3"), (500, "w3 w9"), (None, "w2"), *asked.items()], "query_id long, text string")
+    search = ts.search(ts.build_index(chunks, ["doc_id", "pos"]), qs, k)
+    want = {q: dict(sorted(brute_tfidf(texts, t).items(), key=lambda x: (-x[1], x[0]))[:k]) for q, t in {**asked, 500: "w2 w3 w3 w9"}.items()}
+    assert found(search.top) == {q: b for q, b in want.items() if b}
+    ranks = sorted((r.query_id, r["rank"], r.doc_id) for r in search.top.collect())
+    assert [r[2] for r in ranks if r[0] == 5] == [5, *range(120, 129)][:k]
+
+
+def test_text_index_counts_repeated_and_null_ids(spark):
+    """Rows of one id are one chunk, but each counts as a row; chunks without an id count and are never found."""
+    rows = [(1, 0, "fox fox"), (1, 0, "car"), (2, 0, "fox"), (None, 0, "fox car"), (3, 0, "dog"), (4, 0, None)]
+    index = ts.build_index(spark.createDataFrame(rows, "doc_id long, pos int, text string"), ["doc_id", "pos"])
+    assert {r.term: (r.df, round(r.idf, 9)) for r in index.idf.collect()} == {
+        "fox": (3, round(math.log(2), 9)), "car": (2, round(math.log(3), 9)), "dog": (1, round(math.log(6), 9))}
+    top = ts.search(index, spark.createDataFrame([(7, "fox")], "query_id long, text string"), 5).top.collect()
+    weight = 2 * math.log(2) / math.hypot(2 * math.log(2), math.log(3))
+    assert [(r.doc_id, round(r.score, 9)) for r in sorted(top, key=lambda r: r["rank"])] == [(2, 1.0), (1, round(weight, 9))]
+
+
 def test_text_index_is_built_again_when_a_file_changed(spark, tmp_path):
     path = str(tmp_path / "docs")
 
