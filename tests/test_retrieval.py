@@ -295,3 +295,17 @@ def test_allowed_chunks_of_every_plant(spark):
     want = sorted((plant, *c) for plant, file in refs for c in chunks if c[2] == file)
     got = sorted((r.plant, r.doc_id, r.pos, r.file) for r in catalog.allowed_chunks(spark, sf).collect())
     assert got == want and len({r[0] for r in got}) > testmap.N_SELECTABLE
+
+
+def test_allowed_chunks_meet_in_bounded_cells(spark, monkeypatch):
+    """One file with most of the pairs: repeated chunks and plants count, null files meet nothing, and the pairs are dealt evenly."""
+    monkeypatch.setattr(rt, "CELL_CHUNKS", 50)
+    monkeypatch.setattr(rt, "CELL_PLANTS", 20)
+    chunks = [(i % 700, 0, "hot") for i in range(800)] + [(1, 1, "cold"), (2, 1, None), (3, 1, "none")]
+    refs = [(f"P{i}", "hot") for i in range(100)] + [("P7", "hot"), (None, "hot"), (None, "cold"), ("P1", None), ("P2", "else")]
+    got = rt.allowed(spark.createDataFrame(chunks, "doc_id long, pos int, file string"), spark.createDataFrame(refs, "plant string, file string"))
+    want = [(f, d, p, plant) for d, p, f in chunks for plant, g in refs if f is not None and f == g]
+    assert got.columns == ["file", "doc_id", "pos", "plant"]
+    assert sorted(map(repr, ((r.file, r.doc_id, r.pos, r.plant) for r in got.collect()))) == sorted(map(repr, want))
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < 0.2 * sum(shares)
