@@ -309,3 +309,25 @@ def test_allowed_chunks_meet_in_bounded_cells(spark, monkeypatch):
     assert sorted(map(repr, ((r.file, r.doc_id, r.pos, r.plant) for r in got.collect()))) == sorted(map(repr, want))
     shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert max(shares) < 0.2 * sum(shares)
+
+
+@pytest.mark.parametrize("name", ["text_search"])
+def test_text_queries_shuffle_in_proportion_to_the_texts(spark, tmp_path, name):
+    import random
+
+    from paygrid.plans import catalog
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    docs = [(i, f"src{i % 3}", " ".join(rng.choices(words, k=60))) for i in range(2000)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(i, " ".join(rng.choices(words, k=8))) for i in range(100)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before, usual = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = catalog.REGISTRY[name](spark, str(tmp_path)).collect()
+        assert len(rows) == (300 if name == "text_search" else 100)
+        assert shuffled(spark) - before < 4 * sum(len(d[2]) for d in docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
