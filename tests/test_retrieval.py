@@ -311,7 +311,7 @@ def test_allowed_chunks_meet_in_bounded_cells(spark, monkeypatch):
     assert max(shares) < 0.2 * sum(shares)
 
 
-@pytest.mark.parametrize("name", ["text_search"])
+@pytest.mark.parametrize("name", ["text_search", "context_block"])
 def test_text_queries_shuffle_in_proportion_to_the_texts(spark, tmp_path, name):
     import random
 
