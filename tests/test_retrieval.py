@@ -122,6 +122,26 @@ def test_text_search_skips_postings_and_loses_no_hit(spark, monkeypatch, k):
     assert sum(r.scored for r in told) < 0.2 * len(texts) * len(asked)
 
 
+@pytest.mark.parametrize("dense", [0, 40])
+def test_text_search_sums_common_words_by_product(spark, monkeypatch, dense):
+    """Words that most chunks and queries share are not added posting by posting, and no hit is lost, whichever way a word is summed."""
+    import random
+
+    monkeypatch.setattr(ts, "DENSE", dense)
+    rng = random.Random(12)
+    words = [f"c{i}" for i in range(40)] * 30 + [f"r{i}" for i in range(600)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([8, 60, 90]))) for _ in range(120)]
+    asked = {i: " ".join(rng.choices(words, k=15)) for i in range(12)}
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
+    qs = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    index = ts.build_index(chunks, ["doc_id", "pos"])
+    search = ts.search(index, qs, 5)
+    want = {q: dict(sorted(brute_tfidf(texts, t).items(), key=lambda x: (-x[1], x[0]))[:5]) for q, t in asked.items()}
+    assert found(search.top) == want
+    told = ts.report(index, search).agg(F.sum("postings"), F.sum("opened")).first()
+    assert told[1] == told[0] if dense == 0 else told[1] < 0.1 * told[0]
+
+
 def shuffled(spark):
     """Bytes in the shuffle files that the session holds."""
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
