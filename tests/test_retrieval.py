@@ -331,6 +331,16 @@ def test_allowed_chunks_meet_in_bounded_cells(spark, monkeypatch):
     assert max(shares) < 0.2 * sum(shares)
 
 
+def test_allowed_chunks_are_stored_small(spark, tmp_path):
+    """A row of chunk and plant takes a fraction of a byte in a columnar file: chunks and plants go out in runs."""
+    chunks = spark.createDataFrame([(i * 7919, i % 5, "hot") for i in range(500)], "doc_id long, pos int, file string")
+    refs = spark.createDataFrame([(f"P{i}", "hot") for i in range(1003)], "plant string, file string")
+    rt.allowed(chunks, refs).write.parquet(str(tmp_path / "out"))
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.count() == stored.distinct().count() == 500 * 1003
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * 500 * 1003
+
+
 @pytest.mark.parametrize("name", ["text_search", "context_block"])
 def test_text_queries_shuffle_in_proportion_to_the_texts(spark, tmp_path, name):
     import random
